@@ -74,5 +74,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
+#: Keys of eight bytes that may be broadcast: 16 MB.
+BROADCAST_KEYS = 2_000_000
+
+
+def sized_join(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join on one long key. The keys are written out and counted: few are broadcast, more are shuffled."""
+    keys = materialise(keys.select(key), "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)

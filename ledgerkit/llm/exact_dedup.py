@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import WS_PATTERN, discard, keyed, materialise
+from ledgerkit.llm.common import WS_PATTERN, discard, keyed, materialise, sized_join
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     columns = docs.columns
     decisions, docs, key = exact_groups(docs, block_bytes)
     dropped = decisions.filter(~F.col("kept")).select(F.col("k").alias(key))
-    return docs.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
+    return sized_join(docs, dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in columns])
 
 
 ORACLE_SQL = r"""

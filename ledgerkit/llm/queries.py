@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerkit.llm import exact_dedup
+from ledgerkit.llm import exact_dedup, jaccard_join
 from ledgerkit.llm.common import table
 
 
@@ -10,8 +10,13 @@ def op3_block_naming_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_block_naming_dedup": op3_block_naming_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
 ORACLE = {
