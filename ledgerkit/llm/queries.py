@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerkit.llm import exact_dedup, jaccard_join
+from ledgerkit.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
 from ledgerkit.llm.common import table
 
 
@@ -14,9 +14,24 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_pattern_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_centroid_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_bm25_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_block_naming_dedup": op3_block_naming_dedup,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_pattern_packing": op7_pattern_packing,
+    "op9_nearest_centroid_langid": op9_nearest_centroid_langid,
+    "op10_bm25_decontamination": op10_bm25_decontamination,
 }
 
 ORACLE = {
