@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
-from ledgerkit.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
+from ledgerkit.llm import decontaminate, exact_dedup, html_wrapper, jaccard_join, langid, line_dedup, packing, token_files, url_filter, warc_revisit
 from ledgerkit.llm.common import table
 
 
+def op1_char_lm_ratio(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op2_warc_revisit(spark, sf_dir):
+    return warc_revisit.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op3_block_naming_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op4_wrapper_extraction(spark, sf_dir):
+    return html_wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_context_mixing_coder(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -18,6 +34,10 @@ def op7_pattern_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_line_set_join(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op9_nearest_centroid_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -27,13 +47,19 @@ def op10_bm25_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_char_lm_ratio": op1_char_lm_ratio,
+    "op2_warc_revisit": op2_warc_revisit,
     "op3_block_naming_dedup": op3_block_naming_dedup,
+    "op4_wrapper_extraction": op4_wrapper_extraction,
+    "op5_context_mixing_coder": op5_context_mixing_coder,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_line_set_join": op8_line_set_join,
     "op9_nearest_centroid_langid": op9_nearest_centroid_langid,
     "op10_bm25_decontamination": op10_bm25_decontamination,
 }
 
 ORACLE = {
+    "op2_warc_revisit": warc_revisit.ORACLE_SQL,
     "op3_block_naming_dedup": exact_dedup.ORACLE_SQL,
 }

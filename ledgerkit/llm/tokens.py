@@ -29,30 +29,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kept: dict[str, bytes] = {}
+        #: Ids of pieces that begin a text, and of those that follow a space.
+        self.first: dict[str, bytes] = {}
+        self.later: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Every piece is a word of one pre-split input, which spares an object for each."""
+        out = []
+        for at in range(0, len(pieces), 1000):
+            some = pieces[at : at + 1000]
+            e = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some))) * 4
+            start = 0
+            for end in ends.tolist():
+                out.append(ids[start:end])
+                start = end
+        return out
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        parts = _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
+        return _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        kept = self.kept
-        new = list({p for parts in split for p in parts if p not in kept})
-        found = kept
-        if new:
-            coded = zip(new, self._encode(new))
-            if len(kept) < CACHE_MOST:
-                kept.update(coded)
-            else:
-                fresh = dict(coded)
-                return [b"".join([kept.get(p) or fresh[p] for p in parts]) for parts in split]
-        return [b"".join([found[p] for p in parts]) for parts in split]
+        first, later = self.first, self.later
+        out: list = [b""] * len(texts)
+        waiting = []
+        for i, text in enumerate(texts):
+            if text:
+                parts = self.pieces(text)
+                coded = list(map(later.get, parts))
+                coded[0] = first.get(parts[0])
+                if None in coded:
+                    waiting.append((i, parts))
+                else:
+                    out[i] = b"".join(coded)
+        if waiting:
+            new_first = list({p[0] for _, p in waiting if p[0] not in first})
+            new_later = list({x for _, p in waiting for x in p[1:] if x not in later})
+            coded = self._encode(new_first + [" " + x for x in new_later])
+            more_first = dict(zip(new_first, coded))
+            more_later = dict(zip(new_later, coded[len(new_first) :]))
+            if len(first) + len(later) < CACHE_MOST:
+                first.update(more_first)
+                later.update(more_later)
+                more_first, more_later = first, later
+            for i, p in waiting:
+                head = first.get(p[0]) or more_first[p[0]]
+                out[i] = b"".join([head, *[later.get(x) or more_later[x] for x in p[1:]]])
+        return out
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
