@@ -6,14 +6,16 @@ same set (compared by 128 bits) are one node. Two nodes link when 100 * |A and B
 1. One scan gives each document's set size, set hash, a parity bitmap of its set and a few min-hashes.
    The bitmap's width follows the size band. As bits are parities, ``popcount(a xor b)`` never exceeds
    the symmetric difference, so ``(|A| + |B| - popcount) / 2`` bounds the overlap from above.
-2. Documents of one min-hash are compared with one leader; links found join most copies of a large
-   group with few comparisons. This only saves work: nothing is decided by a failed comparison.
+2. Documents of one min-hash are compared with one leader, the one whose min-hashes are shared most (in a
+   group of near copies that is close to what they were copied from); links found join most copies of a
+   large group with few comparisons. This only saves work: nothing is decided by a failed comparison.
 3. For the rest the prefix principle is exact: in any common order of shingles two linked sets share
    one of their first ``n - ceil(0.8 n) + 1``. The order puts frequent shingles last, so a passage that
    many documents share rarely makes a tile. A tile holds the nodes of one prefix shingle, sorted by
    size; only pairs within the size band and the positional bound that aren't linked yet go on.
-   Tiles over ``TILE_ROWS`` are handled as joins: nodes outside the tile's largest component meet the
-   tile, whereas nodes inside it are linked already and meet nobody.
+   Shingles of more nodes than ``TILE_ROWS`` whose nodes are all linked already need nothing more; for the
+   others the nodes are dealt to blocks of about ``BLOCK_NODES``, and pairs of blocks are compared by
+   512-bit parity signatures, so that a pair of rows exists only where the bound lets a link be.
 4. Surviving pairs pass the bitmap bound, then sorted arrays are intersected exactly.
 5. Links become components by star contraction.
 
@@ -27,6 +29,7 @@ smallest unless all are null; repeated rows link like other copies; an empty tab
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +42,18 @@ from ledgerkit.llm.shingles import shingle_set
 PERCENT = 80
 #: A prefix shingle of more nodes than this is joined outside of the in-task tile.
 TILE_ROWS = 256
+#: Nodes of a block of such a shingle.
+BLOCK_NODES = 4096
+#: 64-bit words of the signature that block pairs compare.
+SIGNATURE_WORDS = 8
 #: Bits that index the table of frequent shingles: 2**20 counts, 8 MB, whatever the input.
 HEAVY_BITS = 20
 #: A partition reports a cell of that table from this count on, and from this multiple of the mean.
 HEAVY_LEAST, HEAVY_TIMES = 8, 6
-MINHASHES = 3
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+#: Multipliers of the min-hashes.
+_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 #: Bitmap widths in 64-bit words: 4 bits for each shingle, as a power of two between these.
-BITMAP_WORDS_LEAST, BITMAP_WORDS_MOST = 4, 128
+BITMAP_WORDS_LEAST, BITMAP_WORDS_MOST = 8, 128
 
 
 def parity_bitmap(hashes: np.ndarray) -> bytes:
@@ -67,6 +74,11 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return (na + nb - differ) // 2
 
 
+def signature(bitmap: bytes) -> bytes:
+    """The bitmap folded to SIGNATURE_WORDS words (none is narrower); its bits still are parities."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, np.uint64).reshape(-1, SIGNATURE_WORDS), axis=0).tobytes()
+
+
 def linked(overlap, na, nb):
     return 100 * overlap >= PERCENT * (na + nb - overlap)
 
@@ -204,6 +216,33 @@ def _tiles(batches):
         yield from close(*rest)
 
 
+def _block(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["n", "k"])
+    packed = {c: rows[c].to_numpy(np.int64).tobytes() for c in ("k", "n", "comp", "at")}
+    return pd.DataFrame({"h": [rows["h"].iloc[0]], "part": [rows["part"].iloc[0]], **{c: [v] for c, v in packed.items()}, "sig": [b"".join(signature(b) for b in rows["bitmap"])]})
+
+
+def _block_pairs(batches):
+    """Pairs of blocks of one shingle come in, pairs of nodes that may link go out."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            x, y = ([np.frombuffer(row[c + side], np.int64) for c in ("k", "n", "comp", "at")] + [np.frombuffer(row["sig" + side], np.uint64).reshape(-1, SIGNATURE_WORDS)] for side in "xy")
+            found = []
+            for i in range(len(x[0])):
+                n, at = x[1][i], x[3][i]
+                # Blocks are sorted by size; a pair is met once, from its smaller node.
+                low = i + 1 if row["partx"] == row["party"] else int(np.searchsorted(y[1], -(-PERCENT * n // 100)))
+                j = np.arange(low, np.searchsorted(y[1], 100 * n // PERCENT, side="right"))
+                both = PERCENT * (n + y[1][j])
+                j = j[(y[2][j] != x[2][i]) & ((100 + PERCENT) * np.minimum(n - at, y[1][j] - y[3][j]) >= both)]
+                if len(j):
+                    differ = np.bitwise_count(y[4][j] ^ x[4][i]).sum(1).astype(np.int64)
+                    j = j[(100 + PERCENT) * (n + y[1][j] - differ) >= 2 * PERCENT * (n + y[1][j])]
+                    found.append(np.stack([np.minimum(x[0][i], y[0][j]), np.maximum(x[0][i], y[0][j])]))
+            pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["a", "b"])
+
+
 def _bitmaps_pass(a, b, na, nb) -> np.ndarray:
     return np.fromiter((linked(min(overlap_bound(x, y, int(p), int(q)), int(min(p, q))), int(p), int(q)) for x, y, p, q in zip(a, b, na, nb)), bool, len(a))
 
@@ -276,10 +315,14 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     )
     sets = _Sets(nodes, texts)
 
-    # Leaders: the node of each min-hash with the smallest scrambled key.
+    # Leaders: the node of each min-hash whose own min-hashes are shared most.
     by_low = nodes.select("k", F.posexplode("low").alias("which", "low"))
-    leaders = by_low.groupBy("which", "low").agg(F.min_by("k", F.xxhash64("k", "which")).alias("lead"), F.count("*").alias("many")).filter("many > 1")
-    starred = by_low.join(leaders, ["which", "low"]).filter("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
+    shared = by_low.groupBy("which", "low").agg(F.count("*").alias("many")).filter("many > 1")
+    in_groups = by_low.join(shared, ["which", "low"])
+    central = in_groups.groupBy("k").agg(F.sum("many").alias("central"))
+    in_groups = materialise(in_groups.join(central, "k").select("which", "low", "k", "central"), "jaccard-groups")
+    leaders = in_groups.groupBy("which", "low").agg(F.max_by("k", F.struct("central", F.xxhash64("k"))).alias("lead"))
+    starred = in_groups.join(leaders, ["which", "low"]).filter("k <> lead").select(F.least("k", "lead").alias("a"), F.greatest("k", "lead").alias("b")).distinct()
     first = sets.verify(starred)
     known = materialise(_in_components(nodes.select("k", "n"), first), "jaccard-known")
 
@@ -289,16 +332,12 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     light = posts.filter("not hot").select("h", "k", "n", "comp", "at").repartition("h").sortWithinPartitions("h", "n")
     tiles = materialise(light.mapInArrow(_tiles, "kind int, h long, a long, b long, n int, comp long, at int"), "jaccard-tiles")
     large = posts.filter("hot").select("h", "k", "n", "comp", "at").unionByName(tiles.filter("kind = 1").select("h", F.col("a").alias("k"), "n", "comp", "at"))
-    main = large.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("h", "main")
-    mixed = large.join(main, "h")
-    outside = mixed.filter("comp <> main")
-    met = (
-        outside.alias("x")
-        .join(mixed.alias("y"), "h")
-        .filter("x.comp <> y.comp and (y.comp = y.main or x.k < y.k)")
-        .filter(f"100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n) and {100 + PERCENT} * least(x.n - x.at, y.n - y.at) >= {PERCENT} * (x.n + y.n)")
-        .select(F.expr("least(x.k, y.k)").alias("a"), F.expr("greatest(x.k, y.k)").alias("b"))
-    )
+    # Shingles whose nodes are in several components, and how many blocks their nodes make.
+    split = large.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h", F.expr(f"cast((c + {BLOCK_NODES - 1}) div {BLOCK_NODES} as int)").alias("parts"))
+    mixed = large.join(split, "h").join(nodes.select("k", "bitmap"), "k").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    blocks = materialise(mixed.select("h", "part", "k", "n", "comp", "at", "bitmap").groupBy("h", "part").applyInPandas(_block, "h long, part int, k binary, n binary, comp binary, at binary, sig binary"), "jaccard-blocks")
+    x, y = (blocks.select("h", *[F.col(c).alias(c + side) for c in ("part", "k", "n", "comp", "at", "sig")]) for side in "xy")
+    met = x.join(y, "h").filter("partx <= party").mapInArrow(_block_pairs, "a long, b long")
     second = sets.verify(tiles.filter("kind = 0").select("a", "b").unionByName(met).distinct())
     final = _in_components(nodes.select("k", "n", "h1", "h2"), first.unionByName(second))
     final = final.select("n", "h1", "h2", F.col("k").alias("node"), "comp")
@@ -306,7 +345,7 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         rows.select("k", "doc_id", "n", "h1", "h2").join(final, ["n", "h1", "h2"], "left").select("k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "k").alias("node"), F.coalesce("comp", "k").alias("comp")),
         "jaccard-rows",
     )
-    discard(profile, firsts, tiles, known)
+    discard(profile, firsts, tiles, known, in_groups, blocks)
     return out, docs, key
 
 

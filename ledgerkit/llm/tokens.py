@@ -15,8 +15,8 @@ import numpy as np
 import public_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces kept by a worker (about 200 MB).
-CACHE_MOST = 700_000
+#: Pieces kept by a worker (about 250 MB).
+CACHE_MOST = 1_200_000
 _ODD_SPACE = re.compile(r"\s | \s|^ | $")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
@@ -29,21 +29,29 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # A byte-level vocabulary writes each byte as one character.
+        self.bytes_of = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())])
         #: Ids of pieces that begin a text, and of those that follow a space.
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
-        """Every piece is a word of one pre-split input, which spares an object for each."""
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _encode_later(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that follow a space, many in one text: as they are words of their own there, the bytes that ids stand for say where each ends."""
         out = []
         for at in range(0, len(pieces), 1000):
-            some = pieces[at : at + 1000]
-            e = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(some))) * 4
-            start = 0
-            for end in ends.tolist():
-                out.append(ids[start:end])
+            some = [" " + p for p in pieces[at : at + 1000]]
+            ids = np.asarray(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(p.encode("utf-8")) for p in some])
+            last = np.searchsorted(ends, wanted)
+            if last[-1] >= len(ends) or (ends[last] != wanted).any():
+                out += self._encode(some)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in (4 * (last + 1)).tolist():
+                out.append(raw[start:end])
                 start = end
         return out
 
@@ -68,9 +76,8 @@ class Encoder:
         if waiting:
             new_first = list({p[0] for _, p in waiting if p[0] not in first})
             new_later = list({x for _, p in waiting for x in p[1:] if x not in later})
-            coded = self._encode(new_first + [" " + x for x in new_later])
-            more_first = dict(zip(new_first, coded))
-            more_later = dict(zip(new_later, coded[len(new_first) :]))
+            more_first = dict(zip(new_first, self._encode(new_first)))
+            more_later = dict(zip(new_later, self._encode_later(new_later)))
             if len(first) + len(later) < CACHE_MOST:
                 first.update(more_first)
                 later.update(more_later)
