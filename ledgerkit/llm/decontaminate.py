@@ -163,15 +163,17 @@ def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> Da
     return out
 
 
+def _clean_with(shared):
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([not shared.value.leaks(t if isinstance(t, str) else None) for t in s], dtype=bool)
+
+    return clean
+
+
 def drop_leaking(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     for index in _parts(items, part_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for s in batches:
-                yield pd.Series([not shared.value.leaks(t if isinstance(t, str) else None) for t in s], dtype=bool)
-
-        clean.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        docs = docs.filter(F.pandas_udf(clean, "boolean")("text"))
+        docs = docs.filter(_clean_with(docs.sparkSession.sparkContext.broadcast(index))("text"))
     return docs

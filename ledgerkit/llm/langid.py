@@ -18,12 +18,12 @@ result; of equally similar languages the first in alphabetical order wins.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ SAMPLE = 6000
 #: A text is rejected below this share of the least cosine among training texts of like length.
 REJECT_SHARE = 0.5
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SLICE = 1 << 22
 _ROUNDS = 12
