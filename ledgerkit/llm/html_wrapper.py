@@ -5,7 +5,7 @@ that HTML lets authors omit are dropped). Adjacent repeats become repeated group
 of a host are aligned one after another: what both have stays, a mismatch becomes an optional group
 ``( ... )?``, and a group seen once in one stream and repeatedly in the other becomes a repeated group. The
 result, a regular expression without unions, is the host's wrapper. Text that all pages of a host share at a
-place belongs to the template; text that differs is a slot. Slots in the article's region that aren't
+place outside of an article element belongs to the template; text that differs is a slot. Slots in the article's region that aren't
 navigation, notices, adverts, forms, comments or lists of links are content and are read from every page.
 
 Scale: pages of one stream are counted together in each task before the shuffle, so a host with a third
@@ -279,7 +279,7 @@ def content_paths(wrapper: tuple, stats: dict[str, tuple[int, int, int, bool]])
     differ = any(not same and not _outside(path) for path, (_, _, _, same) in stats.items())
     for path in sorted(slots(wrapper) | set(stats)):
         pages, chars, links, same = stats.get(path, (0, 0, 0, False))
-        same = same and differ
+        same = same and differ and _region(path) < 2  # what stands in the article itself is the article's
         if not _outside(path) and not (same and pages >= TEMPLATE_PAGES) and links < LINK_SHARE * max(1, chars):
             able.append(path)
     most = max(map(_region, able), default=0)
