@@ -13,9 +13,11 @@ same set (compared by 128 bits) are one node. Two nodes link when 100 * |A and B
    one of their first ``n - ceil(0.8 n) + 1``. The order puts frequent shingles last, so a passage that
    many documents share rarely makes a tile. A tile holds the nodes of one prefix shingle, sorted by
    size; only pairs within the size band and the positional bound that aren't linked yet go on.
-   Shingles of more nodes than ``TILE_ROWS`` whose nodes are all linked already need nothing more; for the
-   others the nodes are dealt to blocks of about ``BLOCK_NODES``, and pairs of blocks are compared by
-   512-bit parity signatures, so that a pair of rows exists only where the bound lets a link be.
+   Shingles of more nodes than ``TILE_ROWS`` whose nodes are all linked already need nothing more. For the
+   others each node is first compared with ``HUBS`` random nodes of its largest such shingle, a few times
+   over: members of one group of near copies end in one component by comparisons in proportion to the
+   group. The nodes of what is still mixed are dealt to blocks of about ``BLOCK_NODES``, and pairs of
+   blocks are compared by parity bitmaps, so that a pair of rows exists only where the bound lets a link be.
 4. Surviving pairs pass the bitmap bound, then sorted arrays are intersected exactly.
 5. Links become components by star contraction.
 
@@ -28,6 +30,8 @@ smallest unless all are null; repeated rows link like other copies; an empty tab
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,6 +48,8 @@ PERCENT = 80
 TILE_ROWS = 256
 #: Nodes of a block of such a shingle.
 BLOCK_NODES = 4096
+#: Random nodes that each node of such a shingle meets first, and how often at most.
+HUBS, HUB_ROUNDS = 16, 3
 #: 64-bit words of the signature that block pairs compare.
 SIGNATURE_WORDS = 8
 #: Bits that index the table of frequent shingles: 2**20 counts, 8 MB, whatever the input.
@@ -298,6 +304,21 @@ def _in_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(comps.withColumnRenamed("node", "k"), "k", "left").withColumn("comp", F.coalesce("component", "k")).drop("component")
 
 
+def _mixed(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings (h, k, n, at, comp, c) of the shingles whose nodes are in several components; c counts a shingle's nodes."""
+    here = large.join(comps.select("k", "comp"), "k")
+    split = here.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h", "c")
+    return here.join(split, "h")
+
+
+def _hub_pairs(home: DataFrame, round_: int) -> DataFrame:
+    """Pairs of a node (k, n, comp; h is its shingle) and a hub of its shingle that isn't linked to it yet."""
+    hub = F.min_by(F.struct("k", "n", "comp"), F.xxhash64("k", F.lit(round_)))
+    hubs = home.groupBy("h", F.pmod(F.xxhash64("k", F.lit(-1 - round_)), F.lit(HUBS)).alias("slot")).agg(hub.alias("hub"))
+    able = (F.col("comp") != F.col("hub.comp")) & (PERCENT * F.greatest("n", "hub.n") <= 100 * F.least("n", "hub.n"))
+    return home.join(hubs, "h").filter(able).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(rows, keyed documents, name of their key). Rows: k, doc_id, n_shingles, node, comp."""
     spark = docs.sparkSession
@@ -331,21 +352,28 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     posts = firsts.select("k", F.col("n").cast("int").alias("n"), "comp", F.posexplode(F.arrays_zip("first", "hot")).alias("at", "p")).select(F.col("p.first").alias("h"), "k", "n", "comp", "at", F.col("p.hot").alias("hot"))
     light = posts.filter("not hot").select("h", "k", "n", "comp", "at").repartition("h").sortWithinPartitions("h", "n")
     tiles = materialise(light.mapInArrow(_tiles, "kind int, h long, a long, b long, n int, comp long, at int"), "jaccard-tiles")
-    large = posts.filter("hot").select("h", "k", "n", "comp", "at").unionByName(tiles.filter("kind = 1").select("h", F.col("a").alias("k"), "n", "comp", "at"))
-    # Shingles whose nodes are in several components, and how many blocks their nodes make.
-    split = large.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h", F.expr(f"cast((c + {BLOCK_NODES - 1}) div {BLOCK_NODES} as int)").alias("parts"))
-    mixed = large.join(split, "h").join(nodes.select("k", "bitmap"), "k").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    large = posts.filter("hot").select("h", "k", "n", "at").unionByName(tiles.filter("kind = 1").select("h", F.col("a").alias("k"), "n", "at"))
+    large = materialise(large, "jaccard-large")
+    edges, comps = [first], known
+    for round_ in range(HUB_ROUNDS):
+        home = _mixed(large, comps).groupBy("k", "n", "comp").agg(F.max_by("h", F.struct("c", "h")).alias("h"))
+        more = sets.verify(_hub_pairs(materialise(home, "jaccard-home"), round_))
+        if not more.limit(1).count():
+            break
+        edges.append(more)
+        comps = materialise(_in_components(nodes.select("k", "n"), reduce(DataFrame.unionByName, edges)), "jaccard-known")
+    mixed = _mixed(large, comps).join(nodes.select("k", "bitmap"), "k").withColumn("part", F.pmod(F.xxhash64("k"), F.expr(f"cast((c + {BLOCK_NODES - 1}) div {BLOCK_NODES} as int)")).cast("int"))
     blocks = materialise(mixed.select("h", "part", "k", "n", "comp", "at", "bitmap").groupBy("h", "part").applyInPandas(_block, "h long, part int, k binary, n binary, comp binary, at binary, sig binary"), "jaccard-blocks")
     x, y = (blocks.select("h", *[F.col(c).alias(c + side) for c in ("part", "k", "n", "comp", "at", "sig")]) for side in "xy")
     met = x.join(y, "h").filter("partx <= party").mapInArrow(_block_pairs, "a long, b long")
     second = sets.verify(tiles.filter("kind = 0").select("a", "b").unionByName(met).distinct())
-    final = _in_components(nodes.select("k", "n", "h1", "h2"), first.unionByName(second))
+    final = _in_components(nodes.select("k", "n", "h1", "h2"), reduce(DataFrame.unionByName, [*edges, second]))
     final = final.select("n", "h1", "h2", F.col("k").alias("node"), "comp")
     out = materialise(
         rows.select("k", "doc_id", "n", "h1", "h2").join(final, ["n", "h1", "h2"], "left").select("k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "k").alias("node"), F.coalesce("comp", "k").alias("comp")),
         "jaccard-rows",
     )
-    discard(profile, firsts, tiles, known, in_groups, blocks)
+    discard(profile, firsts, tiles, known, comps, large, in_groups, blocks)
     return out, docs, key
 
 
