@@ -17,7 +17,6 @@ import public_tokenizers
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces kept by a worker (about 250 MB).
 CACHE_MOST = 1_200_000
-_ODD_SPACE = re.compile(r"\s | \s|^ | $")
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
 
@@ -57,7 +56,8 @@ class Encoder:
 
     @staticmethod
     def pieces(text: str) -> list[str]:
-        return _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        parts = text.split()
+        return parts if " ".join(parts) == text else _SAFE_SPACE.split(text)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -70,21 +70,21 @@ class Encoder:
                 coded = list(map(later.get, parts))
                 coded[0] = first.get(parts[0])
                 if None in coded:
-                    waiting.append((i, parts))
+                    waiting.append((i, parts, coded, [j for j, c in enumerate(coded) if c is None]))
                 else:
                     out[i] = b"".join(coded)
         if waiting:
-            new_first = list({p[0] for _, p in waiting if p[0] not in first})
-            new_later = list({x for _, p in waiting for x in p[1:] if x not in later})
+            new_first = list({parts[0] for _, parts, _, gaps in waiting if gaps[0] == 0})
+            new_later = list({parts[j] for _, parts, _, gaps in waiting for j in gaps if j})
             more_first = dict(zip(new_first, self._encode(new_first)))
             more_later = dict(zip(new_later, self._encode_later(new_later)))
+            for i, parts, coded, gaps in waiting:
+                for j in gaps:
+                    coded[j] = more_later[parts[j]] if j else more_first[parts[0]]
+                out[i] = b"".join(coded)
             if len(first) + len(later) < CACHE_MOST:
                 first.update(more_first)
                 later.update(more_later)
-                more_first, more_later = first, later
-            for i, p in waiting:
-                head = first.get(p[0]) or more_first[p[0]]
-                out[i] = b"".join([head, *[later.get(x) or more_later[x] for x in p[1:]]])
         return out
 
 
