@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerkit.functions.bounds import config_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,7 +91,7 @@ def apply_labels(rows: DataFrame, labels: DataFrame, key: str, least: float = 0.
 def attribute_person(rows: DataFrame, names: DataFrame, name: Column) -> DataFrame:
     """Member names to people; an empty name is the owner; an unknown one is null and goes to review."""
     known = names.select(F.col("name").alias("__name"), "person")
-    out = rows.withColumn("__name", name).join(F.broadcast(known) if names.isLocal() else known, "__name", "left")
+    out = rows.withColumn("__name", name).join(known, "__name", "left")
     empty = F.coalesce(F.col("__name"), F.lit("")) == ""
     return out.withColumn("person", F.when(empty, "self").otherwise(F.col("person"))).withColumn("needs_review", ~empty & F.col("person").isNull()).drop("__name")
 
@@ -102,10 +104,10 @@ def rule_preview(rows: DataFrame, pattern: str, text: str, n: int = 20) -> DataF
 def link_bills(payments: DataFrame, accounts: DataFrame, overrides: DataFrame, margin: int = 60) -> DataFrame:
     """Payments to utility accounts: override, else the one account whose pattern and dates fit; several or none are null.
 
-    accounts: account, pattern, active_from, active_to (a configuration-sized table). status: override, linked, several, none.
+    accounts: account, pattern, active_from, active_to (a configuration table, see ``config_table``). status: override, linked, several, none.
     """
     fits = F.expr("lower(p.text) rlike lower(a.pattern)") & (F.col("a.active_from").isNull() | (F.col("p.day") >= F.date_sub("a.active_from", margin))) & (F.col("a.active_to").isNull() | (F.col("p.day") <= F.date_add("a.active_to", margin)))
-    hits = payments.alias("p").join(F.broadcast(accounts).alias("a"), fits).groupBy("p.id").agg(F.min("a.account").alias("account"), F.countDistinct("a.account").alias("n"))
+    hits = payments.alias("p").join(config_table(accounts).alias("a"), fits).groupBy("p.id").agg(F.min("a.account").alias("account"), F.countDistinct("a.account").alias("n"))
     by = payments.join(hits.withColumnRenamed("account", "__hit"), "id", "left").join(overrides.select("id", F.col("account").alias("__own")), "id", "left")
     own = F.col("__own").isNotNull()
     account = F.when(own, F.when(F.col("__own") != "none", F.col("__own"))).when(F.col("n") == 1, F.col("__hit"))

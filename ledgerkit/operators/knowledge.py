@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerkit.functions.text import document_text, numbers_in
 
@@ -90,7 +91,7 @@ def current_offers(snapshots: DataFrame, today: Column, stale: int = 21) -> Data
     return rows.withColumn("stale", F.datediff(today, F.col("snapshot_day")) > stale)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def close_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity; for pairs that a cheaper test let through."""
     from difflib import SequenceMatcher
@@ -110,7 +111,7 @@ def suggestions(queries: DataFrame, aliases: DataFrame, cutoff: float = 0.88, n:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode's compatibility composition, which Spark doesn't have."""
     import unicodedata

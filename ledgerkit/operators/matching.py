@@ -40,9 +40,15 @@ def unambiguous_nearest(pairs: DataFrame) -> DataFrame:
 def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
     """One-to-one greedy assignment: left rows in order of (l_day, l_id) take the nearest right row that is free.
 
-    Rows of different ``component`` keys never compete, so each runs alone. A component is the rows of
-    one cents value (and account): its pairs are bounded by the day window, not by the table.
+    Rows of different ``component`` keys never compete, nor do those of one key that no chain of pairs
+    in time joins: a key is cut where the pairs up to a day all end before the next ones begin, so that
+    the cents value of a third of all rows still becomes many groups.
     """
+    ends, starts = F.greatest("l_day", "r_day"), F.least("l_day", "r_day")
+    w = Window.partitionBy(*component).orderBy(starts, ends, "l_id", "r_id")
+    before = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = pairs.withColumn("__cut", F.coalesce((starts > before).cast("int"), F.lit(0)))
+    chains = cut.withColumn("chain", F.sum("__cut").over(w)).drop("__cut")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(__d=pdf["days"].abs()).sort_values(["l_day", "l_id", "__d", "r_day", "r_id"])
@@ -54,7 +60,7 @@ def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
                 keep.append(i)
         return pdf.loc[keep].drop(columns="__d")
 
-    return pairs.groupBy(*component).applyInPandas(assign, pairs.schema)
+    return chains.groupBy(*component, "chain").applyInPandas(assign, chains.schema).drop("chain")
 
 
 def unmatched_after(rows: DataFrame, matched: DataFrame, today: Column, grace: int) -> DataFrame:
@@ -79,6 +85,7 @@ def transfers(bank: DataFrame, cards: DataFrame, low: int = -2, high: int = 6) -
     bank: id, issuer, day, cents (> 0). cards: id, issuer, day, cents (< 0).
     Tiers: named (equal cents, nearest), group (a row equals two or three payments), amount (whatever issuer).
     """
+    cards = cards.select(*[F.col(c).alias(c) for c in cards.columns])  # both sides may come from one table
     pairs = candidates(bank, cards.withColumn("cents", -F.col("cents")), ["cents"], low, high)
     named = greedy(pairs.filter("l_issuer = r_issuer"), ["l_cents"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), F.lit("named").alias("method"), "days", F.lit(1.0).alias("confidence"))
     left = bank.join(named.select("id"), "id", "left_anti")

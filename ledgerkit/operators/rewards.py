@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerkit.functions.bounds import config_table
+
 #: Rates are in basis points, money in cents, so every product is exact in hundredths of a basis-point cent.
 DEFAULT_AMOUNT = 10_000
 
@@ -29,9 +31,9 @@ def blended(cents: Column, rate: Column, after: Column, room: Column) -> Column:
 def best_rules(purchases: DataFrame, rules: DataFrame) -> DataFrame:
     """For each purchase and card the rule that earns most (first of equal ones): id, card, rule, value.
 
-    rules: card, rule, category, excluded, brand, valid_from, valid_to, rate, after, room. A configuration-sized table: broadcast.
+    rules: card, rule, category, excluded, brand, valid_from, valid_to, rate, after, room. A configuration table, see ``config_table``.
     """
-    met = purchases.alias("t").join(F.broadcast(rules).alias("r"), fits())
+    met = purchases.alias("t").join(config_table(rules).alias("r"), fits())
     value = blended(F.col("t.cents"), F.col("r.rate"), F.col("r.after"), F.col("r.room"))
     rows = met.select(F.col("t.id").alias("id"), F.col("r.card").alias("card"), F.col("r.rule").alias("rule"), value.alias("value"))
     # One row per purchase and card: an aggregation combines map-side where a window would sort all.
@@ -73,7 +75,7 @@ def credit_value(left: Column, amount: Column, known: Column) -> Column:
 
 def cap_use(purchases: DataFrame, rules: DataFrame) -> DataFrame:
     """Spend per card and shared cap; a purchase counts once however many rules share the cap."""
-    hit = purchases.alias("t").join(F.broadcast(rules).alias("r"), fits()).select(F.col("r.card").alias("card"), F.col("r.cap").alias("cap"), F.col("t.id").alias("id"), F.col("t.cents").alias("cents"))
+    hit = purchases.alias("t").join(config_table(rules).alias("r"), fits()).select(F.col("r.card").alias("card"), F.col("r.cap").alias("cap"), F.col("t.id").alias("id"), F.col("t.cents").alias("cents"))
     return hit.filter("cap is not null").dropDuplicates(["card", "cap", "id"]).groupBy("card", "cap").agg(F.sum("cents").alias("spent"))
 
 

@@ -122,8 +122,8 @@ def autocomplete(aliases: DataFrame, query: str, n: int = 8) -> DataFrame:
 def shares(sums: DataFrame, key: str, by: str = "cents") -> DataFrame:
     """Positive sums with their share of the total in hundredths of a percent, rounded down."""
     rows = sums.filter(F.col(by) > 0)
-    total = rows.agg(F.sum(by).alias("__total"))
-    return rows.crossJoin(F.broadcast(total)).select(key, by, F.expr(f"({by} * 10000) div __total").alias("share"))
+    total = rows.agg(F.sum(by)).first()[0] or 1  # one number
+    return rows.select(key, by, F.expr(f"({by} * 10000) div {total}").alias("share"))
 
 
 def top_and_other(sums: DataFrame, key: str, n: int = 5, by: str = "cents") -> DataFrame:
