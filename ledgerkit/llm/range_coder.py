@@ -152,14 +152,13 @@ def _encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]
     """(words of all blocks, number of words of each)."""
     lengths = _lengths(len(ids), block)
     lanes, steps = len(lengths), int(lengths[0])
-    grid = np.zeros((steps, lanes), np.int64)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.uint16)
     padded[: len(ids)] = ids
-    grid[:] = padded.reshape(lanes, steps).T
+    grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model, out = _Model(lanes), _Writer(lanes)
     for t in range(steps):
         k = lanes if t < lengths[-1] else lanes - 1
-        now = grid[t, :k]
+        now = grid[t, :k].astype(np.int64)
         after = now + 1
         g2, g1, sums = model.predict(k)
         known = model.t0[model.slot0[:k] + (now & 255)] == after
@@ -172,7 +171,7 @@ def _encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]
 
 def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lanes, steps = len(lengths), int(lengths[0])
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.uint16)
     model = _Model(lanes)
     source = _Reader(words, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64))
     for t in range(steps):
@@ -201,7 +200,7 @@ def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Documents (their ids, how many token ids each has, all token ids below 2**16) as one segment."""
-    ids = np.asarray(ids, np.int64)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= _ANY - 1):
         raise ValueError("ids must lie in 0..65534")
     head = [_HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(ids), -(-len(ids) // block)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), np.array(lengths, "<u8").tobytes()]
