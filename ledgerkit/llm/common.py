@@ -84,5 +84,16 @@ def sized_join(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 500
+
+
+def slices(batches):
+    """The record batches in short slices, so that a task never holds a whole batch as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerkit.llm.common import slices
 from ledgerkit.llm.shingles import WORDS, rolling, word_hashes, words_of
 
 OVERLAP_PERCENT = 80
@@ -151,7 +152,7 @@ def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> Da
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
-            for batch in batches:
+            for batch in slices(batches):
                 index, rows = shared.value, []
                 for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
                     rows += [(doc_id, index.items[i][0], *v) for i, v in sorted(index.leaks(text).items())]

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import discard, keyed, materialise, sized_join
+from ledgerkit.llm.common import discard, keyed, materialise, sized_join, slices
 from ledgerkit.llm.graph import connected_components
 from ledgerkit.llm.shingles import shingle_set
 
@@ -93,7 +93,7 @@ def _profile(batches):
     """Rows of kind 0: a document; kind 1: a cell of the table of frequent shingles, with its count here."""
     cells, total = np.zeros(1 << HEAVY_BITS, np.int32), 0
     mask = np.uint64((1 << HEAVY_BITS) - 1)
-    for batch in batches:
+    for batch in slices(batches):
         keys, ids, texts = (c.to_pylist() for c in batch.columns)
         rows = []
         for k, i, t in zip(keys, ids, texts):
@@ -142,7 +142,7 @@ def prefix_of(s: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _prefixes(heavy):
     def run(batches):
         counts, mask = heavy.value, np.uint64((1 << HEAVY_BITS) - 1)
-        for batch in batches:
+        for batch in slices(batches):
             keys, first, hot = [], [], []
             for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 s = shingle_set(text)
@@ -261,7 +261,7 @@ def _bitmap_filter(batches):
 
 
 def _intersect(batches):
-    for batch in batches:
+    for batch in slices(batches):
         a, b, sa, sb = batch.columns
         ok = []
         for x, y in zip(sa.to_pylist(), sb.to_pylist()):
@@ -272,7 +272,7 @@ def _intersect(batches):
 
 
 def _arrays(batches):
-    for batch in batches:
+    for batch in slices(batches):
         keys, texts = batch.columns
         yield pa.RecordBatch.from_arrays([keys, pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())], names=["k", "s"])
 

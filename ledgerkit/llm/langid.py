@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerkit.llm.common import slices
+
 DIMENSIONS = 8192
 CLUSTERS = 4
 #: Labelled rows that the classifier is fitted on.
@@ -67,7 +69,7 @@ def unit(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _sparse(batches):
-    for batch in batches:
+    for batch in slices(batches):
         langs, texts = batch.columns
         rows = [counts(t) for t in texts.to_pylist()]
         at = [np.flatnonzero(r) for r in rows]

@@ -8,7 +8,7 @@ import xxhash
 #: Words of a shingle.
 WORDS = 5
 #: Hashes of words seen by this worker; a pure function of the word, so forgetting them changes nothing.
-_CACHE_MOST = 400_000
+_CACHE_MOST = 150_000
 _words: dict[bytes, int] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -15,8 +15,8 @@ import numpy as np
 import public_tokenizers
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces kept by a worker (about 90 MB).
-CACHE_MOST = 400_000
+#: Pieces kept by a worker (about 60 MB).
+CACHE_MOST = 250_000
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _encoders: dict[str, "Encoder"] = {}
 
