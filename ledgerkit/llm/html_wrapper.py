@@ -4,14 +4,16 @@ A page is a stream of block tags and text slots (inline tags belong to the text
 that HTML lets authors omit are dropped). Adjacent repeats become repeated groups ``( ... )+``. The streams
 of a host are aligned one after another: what both have stays, a mismatch becomes an optional group
 ``( ... )?``, and a group seen once in one stream and repeatedly in the other becomes a repeated group. The
-result, a regular expression without unions, is the host's wrapper. Text that all pages of a host share at a
-place outside of an article element belongs to the template; text that differs is a slot. Slots in the article's region that aren't
-navigation, notices, adverts, forms, comments or lists of links are content and are read from every page.
+result, a regular expression without unions, is the host's wrapper. Every page is then read by its host's
+wrapper, as an automaton that gives each text the slot it stands in, and figures are kept by slot. A slot
+outside of an article element with one text on all pages that have it belongs to the template, and one whose
+text is mostly links is a list of links. Of a page's other slots, those in the page's own highest region that aren't
+navigation, notices, adverts, forms or comments are content.
 
 Scale: pages of one stream are counted together in each task before the shuffle, so a host with a third
 of all pages sends a few distinct streams, not pages. Streams are first aligned in groups of a host, then the
-groups' wrappers are aligned. Models are broadcast when they are few, joined by host when they aren't. No
-page is sampled or cut.
+groups' wrappers are aligned. Pages are parsed three times: for the streams, for the slots' figures and for the
+text. Models are broadcast when they are few, joined by host when they aren't. No page is sampled or cut.
 
 Defined results: null or empty html, or html without content, gives empty text of 0 characters; unclosed
 elements end with their container; a null URL or one without host belongs to the empty host; repeated rows
@@ -25,6 +27,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -37,13 +40,15 @@ from ledgerkit.llm.url_filter import host_and_path
 SLOT = "#"
 #: Streams that are aligned in one group of a host before groups are merged.
 GROUPS = 16
-#: Models that are broadcast; with more hosts pages are joined by host.
-BROADCAST_HOSTS = 20_000
+#: Models, and characters of wrappers, that are broadcast; with more pages are joined by host.
+BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 16 << 20
 #: A text shared by all pages of a host is template text when there are so many pages.
 TEMPLATE_PAGES = 3
 #: Share of a slot's characters in links from which on it is a list of links.
 LINK_SHARE = 0.6
 _LONGEST_PERIOD = 12
+#: Places of the automata that a worker keeps.
+_MOST_PLACES = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -56,6 +61,7 @@ _OUTSIDE_TAGS = frozenset("nav footer aside form head menu button select dialog
 _OUTSIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices alert popup modal overlay sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies respond disqus social share sharing related recommended newsletter subscribe signup login search widget pagination pager toolbar complementary contentinfo dialog".split()
 )
+_MODIFIERS = frozenset("has no with without".split())
 _ARTICLE_WORDS = frozenset("article content post entry story main".split())
 
 
@@ -222,46 +228,88 @@ def _unpack(text: str) -> tuple:
     return back(json.loads(text))
 
 
-def slots(items: tuple, stack: tuple = ()) -> set[str]:
-    """Paths of the text slots of a wrapper."""
-    found: set[str] = set()
+class Automaton:
+    """A wrapper that reads token streams. A slot's id is its place in the program, for all passes of a repeated group."""
 
-    def walk(items, stack):
+    def __init__(self, items: tuple):
+        self.program: list = []  # (token, or None for a branch; next places, the preferred first)
+        self._emit(items)
+        self.end = len(self.program)
+        self._steps: dict = {}
+
+    def _emit(self, items: tuple):
+        program = self.program
         for item in items:
-            if isinstance(item, tuple):
-                stack = walk(item[1], stack)
-            elif item == SLOT:
-                found.add("/".join(stack))
-            elif item.startswith("/"):
-                while stack and stack[-1].split(".")[0] != item[1:]:
-                    stack = stack[:-1]
-                stack = stack[:-1]
-            elif item.split(".")[0] not in _VOID:
-                tag = item.split(".")[0]
-                if tag in _IMPLIED:
-                    while stack and stack[-1].split(".")[0] in _IMPLIED and (stack[-1].split(".")[0] == tag or stack[-1].split(".")[0] == "p" or tag in ("tr", "tbody", "tfoot")):
-                        stack = stack[:-1]
-                elif stack and stack[-1].split(".")[0] == "p":
-                    stack = stack[:-1]
-                stack = (*stack, item)
-        return stack
-
-    walk(items, stack)
-    return found
-
-
-def _outside(path: str) -> bool:
-    """Inside an element that holds no article text."""
-    article = False
-    for node in path.split("/"):
+            if not isinstance(item, tuple):
+                program.append((item, (len(program) + 1,)))
+            elif item[0] == "+":
+                start = len(program)
+                self._emit(item[1])
+                program.append((None, (start, len(program) + 1)))
+            else:  # align() joins neighbours that came from different streams, so each of them may lack
+                for one in item[1]:
+                    branch = len(program)
+                    program.append(None)
+                    self._emit((one,))
+                    program[branch] = (None, (branch + 1, len(program)))
+
+    def __len__(self):
+        return len(self.program) + len(self._steps)
+
+    def _step(self, place: int, token: str | None) -> tuple:
+        """Places of the token right after a place (-1: before all); for None the end."""
+        out = self._steps.get((place, token))
+        if out is None:
+            found, seen, stack = [], set(), [0] if place < 0 else [*self.program[place][1]]
+            while stack:
+                at = stack.pop()
+                if at in seen:
+                    continue
+                seen.add(at)
+                if at == self.end:
+                    if token is None:
+                        found.append(at)
+                elif self.program[at][0] is None:
+                    stack += reversed(self.program[at][1])
+                elif self.program[at][0] == token:
+                    found.append(at)
+            out = self._steps[place, token] = tuple(found)
+        return out
+
+    def read(self, tokens: list[str]) -> list[int] | None:
+        """Ids of the slots that the stream's texts stand in; None if the wrapper doesn't fit the stream."""
+        threads: dict = {-1: None}
+        for token in tokens:
+            after: dict = {}
+            for place, path in threads.items():
+                for at in self._step(place, token):
+                    if at not in after:
+                        after[at] = (at, path) if token == SLOT else path
+            threads = after
+        for place, path in threads.items():
+            if self._step(place, None):
+                ids = []
+                while path is not None:
+                    ids.append(path[0])
+                    path = path[1]
+                return ids[::-1]
+        return None
+
+
+@lru_cache(20_000)
+def _place(path: str) -> tuple[bool, tuple[str, ...], int]:
+    """(within an element that never holds article text, ancestors that hold none by their class words, region)."""
+    nodes, article, worded = path.split("/"), False, []
+    for i, node in enumerate(nodes):
         tag, *names = node.split(".")
-        if tag in _OUTSIDE_TAGS or _OUTSIDE_WORDS.intersection(names):
-            return True
-        if tag in ("article", "main"):
-            article = True
-        if not article and (tag == "header" or "header" in names):
-            return True
-    return False
+        article = article or tag in ("article", "main")
+        if tag in _OUTSIDE_TAGS or (tag == "header" and not article):
+            return True, (), 0
+        # What follows a modifier (has-sidebar) isn't what the element is; a page's root is never a part of it.
+        words = [n for before, n in zip(["", *names], names) if before not in _MODIFIERS]
+        if tag not in ("html", "body") and (_OUTSIDE_WORDS.intersection(words) or ("header" in words and not article)):
+            worded.append("/".join(nodes[: i + 1]))
+    return False, tuple(worded), _region(path)
 
 
 def _region(path: str) -> int:
@@ -272,45 +320,43 @@ def _region(path: str) -> int:
     return 1 if any(_ARTICLE_WORDS.intersection(n[1:]) for n in nodes) else 0
 
 
-def content_paths(wrapper: tuple, stats: dict[str, tuple[int, int, int, bool]]) -> list[str]:
-    """Of the wrapper's slots those with article text. stats: path -> (pages, characters, link characters, same on all pages)."""
-    able = []
-    # Where nothing differs the pages are copies, and sameness says nothing about templates.
-    differ = any(not same and not _outside(path) for path, (_, _, _, same) in stats.items())
-    for path in sorted(slots(wrapper) | set(stats)):
-        pages, chars, links, same = stats.get(path, (0, 0, 0, False))
-        same = same and differ and _region(path) < 2  # what stands in the article itself is the article's
-        if not _outside(path) and not (same and pages >= TEMPLATE_PAGES) and links < LINK_SHARE * max(1, chars):
-            able.append(path)
-    most = max(map(_region, able), default=0)
-    return sorted(p for p in able if _region(p) == most)
+def _holds_article(ancestor: str, paths: list[str]) -> bool:
+    """It is the page's outermost article, or holds a heading of the page or an element named like an article."""
+    *above, last = ancestor.split("/")
+    if last.split(".")[0] in ("article", "main") and _region("/".join(above)) < 2:
+        return True
+    for path in paths:
+        for node in path[len(ancestor) + 1 :].split("/"):
+            tag, *names = node.split(".")
+            if tag == "h1" or ((tag in ("article", "main") or _ARTICLE_WORDS.intersection(names)) and not _OUTSIDE_WORDS.intersection(names)):
+                return True
+    return False
+
+
+def regions(texts: list[tuple[str, str, int]]) -> list[int]:
+    """For each (path, text, link characters) of a page its region, or -1 outside of what can be article text.
+
+    Class words put an element outside, unless it holds most of the page's own text and its article.
+    """
+    places = [_place(path) for path, _, _ in texts]
+    holds: dict = dict.fromkeys(w for _, worded, _ in places for w in worded)
+    if holds:
+        total = sum(len(text) - links for _, text, links in texts)
+        for w in holds:
+            inside = [t for t in texts if t[0] == w or t[0].startswith(w + "/")]
+            holds[w] = 2 * sum(len(text) - links for _, text, links in inside) > total and _holds_article(w, [t[0] for t in inside])
+    return [-1 if outside or not all(holds[w] for w in worded) else region for outside, worded, region in places]
 
 
 def _survey(batches):
-    """kind 0: a host's stream and its pages; kind 1: a host's slot path with its figures. Combined within a batch."""
+    """A host's stream and its pages, combined within a batch."""
     for batch in batches:
         streams: dict = defaultdict(int)
-        paths: dict = {}
         for host, page in zip(*(c.to_pylist() for c in batch.columns)):
-            tokens = parse(page)
-            streams[host, _pack(collapse(tuple(t[0] for t in tokens)))] += 1
-            seen: dict = {}
-            for token, path, text, links in tokens:
-                if token == SLOT:
-                    s = seen.setdefault(path, [0, 0, 0])
-                    s[0] += len(text)
-                    s[1] += links
-                    s[2] = zlib.crc32(text.encode("utf-8", "surrogatepass"), s[2])
-            for path, (chars, links, crc) in seen.items():
-                p = paths.setdefault((host, path), [0, 0, 0, crc, crc])
-                p[0] += 1
-                p[1] += chars
-                p[2] += links
-                p[3], p[4] = min(p[3], crc), max(p[4], crc)
-        rows = [(0, h, s, n, 0, 0, 0, 0) for (h, s), n in streams.items()] + [(1, h, p, *v) for (h, p), v in paths.items()]
-        types = [pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 5]
-        names = ["kind", "host", "item", "pages", "chars", "links", "low", "high"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
+            streams[host, _pack(collapse(tuple(t[0] for t in parse(page))))] += 1
+        columns = list(zip(*((h, s, n) for (h, s), n in streams.items()))) or [()] * 3
+        types = [pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "item", "pages"])
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -319,53 +365,123 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": [rows["host"].iloc[0]], "item": [_pack(wrapper)], "pages": [int(rows["pages"].sum())]})
 
 
-def _model(rows: pd.DataFrame) -> pd.DataFrame:
-    streams, paths = rows[rows.kind == 0], rows[rows.kind == 1]
-    wrapper = infer([_unpack(s) for s in streams.sort_values(["pages", "item"], ascending=[False, True])["item"]]) if len(streams) else ()
-    stats = {r.item: (r.pages, r.chars, r.links, r.low == r.high) for r in paths.itertuples()}
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [_pack(wrapper)], "paths": [content_paths(wrapper, stats)]})
+class _Known:
+    """Automata of the wrappers met last, forgotten together at ``_MOST_PLACES`` places."""
+
+    def __init__(self):
+        self.automata: dict = {}
+        self.size = 0
+
+    def read(self, wrapper: str | None, tokens: list) -> list:
+        """(slot id, path, text, link characters) of a page's texts; id -1 without a wrapper that fits."""
+        texts = [t for t in tokens if t[0] == SLOT]
+        automaton = self.automata.get(wrapper)
+        if automaton is None:
+            if self.size > _MOST_PLACES:
+                self.automata, self.size = {}, 0
+            automaton = self.automata[wrapper] = Automaton(_unpack(wrapper or "[]"))
+            self.size += len(automaton)
+        before = len(automaton)
+        ids = automaton.read([t[0] for t in tokens])
+        self.size += len(automaton) - before
+        return [(i, *t[1:]) for i, t in zip([-1] * len(texts) if ids is None else ids, texts)]
+
+
+def _figures(batches):
+    """Of each host, slot and inside (1 in an article): its figures, combined within a batch. batches: html, host, wrapper."""
+    known = _Known()
+    for batch in batches:
+        found: dict = {}
+        for page, host, wrapper in batch:
+            slots = known.read(wrapper, parse(page))
+            here, whole = {}, 0
+            for (slot, _, text, links), region in zip(slots, regions([t[1:] for t in slots])):
+                if region >= 0:
+                    data = text.encode("utf-8", "surrogatepass")
+                    whole = zlib.crc32(data, whole)
+                    s = here.setdefault((host, slot, int(region == 2)), [0, 0, 0])
+                    s[0] += len(text)
+                    s[1] += links
+                    s[2] = zlib.crc32(data, s[2])
+            for key, (chars, links, crc) in here.items():
+                f = found.setdefault(key, [0, 0, 0, crc, crc, whole, whole])
+                f[0] += 1
+                f[1] += chars
+                f[2] += links
+                f[3], f[4], f[5], f[6] = min(f[3], crc), max(f[4], crc), min(f[5], whole), max(f[6], whole)
+        columns = list(zip(*((*k, *v) for k, v in found.items()))) or [()] * 10
+        types = [pa.string(), *[pa.int64()] * 9]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "slot", "inside", "pages", "chars", "links", "low", "high", "page_low", "page_high"])
+
+
+def _with_models(rows: DataFrame, models: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """run() over batches, lists of rows' own columns, host and the model's columns: broadcast, or joined by host."""
+    size = models.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("wrapper")).alias("bytes")).first()
+    own = rows.columns
+    if size.n <= BROADCAST_HOSTS and (size.bytes or 0) <= BROADCAST_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in models.select("host", *columns).collect()})  # at most BROADCAST_HOSTS rows
+        none = (None,) * len(columns)
+
+        def batches(it):
+            for batch in it:
+                table = batch.to_pydict()
+                yield [(*r, *shared.value.get(h, none)) for h, r in zip(table["host"], zip(*(table[c] for c in own)))]
+    else:
+        rows = rows.join(models.select("host", *columns), "host", "left").select(*own, *columns)
+
+        def batches(it):
+            for batch in it:
+                yield list(zip(*(c.to_pylist() for c in batch.columns)))
+
+    return rows.mapInArrow(lambda it: run(batches(it)), schema)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """One row per host: host, wrapper (JSON), paths of its content slots."""
-    survey = pages.select(host_and_path()[0].alias("host"), "html").mapInArrow(_survey, "kind int, host string, item string, pages long, chars long, links long, low long, high long")
-    merged = survey.groupBy("kind", "host", "item").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.min("low").alias("low"), F.max("high").alias("high"))
-    merged = materialise(merged, "html-survey")
-    part = F.when(F.col("kind") == 0, F.pmod(F.xxhash64("item"), F.lit(GROUPS)))
-    streams = merged.filter("kind = 0").withColumn("part", part).select("host", "part", "item", "pages").groupBy("host", "part").applyInPandas(_merge, "host string, item string, pages long")
-    zero = F.lit(0).cast("long")
-    first = streams.select(F.lit(0).alias("kind"), "host", "item", "pages", zero.alias("chars"), zero.alias("links"), zero.alias("low"), zero.alias("high"))
-    out = materialise(first.unionByName(merged.filter("kind = 1")).groupBy("host").applyInPandas(_model, "host string, wrapper string, paths array<string>"), "html-wrappers")
-    discard(merged)
+    """One row per host: host, wrapper (JSON), template and lists (codes of its slots: 2 * id + inside)."""
+    host = host_and_path()[0].alias("host")
+    survey = pages.select(host, "html").mapInArrow(_survey, "host string, item string, pages long")
+    merged = survey.groupBy("host", "item").agg(F.sum("pages").alias("pages"))
+    part = F.pmod(F.xxhash64("item"), F.lit(GROUPS)).alias("part")
+    schema = "host string, item string, pages long"
+    streams = merged.select("host", part, "item", "pages").groupBy("host", "part").applyInPandas(_merge, schema)
+    found = materialise(streams.groupBy("host").applyInPandas(_merge, schema).select("host", F.col("item").alias("wrapper")), "html-wrappers")
+    figures = _with_models(pages.select("html", host), found, ["wrapper"], _figures, "host string, slot long, inside long, pages long, chars long, links long, low long, high long, page_low long, page_high long")
+    least, most = [F.min(c).alias(c) for c in ("low", "page_low")], [F.max(c).alias(c) for c in ("high", "page_high")]
+    figures = figures.filter("slot >= 0").groupBy("host", "slot", "inside").agg(*[F.sum(c).alias(c) for c in ("pages", "chars", "links")], *least, *most)
+    # What stands in the article itself is the article's. Where the whole page is the same too, the pages are copies.
+    template = (F.col("inside") == 0) & (F.col("pages") >= TEMPLATE_PAGES) & (F.col("low") == F.col("high")) & (F.col("page_low") < F.col("page_high"))
+    code = F.col("slot") * 2 + F.col("inside")
+    lists = F.col("links") >= LINK_SHARE * F.col("chars")
+    judged = figures.groupBy("host").agg(F.collect_list(F.when(template, code)).alias("template"), F.collect_list(F.when(lists, code)).alias("lists"))
+    out = materialise(found.join(judged, "host", "left"), "html-models")
+    discard(found)
     return out
 
 
-def extract(page: str | None, paths: set[str]) -> str:
-    return "\n\n".join(text for token, path, text, _ in parse(page) if token == SLOT and path in paths)
-
+def extract(slots: list, template, lists) -> str:
+    """Main text of a page, from its slots: those of the page's own highest region that are neither template nor list of links."""
+    able, chars, linked = [], defaultdict(int), defaultdict(int)
+    for _, path, text, links in slots:
+        chars[path] += len(text)
+        linked[path] += links
+    for (slot, path, text, _), region in zip(slots, regions([t[1:] for t in slots])):
+        code = 2 * slot + (region == 2)
+        # A slot that lists links on other pages may hold prose on this one.
+        if region >= 0 and code not in template and not (code in lists and linked[path] >= LINK_SHARE * chars[path]):
+            able.append((region, text))
+    most = max((region for region, _ in able), default=0)
+    return "\n\n".join(text for region, text in able if region == most)
 
-def _extract(models):
-    def run(batches):
-        known = {h: set(p) for h, p in models.value} if models is not None else None
-        for batch in batches:
-            columns = batch.columns
-            if known is None:
-                chosen = [set(p or ()) for p in columns[4].to_pylist()]
-            else:
-                chosen = [known.get(h, ()) for h in columns[3].to_pylist()]
-            texts = [extract(h, p) for h, p in zip(columns[2].to_pylist(), chosen)]
-            yield pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return run
+def _extract(batches):
+    known = _Known()
+    for batch in batches:
+        texts = [extract(known.read(wrapper, parse(page)), set(template or ()), set(lists or ())) for _, _, page, _, wrapper, template, lists in batch]
+        ids, urls = [r[0] for r in batch], [r[1] for r in batch]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    spark = pages.sparkSession
-    models = wrappers(pages).select("host", "paths")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_and_path()[0].alias("host"))
-    schema = "page_id long, url string, text string, n_chars long"
-    if models.count() <= BROADCAST_HOSTS:
-        shared = spark.sparkContext.broadcast([(r.host, r.paths) for r in models.collect()])  # at most BROADCAST_HOSTS rows
-        return rows.mapInArrow(_extract(shared), schema)
-    return rows.join(models, "host", "left").select("page_id", "url", "html", "host", "paths").mapInArrow(_extract(None), schema)
+    return _with_models(rows, wrappers(pages), ["wrapper", "template", "lists"], _extract, "page_id long, url string, text string, n_chars long")
