@@ -3,20 +3,21 @@
 Every training passage (a window of ``2 L`` words, a new one each ``L`` words, ``L`` a quarter over the
 longest item) queries an inverted index of the test items. The BM25 impact of a term on an item is
 divided by the least score that an item with enough verified overlap can have, so 1 is the threshold for
-every item. Items are indexed in blocks of ``BLOCK_ITEMS``; the sum of a passage's block maxima bounds
-the score of every item of the block from above, so only blocks that reach 1 are scored. What is
+every item. The heavier of an item's question and answer is indexed too, as a further entry with a threshold
+of its own. Entries are indexed in blocks, two for each of ``BLOCK_ITEMS`` items; the sum of a passage's block maxima bounds
+the score of every entry of the block from above, so only blocks that reach 1 are scored. What is
 retrieved is verified: the share of the item's five-word shingles that the passage holds, for question
-and answer together and for each of them. A document leaks an item when it holds 80 % of the item, or
-80 % of the question and 80 % of the answer.
+and answer together and for each of them. A document leaks an item when one passage holds 80 % of the item, or
+one holds 80 % of the question and the same or another one 80 % of the answer.
 
-The threshold loses nothing: overlap of 80 % leaves at most a fifth as many of the item's words missing
-as it has shingles, and the threshold is the item's score without that many of its heaviest words.
+The threshold loses nothing: overlap of 80 % leaves at most a fifth as many of an entry's words missing
+as it has shingles, and the threshold is the entry's score without that many of its heaviest words.
 
 Scale: documents are read once, without a shuffle. The index goes to all tasks, so the items are taken
 in parts of ``PART_ITEMS`` items or ``PART_BYTES`` of text; a larger benchmark costs further passes over the documents.
 
 Defined results: null, empty or wordless texts and items leak nothing; items of under five words are one
-shingle; repeated items are matched one by one; null item ids are kept as null; repeated documents each
+shingle and aren't split; a question or answer of under five words is one run of words, wherever it stands; repeated items are matched one by one; null item ids are kept as null; repeated documents each
 count; empty tables give an empty result.
 """
 
@@ -36,6 +37,7 @@ from ledgerkit.llm.shingles import WORDS, rolling, word_hashes, words_of
 OVERLAP_PERCENT = 80
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 8
+_BLOCK = 2 * BLOCK_ITEMS
 #: Text, and number, of the items that one pass over the documents looks for: the index stays below 100 MB.
 PART_BYTES, PART_ITEMS = 1 << 20, 1000
 
@@ -49,19 +51,38 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     body = text.strip()
     head, _, tail = body.rpartition("\n")
     if not head.strip():
-        head, _, tail = body.rstrip(".").rpartition(". ")
+        cut = body.rstrip(".").rfind(". ") + 1  # words keep their full stops, as they have them in a document
+        head, tail = body[:cut], body[cut:]
     return words_of(head), words_of(tail)
 
 
+class _Passage:
+    """Shingles of a passage, by width, as they are asked for."""
+
+    def __init__(self, words: list[bytes]):
+        self.words, self.sets = words, {}
+
+    def share(self, part: tuple[int, np.ndarray]) -> float:
+        width, shingles = part
+        if not len(shingles):
+            return 0.0
+        if width not in self.sets:
+            self.sets[width] = np.unique(rolling(word_hashes(self.words), width))
+        return float(np.isin(shingles, self.sets[width], assume_unique=True).mean())
+
+
+def _part(words: list[bytes]) -> tuple[int, np.ndarray]:
+    return min(WORDS, len(words)), _shingles(words)
+
+
 class Index:
     def __init__(self, items: list[tuple[int | None, str]]):
         self.items = []
         for item_id, text in items:
             words = words_of(text)
             if words:
-                q, a = question_and_answer(text)
-                self.items.append((item_id, words, _shingles(words), _shingles(q), _shingles(a)))
-        # Items of like length stand together, so that the maxima of a block are near each of its items.
+                q, a = question_and_answer(text) if len(words) >= WORDS else ([], [])
+                self.items.append((item_id, words, (WORDS, _shingles(words)), _part(q), _part(a), (q, a) if q and a else ()))
         self.items.sort(key=lambda x: (len(x[1]), x[0] is None, x[0] or 0, x[1]))
         n = len(self.items)
         self.stride = max([16, *(len(x[1]) * 5 // 4 + 1 for x in self.items)])
@@ -70,28 +91,35 @@ class Index:
             for w in x[1]:
                 terms.setdefault(w, len(terms))
         self.terms = terms
-        blocks = -(-n // BLOCK_ITEMS) if n else 0
         df = np.zeros(len(terms))
-        counted = []
         for x in self.items:
-            ids, tf = np.unique(np.fromiter((terms[w] for w in x[1]), np.int64), return_counts=True)
-            counted.append((ids, tf))
-            df[ids] += 1
+            df[np.unique(np.fromiter((terms[w] for w in x[1]), np.int64))] += 1
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         mean = sum(len(x[1]) for x in self.items) / max(1, n)
-        self.block_max = np.zeros((len(terms), blocks), np.float32)
-        self.scored = []
-        for i, (ids, tf) in enumerate(counted):
-            w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.items[i][1]) / mean))
-            _, _, all_, q, a = self.items[i]
-            missing = (100 - OVERLAP_PERCENT) * max(len(all_), len(q) + len(a)) // 100
-            least = w.sum() - np.sort(w)[::-1][:missing].sum()
-            w = (w / max(least, 1e-9)).astype(np.float32) * np.float32(1 + 1e-5)
-            self.scored.append((ids, w))
-            np.maximum.at(self.block_max[:, i // BLOCK_ITEMS], ids, w)
+
+        def entry(words: list[bytes], shingles: int):
+            """(least score, words, terms, impacts relative to the least score, heaviest terms of which one has to be there)."""
+            ids, tf = np.unique(np.fromiter((terms[w] for w in words), np.int64), return_counts=True)
+            w = idf[ids] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
+            missing = (100 - OVERLAP_PERCENT) * shingles // 100
+            order = np.argsort(-w)
+            least = w.sum() - w[order[:missing]].sum()
+            return least, len(words), ids, (w / max(least, 1e-9)).astype(np.float32) * np.float32(1 + 1e-5), tuple(ids[order[: missing + 1]].tolist())
+
+        entries = []
+        for i, (_, words, all_, q, a, parts) in enumerate(self.items):
+            entries.append((entry(words, len(all_[1])), i))
+            if parts:  # both have to be found, so the heavier one retrieves
+                entries.append((max((entry(words, len(s[1])) for words, s in zip(parts, (q, a))), key=lambda e: e[0]), i))
+        # Entries of like length stand together, so that the maxima of a block are near each of them.
+        entries.sort(key=lambda e: (e[0][1], e[1]))
+        self.scored = [(i, *e[2:]) for e, i in entries]
+        self.block_max = np.zeros((len(terms), -(-len(entries) // _BLOCK)), np.float32)
+        for e, (_, ids, impact, _) in enumerate(self.scored):
+            np.maximum.at(self.block_max[:, e // _BLOCK], ids, impact)
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
-        """Place of an item -> (BM25 score relative to its threshold, overlap of the item, question, answer)."""
+        """Place of an item -> (BM25 score relative to its threshold, overlap of the item, question, answer): the best of all passages."""
         words = words_of(text)
         if not words or not self.items:
             return {}
@@ -106,28 +134,38 @@ class Index:
         bound = np.zeros((int(part[-1]) + 2, self.block_max.shape[1]), np.float32)
         bound[part[starts]] = np.add.reduceat(self.block_max[term], starts, axis=0)
         window, block = np.nonzero(bound[:-1] + bound[1:] >= 1)
-        found: dict[int, tuple[float, float, float, float]] = {}
-        last, here, shingles = -1, None, None
+        best: dict[int, list[float]] = {}
+        last, here, passage = -1, None, None
         present = np.zeros(len(self.terms), bool)
         for w, b in zip(window.tolist(), block.tolist()):
             if w != last:
                 if here is not None:
                     present[here] = False
                 span = ids[w * self.stride : (w + 2) * self.stride]
-                here, shingles, last = span[span >= 0], None, w
+                here, passage, last = span[span >= 0], None, w
                 present[here] = True
-            for i in range(b * BLOCK_ITEMS, min(len(self.items), (b + 1) * BLOCK_ITEMS)):
-                terms, impact = self.scored[i]
+                held_terms = set(here.tolist())
+            for i, terms, impact, heaviest in self.scored[b * _BLOCK : (b + 1) * _BLOCK]:
+                if held_terms.isdisjoint(heaviest):
+                    continue
                 score = float(impact[present[terms]].sum())
                 if score < 1:
                     continue
-                if shingles is None:
-                    shingles = _shingles(words[w * self.stride : (w + 2) * self.stride])
-                _, _, all_, q, a = self.items[i]
-                whole, of_q, of_a = (float(np.isin(s, shingles, assume_unique=True).mean()) if len(s) else 0.0 for s in (all_, q, a))
-                if 100 * whole >= OVERLAP_PERCENT or (100 * of_q >= OVERLAP_PERCENT and 100 * of_a >= OVERLAP_PERCENT):
-                    found[i] = max(found.get(i, (0.0,) * 4), (score, whole, of_q, of_a))
-        return found
+                if passage is None:
+                    passage = _Passage(words[w * self.stride : (w + 2) * self.stride])
+                _, _, all_, q, a, _ = self.items[i]
+                held = score, passage.share(all_), passage.share(q), passage.share(a)
+                best[i] = [max(x) for x in zip(best[i], held)] if i in best else [*held]
+        passages = None
+        for i, held in best.items():
+            enough = [100 * x >= OVERLAP_PERCENT for x in held]
+            if self.items[i][5] and not enough[1] and enough[2] != enough[3]:
+                # One part is held; the other one may stand anywhere in the document.
+                other = 3 if enough[2] else 2
+                if passages is None:
+                    passages = [_Passage(words[at : at + 2 * self.stride]) for at in range(0, len(words), self.stride)]
+                held[other] = max(p.share(self.items[i][other + 1]) for p in passages)
+        return {i: tuple(x) for i, x in best.items() if 100 * x[1] >= OVERLAP_PERCENT or (100 * x[2] >= OVERLAP_PERCENT and 100 * x[3] >= OVERLAP_PERCENT)}
 
 
 def _parts(items: DataFrame, part_bytes: int) -> Iterator[Index]:
