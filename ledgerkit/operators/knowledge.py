@@ -99,16 +99,70 @@ def close_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else None for x, y in zip(a, b)], dtype=float)
 
 
+_GRAM = 3
+
+
+def _close_pairs(queries: DataFrame, aliases: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs of query and alias that may reach the cutoff; none that does is missing.
+
+    At a ratio of ``cutoff`` or more all but ``a + b - 2 M`` letters match in order, where ``2 M >= cutoff (a + b)``. A letter
+    without a partner costs a name ``_GRAM`` of its runs of letters, one of the other name ``_GRAM - 1``; that is most where the other
+    is as short as it may be. So of each name's runs, in one order, so many and one more hold a common one.
+    """
+    from collections import Counter
+
+    shortest = cutoff / (2 - cutoff)
+    if _GRAM * (1 - shortest) >= 1:  # a pair may have no run in common
+        return queries.crossJoin(aliases)
+
+    @F.pandas_udf("array<string>")
+    def runs(names: pd.Series) -> pd.Series:
+        out = []
+        for name in names:
+            seen: Counter = Counter()
+            padded = "\x02" * (_GRAM - 1) + name + "\x03" * (_GRAM - 1)
+            here = []
+            for i in range(len(padded) - _GRAM + 1):
+                g = padded[i : i + _GRAM]
+                here.append(f"{g}{seen[g]}")
+                seen[g] += 1
+            out.append(here)
+        return pd.Series(out)
+
+    both = queries.select(F.col("query").alias("name")).unionByName(aliases.select(F.col("alias").alias("name")))
+    each = both.distinct().withColumn("run", F.explode(runs("name")))
+    often = each.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
+    keep = F.floor(_GRAM * (1 - shortest) * F.length("name") + 1e-6) + 1
+    first = each.join(often, "run").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("often", "run"))).alias("runs"))
+    first = first.select("name", F.explode(F.slice("runs", F.lit(1), keep.cast("int"))["run"]).alias("run"))
+    q = queries.join(first.withColumnRenamed("name", "query"), "query")
+    a = aliases.join(first.withColumnRenamed("name", "alias"), "alias")
+    fits = 2 * F.least(F.length("query"), F.length("alias")) >= cutoff * (F.length("query") + F.length("alias")) - 1e-6
+    return q.join(a, "run").filter(fits).select("query", "alias").distinct()
+
+
+def _words_held(queries: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Pairs of a query and an alias of three letters or more that stands in it as whole words."""
+    words = F.split("query", " ")
+    n = F.size(words)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
+    held = queries.select("query", F.explode(F.array_distinct(parts)).alias("alias"))
+    return held.join(aliases.filter(F.length("alias") >= 3), "alias").select("query", "alias")
+
+
 def suggestions(queries: DataFrame, aliases: DataFrame, cutoff: float = 0.88, n: int = 4) -> DataFrame:
-    """Close aliases of each query: pairs share their first three letters (a blocking key), lengths allow the cutoff."""
+    """At most ``n`` aliases of each query: close ones by ratio, then those that it holds as whole words, the longest first.
+
+    Ties go to the alias first in order. The ratio of the latter is given too.
+    """
     from pyspark.sql import Window
 
-    q = queries.select(F.col("name").alias("query"), F.substring("name", 1, 3).alias("b"))
-    a = aliases.select("alias", F.substring("alias", 1, 3).alias("b"))
-    able = q.join(a, "b").filter(2 * F.least(F.length("query"), F.length("alias")) >= cutoff * (F.length("query") + F.length("alias")))
-    scored = able.select("query", "alias", close_ratio("query", "alias").alias("ratio")).filter(F.col("ratio") >= cutoff)
-    w = Window.partitionBy("query").orderBy(F.desc("ratio"), "alias")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    q = queries.select(F.col("name").alias("query")).filter("query <> ''").distinct()
+    a = aliases.select("alias").filter("alias <> ''").distinct()
+    close = _close_pairs(q, a, cutoff).select("query", "alias", close_ratio("alias", "query").alias("ratio")).filter(F.col("ratio") >= cutoff).withColumn("__close", F.lit(True))
+    held = _words_held(q, a).join(close.select("query", "alias"), ["query", "alias"], "left_anti").select("query", "alias", close_ratio("alias", "query").alias("ratio"), F.lit(False).alias("__close"))
+    w = Window.partitionBy("query").orderBy(F.desc("__close"), F.when(F.col("__close"), -F.col("ratio")).otherwise(-F.length("alias")), "alias")
+    return close.unionByName(held).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).drop("__close")
 
 
 @F.pandas_udf(T.StringType())

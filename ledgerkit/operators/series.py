@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+from statistics import median
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,18 +129,30 @@ def fix_drift(placed: DataFrame) -> DataFrame:
     return placed.groupBy("account").applyInPandas(walk, "account long, id long, month string, cents long")
 
 
-def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100) -> DataFrame:
-    """The latest lasting change of a flat bill: account, day, old and new cents, where the new level held ``hold`` payments."""
+def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100, baseline: int = 6) -> DataFrame:
+    """The latest change of a flat bill whose new level held ``hold`` payments: account, day, old and new cents.
+
+    The levels are medians: of the payments that hold the new one, and of those among the ``baseline`` before
+    that hold the old one (of all of these, if fewer than ``hold`` do).
+    """
+
+    def level(values: list[int], anchor: int) -> list[int]:
+        return list(takewhile(lambda x: abs(x - anchor) < tolerance, values))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "id"])
         day, c = pdf["day"].tolist(), pdf["cents"].tolist()
         for i in range(len(c) - 1, 0, -1):
-            run = 0
-            while i + run < len(c) and abs(c[i + run] - c[i]) < tolerance:
-                run += 1
-            if run >= hold and i + run == len(c) and abs(c[i] - c[i - 1]) >= tolerance:
-                return pd.DataFrame([(pdf["account"].iloc[0], day[i], c[i - 1], c[i])], columns=["account", "day", "old_cents", "new_cents"])
+            if abs(c[i] - c[i - 1]) < tolerance:
+                continue
+            run = level(c[i:], c[i])
+            if len(run) < hold:
+                continue
+            before = c[max(0, i - baseline) : i]
+            back = level(before[::-1], c[i - 1])
+            old, new = round(median(back if len(back) >= hold else before)), round(median(run))
+            if abs(new - old) >= tolerance:
+                return pd.DataFrame([(pdf["account"].iloc[0], day[i], old, new)], columns=["account", "day", "old_cents", "new_cents"])
         return pd.DataFrame([], columns=["account", "day", "old_cents", "new_cents"])
 
     return payments.filter("cents > 0").groupBy("account").applyInPandas(find, "account long, day date, old_cents long, new_cents long")
