@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import takewhile
 from statistics import median
 
@@ -136,7 +137,7 @@ def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100, baselin
     that hold the old one (of all of these, if fewer than ``hold`` do).
     """
 
-    def level(values: list[int], anchor: int) -> list[int]:
+    def level(values: Iterable[int], anchor: int) -> list[int]:
         return list(takewhile(lambda x: abs(x - anchor) < tolerance, values))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +146,7 @@ def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100, baselin
         for i in range(len(c) - 1, 0, -1):
             if abs(c[i] - c[i - 1]) < tolerance:
                 continue
-            run = level(c[i:], c[i])
+            run = level((c[j] for j in range(i, len(c))), c[i])
             if len(run) < hold:
                 continue
             before = c[max(0, i - baseline) : i]
