@@ -76,6 +76,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
 
 #: Keys of eight bytes that may be broadcast: 16 MB.
 BROADCAST_KEYS = 2_000_000
+#: Narrow rows, of a hundred bytes at most, that may be broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def sized_join(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:

@@ -6,12 +6,18 @@ itself or not, has a set of Jaccard similarity 0.8 or more.
 
 The join: words are ordered by rarity, estimated from counts in 2**21 cells that every task shares; any
 common order is right, a good one is fast. Two similar sets share one of their first
-``n - ceil(0.8 n) + 1`` words, so nodes meet on such words only. Of nodes that meet, those pass whose
-sizes, positions and 64-bit parity signatures allow the similarity; it is then verified on the words.
+``n - ceil(0.8 n) + 1`` words, so nodes meet in tiles of such words only. Of nodes that meet, those pass whose
+sizes, positions and parity signatures allow the similarity; it is then verified on the words.
+
+A node goes when a single earlier one is similar, so it needn't meet all. First each node is verified against the
+earlier node of each tile whose signature is nearest. Only nodes that are still there and had
+further candidates in a tile are verified against all of those. A group of near copies thus costs pairs in
+proportion to its nodes.
 
 Scale: equal lines are joined by an aggregation that combines map-side, so a line of a third of all rows
-costs one node. Tiles of a word are compared inside a task while small; a word with a large tile becomes
-a shuffled join on word and size band, whose bands and shares of a hot word run in tasks of their own.
+costs one node. Tiles of up to ``TILE_ROWS`` are compared inside a task. Of larger tiles nodes are compared
+with the tile's first ones and their neighbours; what is left becomes a shuffled join on word and size
+band. Tiles of very frequent words are salted, so that no task has a whole one.
 
 Defined results: null text has no lines; blank lines are kept; repeated rows repeat their lines, of
 which the first stays; where doc_ids repeat or are null, documents come in the order they are read; an empty table gives an empty result.
@@ -21,152 +27,276 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import discard, keyed, materialise, sized_join
-from ledgerkit.llm.shingles import word_hashes, words_of
+from ledgerkit.llm.common import BROADCAST_ROWS, discard, keyed, materialise
+from ledgerkit.llm.words import bytes_of, chunks, distinct, line_words, mix, word_hashes
 
 PERCENT = 80
 CELL_BITS = 21
 TILE_ROWS = 256
+#: Rows of a large tile that each of its rows is compared with, beside its neighbours.
+LEADERS = 32
+#: Occurrences of a word from which on its tile is salted into parts of about as many.
+HOT = 100_000
+#: Sets of more words have a second signature.
+_WIDE = 64
 _MASK = np.uint64((1 << CELL_BITS) - 1)
-
-
-def line_set(line: str) -> np.ndarray:
-    return np.unique(word_hashes(words_of(line)))
-
-
-def _signature(s: np.ndarray) -> int:
-    bits = np.bincount(((s >> np.uint64(40)) & np.uint64(63)).astype(np.int64), minlength=64) & 1
-    return int(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)[0])
+_POST = ["h", "salt", "k", "line", "n", "at", "sig", "wide"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def _count(batches):
     cells = np.zeros(1 << CELL_BITS, np.int32)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                np.add.at(cells, (word_hashes(words_of(text)) & _MASK).astype(np.int64), 1)
+    for batch in chunks(batches, 0):
+        np.add.at(cells, (word_hashes(batch.column(0))[0] & _MASK).astype(np.int64), 1)
     often = np.flatnonzero(cells > 1)
     for at in range(0, len(often), 100_000):
         some = often[at : at + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some].astype(np.int64))], names=["cell", "n"])
 
 
+def _sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (key, text) the lines with a word: row, number, sorted distinct word hashes, where each line's begin, how many they are."""
+    words, bounds, row, line = line_words(batch.column(1))
+    s, g = distinct(words, np.repeat(np.arange(len(row)), np.diff(bounds)))
+    n = np.bincount(g, minlength=len(row))
+    return row, line, s, np.r_[0, np.cumsum(n)[:-1]].astype(np.int64), n
+
+
+def _signatures(s: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parities of the sets' words in 64 places, and for larger sets in 64 others: they differ in as many places at most as the sets in words."""
+    one = np.uint64(1)
+    sig = np.bitwise_xor.reduceat(one << (s >> np.uint64(40) & np.uint64(63)), starts)
+    second = s >> np.uint64(46) & one
+    low = np.bitwise_xor.reduceat((one - second) << (s >> np.uint64(40) & np.uint64(63)), starts)
+    high = np.bitwise_xor.reduceat(second << (s >> np.uint64(40) & np.uint64(63)), starts)
+    wide = n > _WIDE
+    return np.where(wide, low, sig).view(np.int64), np.where(wide, high, 0).astype(np.uint64).view(np.int64)
+
+
+def _identity(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """128 bits of each set, independent of order."""
+    with np.errstate(over="ignore"):
+        return [np.add.reduceat(mix(s ^ np.uint64(c)), starts).view(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
 def _lines(counts):
-    """A row for each line with a word: key, line, set size, two hashes of the set, signature, prefix."""
+    """A row for each line with a word: key, line, two hashes of the set, and with ``counts`` set size, signatures, prefix."""
 
     def run(batches):
-        weight = counts.value
-        for batch in batches:
-            rows = []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for at, line in enumerate(text.split("\n") if text else ()):
-                    s = line_set(line)
-                    n = len(s)
-                    if n:
-                        raw = s.tobytes()
-                        take = n - (PERCENT * n + 99) // 100 + 1
-                        first = s[np.lexsort((s, weight[(s & _MASK).astype(np.int64)]))[:take]]
-                        h = xxhash.xxh3_128_intdigest(raw)
-                        rows.append((key, at, n, (h & (1 << 63) - 1), (h >> 64 & (1 << 63) - 1), _signature(s), (first >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                if len(rows) > 2000:
-                    yield _line_batch(rows)
-                    rows = []
-            if rows:
-                yield _line_batch(rows)
+        for batch in chunks(batches, 1):
+            row, line, s, starts, n = _sets(batch)
+            if not len(row):
+                continue
+            keys = batch.column(0).take(pa.array(row))
+            cols = [keys, pa.array(line.astype(np.int32)), *map(pa.array, _identity(s, starts))]
+            names = ["k", "line", "h1", "h2"]
+            if counts is not None:
+                group = np.repeat(np.arange(len(n)), n)
+                often = counts.value[(s & _MASK).astype(np.int64)]
+                order = np.argsort(group.astype(np.uint64) << np.uint64(32) | often.astype(np.uint64), kind="stable")  # hashes ascend already
+                take = n - (PERCENT * n + 99) // 100 + 1
+                first = order[np.arange(len(s)) - np.repeat(starts, n) < np.repeat(take, n)]
+                ends = pa.array(np.r_[0, np.cumsum(take)].astype(np.int32))
+                prefix = pa.ListArray.from_arrays(ends, pa.array((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                salts = pa.ListArray.from_arrays(ends, pa.array((often[first] // HOT).astype(np.int32)))
+                cols += [pa.array(n.astype(np.int32)), *map(pa.array, _signatures(s, starts, n)), prefix, salts]
+                names += ["n", "sig", "wide", "first", "salts"]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
 
 
-def _line_batch(rows):
-    *cols, first = zip(*rows)
-    at = pa.array(np.r_[0, np.cumsum([len(f) for f in first])], pa.int32())
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(cols, types)], pa.ListArray.from_arrays(at, pa.array(np.concatenate(first)))], names=["k", "line", "n", "h1", "h2", "sig", "first"])
-
-
-def _meet(batches):
-    """Rows sorted by word and size come in; pairs that may be similar go out (kind 0), or rows of large tiles (kind 1)."""
-    names = ["kind", "h", "a", "b", "n", "at", "sig"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-
-    def out(kind, h, a, b, n, at, sig):
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(a)), t) for x, t in zip((kind, h, a, b, n, at, sig), types)], names=names)
-
-    def apart(h, k, n, at, sig):
-        return out(1, h, k, 0, n, at, sig)
-
-    def close(h, k, n, at, sig):
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sizes = np.diff(np.r_[starts, len(h)])
-        big = np.repeat(sizes > TILE_ROWS, sizes)
-        if big.any():
-            yield apart(*(x[big] for x in (h, k, n, at, sig)))
-        keep = np.repeat((sizes > 1) & (sizes <= TILE_ROWS), sizes)
-        h, k, n, at, sig = (x[keep] for x in (h, k, n.astype(np.int64), at, sig))
-        if not len(h):
-            return
-        starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        sizes = np.diff(np.r_[starts, len(h)])
-        ends, here, found = np.repeat(starts + sizes, sizes), np.arange(len(h)), []
-        for step in range(1, TILE_ROWS):
+class _Tiles:
+    """Rows of posts, with ``group``: rows of one group are compared with each other."""
+
+    def __init__(self, cols: list[np.ndarray], group: np.ndarray):
+        self.cols, self.group = cols, group
+        self.h, self.salt, self.k, self.line, n, at, self.sig, self.wide = cols[:8]
+        self.n, self.at = n.astype(np.int64), at.astype(np.int64)
+
+    def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(later, earlier, places in which signatures differ) of those pairs of rows that may be similar."""
+        n, m = self.n[i], self.n[j]
+        both = n + m
+        # Two words of a line may share the 32 bits of h: a line doesn't meet itself.
+        ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((self.k[i] != self.k[j]) | (self.line[i] != self.line[j]))
+        ok &= (100 + PERCENT) * np.minimum(n - self.at[i], m - self.at[j]) >= PERCENT * both
+        i, j, both, alike = i[ok], j[ok], both[ok], ((n > _WIDE) == (m > _WIDE))[ok]
+        differ = np.bitwise_count((self.sig[i] ^ self.sig[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((self.wide[i] ^ self.wide[j]).view(np.uint64))
+        differ[~alike] = 0
+        ok = (100 + PERCENT) * (both - differ) >= 2 * PERCENT * both
+        i, j, differ = i[ok], j[ok], differ[ok]
+        later = (self.k[i] > self.k[j]) | ((self.k[i] == self.k[j]) & (self.line[i] > self.line[j]))
+        return np.where(later, i, j), np.where(later, j, i), differ
+
+    def pairs(self):
+        """Pairs of rows of a group, in pieces: every row with those that are larger, but not too large."""
+        order = np.lexsort((self.n, self.group))
+        group, n = self.group[order], self.n[order]
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        sizes = np.diff(np.r_[starts, len(group)])
+        ends, here = np.repeat(starts + sizes, sizes), np.arange(len(group))
+        for step in range(1, int(sizes.max(initial=0))):
             here = here[here + step < ends[here]]
-            here = here[100 * n[here] >= PERCENT * n[np.minimum(here + step, len(h) - 1)]]
+            here = here[100 * n[here] >= PERCENT * n[here + step]]
             if not len(here):
-                break
-            i, j = here, here + step
-            both = PERCENT * (n[i] + n[j])
-            differ = np.bitwise_count((sig[i] ^ sig[j]).view(np.uint64)).astype(np.int64)
-            ok = ((100 + PERCENT) * np.minimum(n[i] - at[i], n[j] - at[j]) >= both) & ((100 + PERCENT) * (n[i] + n[j] - differ) >= 2 * both)
-            found.append(np.stack([np.minimum(k[i], k[j]), np.maximum(k[i], k[j])])[:, ok])
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.empty((2, 0))
-        if pairs.shape[1]:
-            yield out(0, 0, pairs[0], pairs[1], 0, 0, 0)
-
-    rest, large = None, None
-    for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        if large is not None and len(cols[0]):
-            same = cols[0] == large
-            if same.any():
-                yield apart(*(c[same] for c in cols))
-                cols = [c[~same] for c in cols]
-            if len(cols[0]):
-                large = None
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        h = cols[0]
-        if not len(h):
+                return
+            yield order[here], order[here + step]
+
+    def rows(self, which: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
+        return [*(pa.array(c[which]).cast(t) for c, t in zip(self.cols[:8], _TYPES)), *map(pa.array, more)]
+
+
+def _stream(batches, columns: int = 8):
+    """Rows sorted by tile (h, salt) and place, in pieces of at most ``TILE_ROWS`` rows of a tile.
+
+    Yields (columns, number of each row's piece, whether its tile is large, row of its tile's first row); the first
+    rows of a tile that goes on are given again, as piece -1. Large are tiles of several pieces, and salted ones.
+    """
+    held, lead, seen = None, None, 0
+    for batch in _and_none(batches):
+        if batch is not None:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+        else:
+            cols = held
+        if cols is None or not len(cols[0]):
             continue
-        cut = int(np.flatnonzero(np.r_[True, h[1:] != h[:-1]])[-1])
+        at = np.arange(len(cols[0]))
+        new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        tile = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        place = at - first[tile]
+        place[tile == 0] += seen
+        begins = new | (place % TILE_ROWS == 0)
+        large = (np.maximum.reduceat(place, first) >= TILE_ROWS) | (cols[1][first] > 0)
+        cut = len(at) if batch is None else int(np.flatnonzero(begins)[-1])
         if cut:
-            yield from close(*(c[:cut] for c in cols))
-        rest = [c[cut:] for c in cols]
-        if len(rest[0]) > TILE_ROWS:
-            yield apart(*rest)
-            rest, large = None, h[-1]
-    if rest is not None and len(rest[0]):
-        yield from close(*rest)
+            extra = 0 if lead is None else len(lead[0])
+            given = [c[:cut] if lead is None else np.concatenate([x, c[:cut]]) for c, x in zip(cols, lead or cols)]
+            head = first[tile[:cut]] + extra
+            head[tile[:cut] == 0] = 0
+            yield given, np.r_[np.full(extra, -1), np.cumsum(begins[:cut])], np.r_[np.full(extra, True), large[tile[:cut]]], np.r_[np.zeros(extra, np.int64), head]
+        if batch is not None:
+            begun = int(place[cut])
+            if not begun:
+                lead, seen = None, 0
+            elif tile[cut] or lead is None:
+                lead, seen = [c[first[tile[cut]] :][:LEADERS] for c in cols], begun
+            else:
+                seen = begun
+            held = [c[cut:] for c in cols]
 
 
-def _sets(batches):
-    for batch in batches:
-        rows = [(key, at, line_set(line).tobytes()) for key, text in zip(*(c.to_pylist() for c in batch.columns)) for at, line in enumerate(text.split("\n") if text else ()) if line.strip()]
-        cols = list(zip(*rows)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()))], names=["k", "line", "s"])
+def _and_none(batches):
+    yield from batches
+    yield None
+
+
+_MET = ["kind", *_POST, "open", "xk", "xline"]
+_MET_SCHEMA = "kind int, h int, salt int, k long, line int, n int, at int, sig long, wide long, open boolean, xk long, xline int"
+
+
+def _meet(batches):
+    """For each row the nearest earlier one that it may be similar to (kind 0), and the rows of tiles that have more: small (1), large (2)."""
+    for cols, piece, large, head in _stream(batches):
+        t = _Tiles(cols, piece)
+        own = np.flatnonzero(piece >= 0)
+        size = len(piece)
+        best, nearest, many = np.full(size, 1 << 30), np.zeros(size, np.int64), np.zeros(size, np.int64)
+
+        def leaders():
+            on = own[large[own]]
+            for step in range(LEADERS):
+                x = head[on] + step
+                ok = x < on
+                x, y = x[ok], on[ok]
+                ok = head[x] == head[y]
+                yield x[ok], y[ok]
+
+        within = _Tiles([c[own] for c in cols], piece[own])
+        for i, j in (*((own[a], own[b]) for a, b in within.pairs()), *leaders()):
+            later, earlier, differ = t.close(i, j)
+            if not len(later):
+                continue
+            many += np.bincount(later, minlength=size)
+            order = np.lexsort((differ, later))
+            later, earlier, differ = later[order], earlier[order], differ[order]
+            one = np.r_[True, later[1:] != later[:-1]]
+            later, earlier, differ = later[one], earlier[one], differ[one]
+            nearer = differ < best[later]
+            best[later[nearer]], nearest[later[nearer]] = differ[nearer], earlier[nearer]
+        y = np.flatnonzero(many)
+        y = y[piece[y] >= 0]
+        x = nearest[y]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(y), np.int32)), *t.rows(y, many[y] > 1, t.k[x], t.line[x].astype(np.int32))], names=_MET)
+        going_on = np.zeros(int(piece.max(initial=0)) + 2, bool)
+        going_on[piece[own[many[own] > 1]]] = True
+        for kind, rows in ((1, own[~large[own] & going_on[piece[own]]]), (2, own[large[own]])):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *t.rows(rows, (many[rows] > 1) | (kind == 2), t.k[rows], t.line[rows].astype(np.int32))], names=_MET)
+
+
+def _meet_all(batches):
+    """All earlier candidates of a small tile's open rows: k, line, xk, xline."""
+    for cols, piece, _, _ in _stream(batches, 9):
+        t, open_ = _Tiles(cols, piece), cols[8].astype(bool)
+        for i, j in t.pairs():
+            later, earlier, _ = t.close(i, j)
+            later, earlier = later[open_[later]], earlier[open_[later]]
+            if len(later):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t.k[later], t.line[later], t.k[earlier], t.line[earlier])], names=["k", "line", "xk", "xline"])
+
+
+def _wanted(batches):
+    """The sets of a document's wanted lines. batches: k, text, wanted."""
+    for batch in chunks(batches, 1):
+        row, line, s, starts, n = _sets(batch)
+        wanted = batch.column(2)
+        ask = np.repeat(np.arange(len(wanted)), np.diff(np.asarray(wanted.offsets))) << 32 | np.asarray(wanted.flatten()).astype(np.int64)
+        some = np.isin(row << 32 | line, ask)
+        raw = s.tobytes()
+        data = [raw[8 * a : 8 * (a + c)] for a, c in zip(starts[some].tolist(), n[some].tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(line[some].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "line", "s"])
 
 
 def _similar(batches):
+    """Of rows (k, line, one set, another set) those whose sets are similar."""
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["node"])
+        sets, group, sizes = [], [], []
+        for c in (2, 3):
+            data, offsets = bytes_of(batch.column(c))
+            n = np.diff(offsets) // 8
+            sets.append(data.view(np.uint64))
+            group.append(np.repeat(np.arange(len(n)), n))
+            sizes.append(n)
+        s, g = np.concatenate(sets), np.concatenate(group)
+        order = np.lexsort((s, g))
+        s, g = s[order], g[order]
+        both = np.bincount(g[1:][(s[1:] == s[:-1]) & (g[1:] == g[:-1])], minlength=len(batch))
+        ok = 100 * both >= PERCENT * (sizes[0] + sizes[1] - both)
+        yield batch.select([0, 1]).filter(pa.array(ok))
+
+
+def _limited(keys: DataFrame) -> DataFrame:
+    """Broadcast when it has few rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (k, line, xk, xline) the distinct (k, line) whose sets are similar to that of (xk, xline)."""
+    ends = pairs.select("k", "line").unionByName(pairs.select(F.col("xk").alias("k"), F.col("xline").alias("line")))
+    wanted = materialise(ends.groupBy("k").agg(F.collect_set("line").alias("wanted")), "line-wanted")
+    sets = materialise(texts.join(_limited(wanted), "k").select("k", "text", "wanted").mapInArrow(_wanted, "k long, line int, s binary"), "line-sets")
+    x = sets.select(F.col("k").alias("xk"), F.col("line").alias("xline"), F.col("s").alias("x"))
+    joined = pairs.join(x, ["xk", "xline"]).join(sets, ["k", "line"]).select("k", "line", "s", "x")
+    out = materialise(joined.mapInArrow(_similar, "k long, line int").distinct(), "line-late")
+    discard(wanted, sets)
+    return out
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -178,39 +308,40 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     for r in texts.select("text").mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**CELL_BITS rows
         table[r.cell] = min(r.n, 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
-    lines = texts.mapInArrow(_lines(counts), "k long, line int, n int, h1 long, h2 long, sig long, first array<int>")
+    narrow = materialise(texts.mapInArrow(_lines(None), "k long, line int, h1 long, h2 long"), "line-hashes")
+    lines = texts.mapInArrow(_lines(counts), "k long, line int, h1 long, h2 long, n int, sig long, wide long, first array<int>, salts array<int>")
     # The first line of each set, in document order; its figures are the set's, whichever line gives them.
-    grouped = lines.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("first").alias("first"))
-    nodes = materialise(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "start", "lines", "n", "sig", "first"), "line-nodes")
-    posts = nodes.select(F.posexplode("first").alias("at", "h"), "node", "n", "sig").select("h", F.col("node").alias("k"), "n", "at", "sig")
-    met = materialise(posts.repartition("h").sortWithinPartitions("h", "n").mapInArrow(_meet, "kind int, h int, a long, b long, n int, at int, sig long"), "line-pairs")
-    large = met.filter("kind = 1").select("h", F.col("a").alias("k"), "n", "at", "sig", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int").alias("band"))
-    probes = large.withColumn("band", F.explode(F.array("band", F.col("band") + 1, F.col("band") + 2)))
+    nodes = lines.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), *[F.first(c).alias(c) for c in ("n", "sig", "wide", "first", "salts")])
+    posts = nodes.select(F.posexplode(F.arrays_zip("first", "salts")).alias("at", "p"), "start", "n", "sig", "wide")
+    salt = F.when(F.col("p.salts") > 0, 1 + F.pmod(F.xxhash64("start"), F.col("p.salts"))).otherwise(0).cast("int")
+    posts = posts.select(F.col("p.first").alias("h"), salt.alias("salt"), "start.k", "start.line", "n", "at", "sig", "wide")
+    met = materialise(posts.repartition("h", "salt").sortWithinPartitions("h", "salt", "k", "line").mapInArrow(_meet, _MET_SCHEMA), "line-met")
+    late = _verified(texts, met.filter("kind = 0").select("k", "line", "xk", "xline").distinct())
+    more = met.filter("kind > 0").join(late.withColumn("gone", F.lit(True)), ["k", "line"], "left").withColumn("open", F.col("open") & F.col("gone").isNull())
+    more = materialise(more.select("kind", *_POST, "open"), "line-more")
+    # Small tiles with an open row, whole; then open rows of large tiles with all earlier rows of a like size.
+    asked = more.filter("open and kind = 1").select("h").distinct()
+    small = more.filter("kind = 1").join(asked, "h", "left_semi").select(*_POST, "open")
+    small = small.repartition("h", "salt").sortWithinPartitions("h", "salt", "k", "line").mapInArrow(_meet_all, "k long, line int, xk long, xline int")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
+    large = more.filter("kind = 2").withColumn("band", band)
+    near = F.array("band", F.col("band") - 1, F.col("band") - 2, F.col("band") + 1, F.col("band") + 2)
+    alike = "(x.n > {0}) = (y.n > {0})".format(_WIDE)
     wide = (
-        large.alias("y")
-        .join(probes.alias("x"), ["h", "band"])
-        .filter("(x.n < y.n or (x.n = y.n and x.k < y.k))")
-        .filter(f"100 * x.n >= {PERCENT} * y.n and {100 + PERCENT} * least(x.n - x.at, y.n - y.at) >= {PERCENT} * (x.n + y.n)")
-        .filter(f"{100 + PERCENT} * (x.n + y.n - bit_count(x.sig ^ y.sig)) >= {2 * PERCENT} * (x.n + y.n)")
-        .select(F.expr("least(x.k, y.k)").alias("a"), F.expr("greatest(x.k, y.k)").alias("b"))
+        large.filter("open").withColumn("band", F.explode(near)).alias("y")
+        .join(large.alias("x"), ["h", "band"])
+        .filter("(x.k < y.k or (x.k = y.k and x.line < y.line)) and 100 * least(x.n, y.n) >= {0} * greatest(x.n, y.n)".format(PERCENT))
+        .filter(f"{100 + PERCENT} * least(x.n - x.at, y.n - y.at) >= {PERCENT} * (x.n + y.n)")
+        .filter(f"not ({alike}) or {100 + PERCENT} * (x.n + y.n - bit_count(x.sig ^ y.sig) - bit_count(x.wide ^ y.wide)) >= {2 * PERCENT} * (x.n + y.n)")
+        .select("y.k", "y.line", F.col("x.k").alias("xk"), F.col("x.line").alias("xline"))
     )
-    pairs = met.filter("kind = 0").select("a", "b").unionByName(wide).distinct()
-    at = nodes.select("node", "start")
-    placed = pairs.join(at.select(F.col("node").alias("a"), F.col("start").alias("sa")), "a").join(at.select(F.col("node").alias("b"), F.col("start").alias("sb")), "b")
-    later = F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("later")
-    placed = materialise(placed.select(later, F.greatest("sa", "sb").alias("sl"), F.least("sa", "sb").alias("se")), "line-close")
-    involved = placed.select(F.col("sl.k").alias("k")).unionByName(placed.select(F.col("se.k").alias("k"))).distinct()
-    where = placed.select(F.col("sl").alias("p")).unionByName(placed.select(F.col("se").alias("p"))).distinct().select("p.k", "p.line")
-    words = materialise(sized_join(texts, involved, "k", "left_semi").mapInArrow(_sets, "k long, line int, s binary").join(where, ["k", "line"], "left_semi"), "line-sets")
-    x = words.select(F.struct("k", "line").alias("sl"), F.col("s").alias("x"))
-    y = words.select(F.struct("k", "line").alias("se"), F.col("s").alias("y"))
-    late = materialise(placed.join(x, "sl").join(y, "se").select("later", "x", "y").mapInArrow(_similar, "node long").distinct(), "line-late")
+    rest = materialise(small.unionByName(wide).distinct(), "line-rest")
+    late = late.unionByName(_verified(texts, rest)).distinct()
     # All lines of a node but its first go; the first goes when an earlier node is similar.
-    firsts = nodes.join(late, "node", "left_semi").select("start.k", "start.line")
-    many = nodes.filter("lines > 1").select("h1", "h2", "start")
-    copies = lines.select("k", "line", "h1", "h2").join(many, ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
-    out = materialise(firsts.unionByName(copies), "line-removed")
-    discard(met, placed, words, late)
+    many = materialise(narrow.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), F.count("*").alias("lines")).filter("lines > 1").select("h1", "h2", "start"), "line-many")
+    copies = narrow.join(_limited(many), ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
+    out = materialise(late.unionByName(copies), "line-removed")
+    discard(met, more, rest, narrow, many)
     return out, docs, key
 
 
