@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import discard, materialise
-from ledgerkit.llm.tokens import TOKENIZER, encoder
+from ledgerkit.llm.tokens import CHUNK, TOKENIZER, encoder
+from ledgerkit.llm.words import chunks
 
 CAPACITY = 1024
 END_ID = 2
@@ -35,7 +36,6 @@ MOST_IN_PATTERN = 4
 #: Patterns that the fit may use.
 MOST_PATTERNS = 4000
 _FIT_ROUNDS = 300
-_ROWS = 512
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -50,17 +50,19 @@ def _pieces(name: str, capacity: int, end_id: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                keys, texts = (c.slice(at, _ROWS).to_pylist() for c in batch.columns)
-                rows = []
-                for doc_id, ids in zip(keys, encoder(name).ids(texts)):
-                    ids += end
-                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                        rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), part, seen[length]))
-                        seen[length] += 1
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+        for batch in chunks(batches, 1, CHUNK):
+            coded, bounds = encoder(name).column(batch.column(1))
+            raw, bounds = memoryview(coded.astype("<u4").tobytes()), bounds.tolist()
+            rows = []
+            for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                at, n = 4 * bounds[i], bounds[i + 1] - bounds[i]
+                for piece, (start, length) in enumerate(cut(n + 1, capacity)):
+                    last = start + length > n  # the end id comes after the text's own
+                    crc = zlib.crc32(raw[at + 4 * start : at + 4 * (start + length - last)])
+                    rows.append((doc_id, piece, start, length, zlib.crc32(end, crc) if last else crc, part, seen[length]))
+                    seen[length] += 1
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return run
 

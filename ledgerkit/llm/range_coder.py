@@ -3,18 +3,25 @@
 A segment holds whole documents. Its ids are cut into blocks of ``BLOCK`` ids that are modelled and coded
 independently, each from a fresh state and with its own CRC-32, so a damaged block spoils no other.
 
-Model of a block. Three predictors guess the next id: order 2 (the id that last followed the same two
-ids), order 1 (the id that last followed the same id), order 0 (of each of 256 classes of ids, the one
-seen last). The probability of an id is the mixture of "order 2 is right", "order 1 is right", "the
-order-0 id of some class" and "any id", with weights that adapt to how often each was right when the
-predictors agreed, disagreed or were silent, as now. The coder therefore codes which of them gives the id,
-with the adaptive weights as frequencies, and then, for the last two, the class or the id itself.
+Model of a block. Three predictors give the next id a probability each, and the coder codes the id with
+their mixture ``P = l2 P2 + (1 - l2) l1 P1 + (1 - l2) (1 - l1) P0``:
+
+* order 2, P2: the id that last followed the same two ids; order 1, P1: the one that last followed the same id.
+  Each has a count of how often in a row it was right. The weights l2 and l1 are adaptive probabilities of
+  being right, kept apart by that count.
+* order 0, P0: ids are ranked by how often the segment has them, and ranks are grouped in classes that widen. The
+  probability of a class adapts within the block (its counts enter every ``PERIOD`` ids), that of an id within its class is
+  the segment's. Every block starts from the segment's figures, which stand in its head with a checksum.
+
+The mixture has running sums in closed form (those of order 0, plus a weight on either side of a guess), so
+an id costs one coding step and no search over ids.
 
 Coder. A carryless range coder of 64 bits that emits 16-bit words. Blocks are coded in step with each
 other: one numpy operation codes one symbol in every block of the segment.
 
-Layout (little-endian): magic, version, block length, documents, ids, blocks; for each document id, whether
-it is null, and its number of ids; for each block its number of ids, words and CRC-32; then the words.
+Layout (little-endian): magic, version, block length, documents, ids, blocks, bytes and CRC-32 of the id table; for each
+document id, whether it is null, and its number of ids; the id table (compressed: number of ids, ids by rank, their
+shares of their class, shares of the classes); for each block its number of ids, words and CRC-32; then the words.
 """
 
 from __future__ import annotations
@@ -24,55 +31,141 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK = b"LKAC", 1, 2048
-_HEAD = struct.Struct("<4sBIQQI")
+MAGIC, VERSION, BLOCK = b"LKAC", 2, 2048
+_HEAD = struct.Struct("<4sBIQQIII")
 _U = np.uint64
 _TOP, _BOT, _WORD, _HIGH = _U(1 << 48), _U(1 << 40), _U(16), _U(48)
 _ONE, _ZERO, _ALL = _U(1), _U(0), _U((1 << 64) - 1)
-_STEP = _U(24)  # added to the weight of what was right; 4 + 24 * BLOCK stays below 2**16
 #: Contexts of a predictor in a block: small enough that the tables of a segment stay in the processor's cache.
 _BITS = 10
 _ANY = 1 << 16
-#: Bits that follow the kind: none after a guess, a class of 256 for order 0, an id for a new one.
-_REST = np.array([0, 0, 8, 16], np.uint64)
-_KEPT = np.array([0, 0, 255, _ANY - 1])
-#: The first of the predictors that is right, by a bit for each.
-_KIND = np.array([3, 2, 1, 1, 0, 0, 0, 0])
+MOST_IDS = _ANY - 1
+#: Growth of the classes' widths, and the sum of the shares within a class: no class has as many ids.
+_WIDER, _SHARE_BITS = 1.18, 14
+#: Classes' counts: their sum at the start, and what an id adds. They enter the probabilities in 4096ths.
+_START, _ADD, _CLASS_BITS = 512, 8, 12
+#: Ids after which a block's counts enter its probabilities.
+PERIOD = 32
+#: Weights are in 4096ths; they move by a sixteenth of the error. First weights by how often in a row a guess was right.
+_UNIT, _RATE = 4096, 4
+_FIRST = np.array([600, 1800, 2800, 3400], np.int32)
+_NEXT, _WHOLE = np.array([1, 2, 3, 3], np.int32), np.int32(_UNIT)
+#: Sum of the mixture's frequencies: weights x classes x shares.
+_TOTAL_BITS = 12 + _CLASS_BITS + _SHARE_BITS
+_SHARE, _PLACES = float(1 << _SHARE_BITS), float(1 << _TOTAL_BITS)
+
+
+class _Table:
+    """The segment's order-0 figures, by rank."""
+
+    def __init__(self, ids: np.ndarray, shares: np.ndarray, start: np.ndarray):
+        self.ids, self.start = ids, start.astype(np.int32)
+        self.of_rank = _classes(len(ids)).astype(np.int32)
+        first = np.searchsorted(self.of_rank, np.arange(len(start)))
+        before = np.cumsum(shares) - shares
+        # Figures of the mixture are whole numbers below 2**53, so that float64 holds and adds them exactly.
+        self.shares, self.before = shares.astype(np.float64), (before - before[first][self.of_rank]).astype(np.float64)
+        self.rank_at = np.repeat(np.arange(len(ids), dtype=np.int32), shares)  # by class and place within its shares
+
+    @classmethod
+    def fitted(cls, ids: np.ndarray) -> "_Table":
+        counts = np.bincount(ids)
+        there = np.flatnonzero(counts)
+        there = there[np.argsort(-counts[there], kind="stable")]
+        n = counts[there]
+        of_rank = _classes(len(there))
+        mass, size = np.bincount(of_rank, n).astype(np.int64), np.bincount(of_rank)
+        shares = 1 + ((1 << _SHARE_BITS) - size)[of_rank] * n // mass[of_rank]
+        first = np.searchsorted(of_rank, np.arange(len(mass)))
+        shares[first] += (1 << _SHARE_BITS) - np.bincount(of_rank, shares).astype(np.int64)
+        return cls(there, shares, 1 + _START * mass // len(ids))
+
+    def pack(self) -> bytes:
+        return zlib.compress(struct.pack("<I", len(self.ids)) + self.ids.astype("<u2").tobytes() + self.shares.astype("<u2").tobytes() + self.start.astype("<u2").tobytes())
+
+    @classmethod
+    def unpack(cls, data: bytes) -> "_Table":
+        raw = zlib.decompress(data)
+        n = struct.unpack_from("<I", raw)[0]
+        every = np.frombuffer(raw, "<u2", -1, 4)
+        return cls(every[:n].astype(np.int64), every[n : 2 * n].astype(np.int64), every[2 * n :])
+
+
+def _classes(n: int) -> np.ndarray:
+    """Class of each of n ranks."""
+    widths, total = [], 0
+    while total < n:
+        widths.append(max(1, int(_WIDER ** len(widths))))
+        total += widths[-1]
+    return np.repeat(np.arange(len(widths)), widths)[:n]
 
 
 class _Model:
-    """State of all blocks of a segment; a row of each table belongs to a block."""
-
-    def __init__(self, lanes: int):
-        self.t2, self.t1, self.t0 = (np.zeros(lanes << b, np.uint16) for b in (_BITS, _BITS, 8))
-        self.w = np.ones((lanes * 4, 4), np.uint64)
-        self.flat = self.w.reshape(-1)
-        self.lane = np.arange(lanes)
-        self.base, self.row0, self.slot0 = self.lane << _BITS, self.lane << 2, self.lane << 8
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    """State of all blocks of a segment; a row of each table belongs to a block. Guesses are ranks."""
+
+    def __init__(self, lanes: int, table: _Table):
+        self.table, self.classes = table, len(table.start)
+        self.t2, self.t1 = np.zeros(lanes << _BITS, np.int32), np.zeros(lanes << _BITS, np.int32)  # 4 * (rank + 1) + times right in a row
+        self.l2, self.l1 = np.tile(_FIRST, lanes), np.tile(_FIRST, lanes)
+        self.counts = np.tile(table.start, (lanes, 1))
+        self.flat = self.counts.reshape(-1)
+        self.sums = np.zeros((lanes, self.classes + 1))
+        self.flat_sums, self.least = self.sums.reshape(-1), np.arange(self.classes + 1.0)
+        lane = np.arange(lanes)
+        self.base, self.row4, self.row_c, self.row_s = lane << _BITS, lane << 2, lane * self.classes, lane * (self.classes + 1)
+        self.prev1, self.mixed = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.last = self.row_s + self.classes - 1
+        self.halves = [1 << i for i in reversed(range((self.classes - 1).bit_length()))]
+        self.step = 0
 
     def predict(self, k: int):
-        """For the first k blocks: guesses (id + 1, 0 for none), the weights, their running sums."""
-        hashed = self.prev1[:k] * 40503
-        self.at1 = self.base[:k] + ((hashed >> 3) & ((1 << _BITS) - 1))
-        self.at2 = self.base[:k] + ((hashed + self.prev2[:k] * 30011 >> 3) & ((1 << _BITS) - 1))
-        g1, g2 = self.t1[self.at1], self.t2[self.at2]
-        g1[g1 == g2] = 0
-        self.row = self.row0[:k] + ((g2 > 0) * 2 + (g1 > 0))
-        self.first = self.row << 2
-        sums = np.empty((4, k), np.uint64)
-        sums[0] = self.flat[self.first]
-        for i in (1, 2, 3):
-            np.add(sums[i - 1], self.flat[self.first + i], out=sums[i])
-        return g2, g1, sums
-
-    def learn(self, k: int, ids: np.ndarray, kind: np.ndarray):
-        self.flat[self.first + kind] += _STEP
-        after = ids + 1
-        self.t1[self.at1] = after
-        self.t2[self.at2] = after
-        self.t0[self.slot0[:k] + (ids & 255)] = after
-        self.prev2[:k] = self.prev1[:k]
+        """For the first k blocks: weights of orders 0, 1 and 2; those of 1 and 2 in the mixture's frequencies."""
+        if self.step % PERIOD == 0:
+            sums = np.cumsum(self.counts, axis=1, dtype=np.float64)
+            self.sums[:, 1:] = np.floor(sums * (((1 << _CLASS_BITS) - self.classes) / sums[:, -1:])) + self.least[1:]
+        self.step += 1
+        hashed = self.prev1[:k] * np.uint32(2654435769)
+        self.at1 = self.base[:k] + (hashed >> np.uint32(32 - _BITS))
+        self.at2 = self.base[:k] + ((hashed ^ self.mixed[:k]) >> np.uint32(32 - _BITS))
+        self.mixed[:k] = self.prev1[:k] * np.uint32(2246822519)
+        self.e1, self.e2 = self.t1.take(self.at1, mode="clip"), self.t2.take(self.at2, mode="clip")
+        self.often1, self.often2 = self.e1 & 3, self.e2 & 3
+        self.w1, self.w2 = self.row4[:k] + self.often1, self.row4[:k] + self.often2
+        self.g1, self.g2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
+        self.weight1, self.weight2 = self.l1.take(self.w1, mode="clip"), self.l2.take(self.w2, mode="clip")
+        m2 = self.weight2 * (self.e2 > 0)
+        rest = _UNIT - m2
+        m1 = rest * (self.weight1 * ((self.e1 > 0) & (self.g1 != self.g2))) >> 12
+        return (rest - m1).astype(np.float64), m1 * (_PLACES / _UNIT), m2 * (_PLACES / _UNIT)
+
+    def order0(self, k: int, rank: np.ndarray):
+        """(sum before a rank, its share) by order 0."""
+        at = self.row_s[:k] + self.table.of_rank.take(rank, mode="clip")
+        before = self.flat_sums.take(at, mode="clip")
+        n = self.flat_sums.take(at + 1, mode="clip") - before
+        return before * _SHARE + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
+
+    def find0(self, k: int, place: np.ndarray):
+        """(the rank at a place of order 0's sums, sum before it, its share)."""
+        wanted, row = np.floor(place / _SHARE), self.row_s[:k]
+        at = row
+        for step in self.halves:
+            there = np.minimum(at + step, self.last[:k])
+            at = np.where(self.flat_sums.take(there, mode="clip") <= wanted, there, at)
+        before = self.flat_sums.take(at, mode="clip")
+        n = self.flat_sums.take(at + 1, mode="clip") - before
+        before *= _SHARE
+        within = np.minimum((place - before) / n, _SHARE - 1).astype(np.int64)
+        rank = self.table.rank_at.take((at - row << _SHARE_BITS) + within, mode="clip")
+        return rank, before + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
+
+    def learn(self, k: int, rank: np.ndarray):
+        after = rank + 1
+        for table, at, entry, often, guess, weights, weight, w in ((self.t1, self.at1, self.e1, self.often1, self.g1, self.l1, self.weight1, self.w1), (self.t2, self.at2, self.e2, self.often2, self.g2, self.l2, self.weight2, self.w2)):
+            right = guess == rank
+            weights[w] = weight + ((right * _WHOLE - weight >> _RATE) * (entry > 0))
+            table[at] = (after << 2) + right * _NEXT.take(often, mode="clip")
+        self.flat[self.row_c[:k] + self.table.of_rank.take(rank, mode="clip")] += _ADD
         self.prev1[:k] = after
 
 
@@ -113,12 +206,10 @@ class _Writer(_Coder):
     def move(self, at, low):
         self.sent.append((at.astype(self.lane_type), (low >> _HIGH).astype(np.uint16)))
 
-    def code(self, k, start, size, total, rest, bits):
-        rng = self.range[:k] // total
-        self.low[:k] += rng * start
-        rng = (rng * size) >> bits
-        self.low[:k] += rng * rest
-        self.range[:k] = rng
+    def code(self, k, start, size):
+        rng = self.range[:k] >> _U(_TOTAL_BITS)
+        self.low[:k] += rng * start.astype(np.uint64)
+        self.range[:k] = rng * size.astype(np.uint64)
         self.settle(k)
 
     def close(self) -> tuple[np.ndarray, np.ndarray]:
@@ -148,65 +239,74 @@ def _lengths(n: int, block: int) -> np.ndarray:
     return np.minimum(block, n - np.arange(0, n, block)).astype(np.int64)
 
 
-def _encode_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+def _encode_blocks(ids: np.ndarray, block: int, table: _Table) -> tuple[np.ndarray, np.ndarray]:
     """(words of all blocks, number of words of each)."""
     lengths = _lengths(len(ids), block)
     lanes, steps = len(lengths), int(lengths[0])
+    rank_of = np.zeros(_ANY, np.uint16)
+    rank_of[table.ids] = np.arange(len(table.ids))
     padded = np.zeros(lanes * steps, np.uint16)
-    padded[: len(ids)] = ids
+    padded[: len(ids)] = rank_of[ids]
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model, out = _Model(lanes), _Writer(lanes)
+    model, out = _Model(lanes, table), _Writer(lanes)
     for t in range(steps):
         k = lanes if t < lengths[-1] else lanes - 1
-        now = grid[t, :k].astype(np.int64)
-        after = now + 1
-        g2, g1, sums = model.predict(k)
-        known = model.t0[model.slot0[:k] + (now & 255)] == after
-        kind = _KIND[(g2 == after) * 4 + (g1 == after) * 2 + known]
-        size = model.flat[model.first + kind]
-        out.code(k, sums.reshape(-1)[kind * k + model.lane[:k]] - size, size, sums[3], (now & _KEPT[kind]).astype(np.uint64), _REST[kind])
-        model.learn(k, now, kind)
+        now = grid[t, :k].astype(np.int32)
+        m0, m1, m2 = model.predict(k)
+        before, share = model.order0(k, now)
+        start = m0 * before + m2 * (model.g2 < now) + m1 * (model.g1 < now)
+        size = m0 * share + m2 * (model.g2 == now) + m1 * (model.g1 == now)
+        out.code(k, start, size)
+        model.learn(k, now)
     return out.close()
 
 
-def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, table: _Table) -> np.ndarray:
     lanes, steps = len(lengths), int(lengths[0])
     grid = np.zeros((steps, lanes), np.uint16)
-    model = _Model(lanes)
+    model = _Model(lanes, table)
     source = _Reader(words, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64))
     for t in range(steps):
         k = lanes if t < lengths[-1] else lanes - 1
-        low, value = source.low[:k], source.value[:k]
-        g2, g1, sums = model.predict(k)
-        r = source.range[:k] // sums[3]
-        at = (value - low) // r
-        kind = (at >= sums[0]) * 1 + (at >= sums[1]) + (at >= sums[2])
-        size = model.flat[model.first + kind]
-        low += r * (sums.reshape(-1)[kind * k + model.lane[:k]] - size)
-        bits = _REST[kind]
-        r = (r * size) >> bits
-        rest = np.minimum((value - low) // r, (_ONE << bits) - _ONE)
-        low += r * rest
-        source.range[:k] = r
-        rest = rest.astype(np.int64)
-        guess = np.empty((4, k), np.int64)
-        guess[0], guess[1], guess[2], guess[3] = g2, g1, model.t0[model.slot0[:k] + (rest & 255)], rest + 1
-        now = guess.reshape(-1)[kind * k + model.lane[:k]] - 1
+        m0, m1, m2 = model.predict(k)
+        low = source.low[:k]
+        r = source.range[:k] >> _U(_TOTAL_BITS)
+        place = np.minimum((source.value[:k] - low) // r, _U((1 << _TOTAL_BITS) - 1)).astype(np.float64)
+        before2, share2 = model.order0(k, model.g2)
+        before1, share1 = model.order0(k, model.g1)
+        # The weight of the other guess lies before a guess when its rank does.
+        lower = model.g1 < model.g2
+        start2, start1 = m0 * before2 + m1 * lower, m0 * before1 + m2 * ~lower
+        size2, size1 = m0 * share2 + m2, m0 * share1 + m1
+        beyond2, beyond1 = place >= start2 + size2, place >= start1 + size1
+        is2, is1 = (m2 > 0) & ~beyond2 & (place >= start2), (m1 > 0) & ~beyond1 & (place >= start1)
+        # Without the guesses' weights that lie before it, the place is one of order 0.
+        shift = m2 * beyond2 + m1 * beyond1
+        now, before, share = model.find0(k, np.floor((place - shift) / m0))
+        start, size = m0 * before + shift, m0 * share
+        for which, guess, begin, wide in ((is2, model.g2, start2, size2), (is1, model.g1, start1, size1)):
+            at = which.nonzero()[0]
+            now[at], start[at], size[at] = guess[at], begin[at], wide[at]
+        low += r * start.astype(np.uint64)
+        source.range[:k] = r * size.astype(np.uint64)
         source.settle(k)
         grid[t, :k] = now
-        model.learn(k, now, kind)
-    return grid.T.reshape(-1)[: int(lengths.sum())]
+        model.learn(k, now)
+    return table.ids[grid.T.reshape(-1)[: int(lengths.sum())]]
 
 
 def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Documents (their ids, how many token ids each has, all token ids below 2**16) as one segment."""
     ids = np.asarray(ids)
-    if len(ids) and (ids.min() < 0 or ids.max() >= _ANY - 1):
+    if len(ids) and (ids.min() < 0 or ids.max() >= MOST_IDS):
         raise ValueError("ids must lie in 0..65534")
-    head = [_HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(ids), -(-len(ids) // block)), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), np.array(lengths, "<u8").tobytes()]
+    table = _Table.fitted(ids) if len(ids) else None
+    packed = table.pack() if len(ids) else b""
+    head = [_HEAD.pack(MAGIC, VERSION, block, len(doc_ids), len(ids), -(-len(ids) // block), len(packed), zlib.crc32(packed))]
+    head += [np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), np.array(lengths, "<u8").tobytes(), packed]
     if not len(ids):
         return b"".join(head)
-    words, counts = _encode_blocks(ids, block)
+    words, counts = _encode_blocks(ids, block, table)
     raw = ids.astype("<u4")
     sums = [zlib.crc32(raw[at : at + block].tobytes()) for at in range(0, len(raw), block)]
     return b"".join([*head, np.stack([_lengths(len(ids), block), counts, sums], axis=1).astype("<u4").tobytes(), words.astype("<u2").tobytes()])
@@ -214,21 +314,25 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
 
 def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, their numbers of token ids, all token ids); a block that fails its checksum raises ValueError."""
-    magic, version, block, docs, n, blocks = _HEAD.unpack_from(data)
+    magic, version, block, docs, n, blocks, size, crc = _HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a token segment")
     at = _HEAD.size
     keys = np.frombuffer(data, "<i8", docs, at)
     nulls = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
     lengths = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
-    doc_ids = [None if z else int(k) for k, z in zip(keys, nulls)]
+    doc_ids = [None if z else int(k) for k, z in zip(keys.tolist(), nulls.tolist())]
     at += 17 * docs
     if not n:
         return doc_ids, lengths, np.zeros(0, "<u4")
-    table = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
+    packed = data[at : at + size]
+    if zlib.crc32(packed) != crc:
+        raise ValueError("the id table is damaged")
+    at += size
+    figures = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
     words = np.frombuffer(data, "<u2", -1, at + 12 * blocks).astype(np.uint16)
-    ids = _decode_blocks(words, table[:, 1], table[:, 0]).astype("<u4")
-    for i, crc in enumerate(table[:, 2]):
+    ids = _decode_blocks(words, figures[:, 1], figures[:, 0], _Table.unpack(packed)).astype("<u4")
+    for i, crc in enumerate(figures[:, 2]):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
             raise ValueError(f"block {i} is damaged")
     return doc_ids, lengths, ids

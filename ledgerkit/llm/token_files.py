@@ -23,38 +23,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import scratch_root
-from ledgerkit.llm.range_coder import BLOCK, decode_segment, encode_segment
-from ledgerkit.llm.tokens import TOKENIZER, encoder
+from ledgerkit.llm.range_coder import BLOCK, MOST_IDS, decode_segment, encode_segment
+from ledgerkit.llm.tokens import CHUNK, TOKENIZER, encoder
+from ledgerkit.llm.words import chunks
 
 END_ID = 0
 #: Ids of a segment: as many blocks as are coded in step.
 SEGMENT = 2048 * BLOCK
-_ROWS = 256
 _SEGMENTS = "part int, seg int, n_docs long, n_tokens long, payload binary"
 
 
 def _encode(name: str, end_id: int, segment: int):
-    end = np.uint32(end_id).tobytes()
-
     def run(batches):
         part, seg = TaskContext.get().partitionId(), 0
-        keys, chunks, size = [], [], 0
+        keys, lengths, ids = [], [], []
 
         def close():
-            lengths = [len(c) // 4 for c in chunks]
-            data = encode_segment(keys, lengths, np.frombuffer(b"".join(chunks), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seg, pa.int32()), (len(keys), pa.int64()), (sum(lengths), pa.int64()), (data, pa.binary()))], names=["part", "seg", "n_docs", "n_tokens", "payload"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                ids, texts = (c.slice(at, _ROWS).to_pylist() for c in batch.columns)
-                for key, coded in zip(ids, encoder(name).ids(texts)):
-                    keys.append(key)
-                    chunks.append(coded + end)
-                    size += len(coded) // 4 + 1
-                    if size >= segment:
-                        yield close()
-                        keys, chunks, size, seg = [], [], 0, seg + 1
+            n = np.concatenate(lengths)
+            data = encode_segment([k for some in keys for k in some.to_pylist()], n, np.concatenate(ids))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seg, pa.int32()), (len(n), pa.int64()), (int(n.sum()), pa.int64()), (data, pa.binary()))], names=["part", "seg", "n_docs", "n_tokens", "payload"])
+
+        size = 0
+        for batch in chunks(batches, 1, CHUNK):
+            coded, bounds = encoder(name).column(batch.column(1))
+            if len(coded) and coded.max() >= MOST_IDS:
+                raise ValueError(f"ids must lie below {MOST_IDS}")
+            coded = np.insert(coded, bounds[1:], end_id).astype(np.uint16)
+            starts = bounds + np.arange(len(bounds))
+            at = 0
+            while at < batch.num_rows:
+                # Documents up to the first that fills the segment.
+                end = min(batch.num_rows, int(np.searchsorted(starts, starts[at] + segment - size)))
+                keys.append(batch.column(0).slice(at, end - at))
+                lengths.append(np.diff(starts[at : end + 1]))
+                ids.append(coded[starts[at] : starts[end]])
+                size += int(starts[end] - starts[at])
+                at = end
+                if size >= segment:
+                    yield close()
+                    keys, lengths, ids, size, seg = [], [], [], 0, seg + 1
         if keys:
             yield close()
 
