@@ -39,14 +39,17 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete what ``materialise`` wrote for frames that no later plan reads."""
     for df in frames:
         path = getattr(df, "_ledgerkit_path", None)
         if path:
-            jvm, spark = df.sparkSession._jvm, df.sparkSession
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def fresh(df: DataFrame, *bases: str) -> list[str]:

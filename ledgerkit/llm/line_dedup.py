@@ -10,9 +10,8 @@ common order is right, a good one is fast. Two similar sets share one of their f
 sizes, positions and parity signatures allow the similarity; it is then verified on the words.
 
 A node goes when a single earlier one is similar, so it needn't meet all. First each node is verified against the
-earlier node of each tile whose signature is nearest. Only nodes that are still there and had
-further candidates in a tile are verified against all of those. A group of near copies thus costs pairs in
-proportion to its nodes.
+earlier node of each tile whose signature is nearest; its other candidates are only listed. Nodes that are still
+there are then verified against all of their lists. A group of near copies thus costs pairs in proportion to its nodes.
 
 Scale: equal lines are joined by an aggregation that combines map-side, so a line of a third of all rows
 costs one node. Tiles of up to ``TILE_ROWS`` are compared inside a task. Of larger tiles nodes are compared
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import BROADCAST_ROWS, discard, keyed, materialise
-from ledgerkit.llm.words import bytes_of, chunks, distinct, line_words, mix, word_hashes
+from ledgerkit.llm.words import bytes_of, chunks, distinct, line_words, mix
 
 PERCENT = 80
 CELL_BITS = 21
@@ -43,18 +42,8 @@ HOT = 100_000
 #: Sets of more words have a second signature.
 _WIDE = 64
 _MASK = np.uint64((1 << CELL_BITS) - 1)
-_POST = ["h", "salt", "k", "line", "n", "at", "sig", "wide"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-
-
-def _count(batches):
-    cells = np.zeros(1 << CELL_BITS, np.int32)
-    for batch in chunks(batches, 0):
-        np.add.at(cells, (word_hashes(batch.column(0))[0] & _MASK).astype(np.int64), 1)
-    often = np.flatnonzero(cells > 1)
-    for at in range(0, len(often), 100_000):
-        some = often[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some].astype(np.int64))], names=["cell", "n"])
+_POST = ["tile", "k", "line", "n", "at", "sig", "wide"]
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
 
 def _sets(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,29 +71,44 @@ def _identity(s: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         return [np.add.reduceat(mix(s ^ np.uint64(c)), starts).view(np.int64) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
+_HASHES = "cell int, k long, line int, h1 long, h2 long"
+
+
+def _hashes(batches):
+    """A row for each line with a word: key, line, two hashes of the set; then the cells of the table of frequent words (k: count here)."""
+    cells = np.zeros(1 << CELL_BITS, np.int32)
+    cells = np.zeros(1 << CELL_BITS, np.int32)
+    for batch in chunks(batches, 1):
+        row, line, s, starts, _ = _sets(batch)
+        np.add.at(cells, (s & _MASK).astype(np.int64), 1)
+        if len(row):
+            cols = [pa.nulls(len(row), pa.int32()), batch.column(0).take(pa.array(row)), pa.array(line.astype(np.int32)), *map(pa.array, _identity(s, starts))]
+            yield pa.RecordBatch.from_arrays(cols, names=["cell", "k", "line", "h1", "h2"])
+    often = np.flatnonzero(cells > 1)
+    for at in range(0, len(often), 100_000):
+        some = often[at : at + 100_000]
+        nulls = [pa.nulls(len(some), t) for t in (pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(cells[some].astype(np.int64)), *nulls], names=["cell", "k", "line", "h1", "h2"])
+
+
 def _lines(counts):
-    """A row for each line with a word: key, line, two hashes of the set, and with ``counts`` set size, signatures, prefix."""
+    """A row for each line with a word: key, line, two hashes of the set, its size, signatures and prefix."""
 
     def run(batches):
         for batch in chunks(batches, 1):
             row, line, s, starts, n = _sets(batch)
             if not len(row):
                 continue
-            keys = batch.column(0).take(pa.array(row))
-            cols = [keys, pa.array(line.astype(np.int32)), *map(pa.array, _identity(s, starts))]
-            names = ["k", "line", "h1", "h2"]
-            if counts is not None:
-                group = np.repeat(np.arange(len(n)), n)
-                often = counts.value[(s & _MASK).astype(np.int64)]
-                order = np.argsort(group.astype(np.uint64) << np.uint64(32) | often.astype(np.uint64), kind="stable")  # hashes ascend already
-                take = n - (PERCENT * n + 99) // 100 + 1
-                first = order[np.arange(len(s)) - np.repeat(starts, n) < np.repeat(take, n)]
-                ends = pa.array(np.r_[0, np.cumsum(take)].astype(np.int32))
-                prefix = pa.ListArray.from_arrays(ends, pa.array((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                salts = pa.ListArray.from_arrays(ends, pa.array((often[first] // HOT).astype(np.int32)))
-                cols += [pa.array(n.astype(np.int32)), *map(pa.array, _signatures(s, starts, n)), prefix, salts]
-                names += ["n", "sig", "wide", "first", "salts"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            group = np.repeat(np.arange(len(n)), n)
+            often = counts.value[(s & _MASK).astype(np.int64)]
+            order = np.argsort(group.astype(np.uint64) << np.uint64(32) | often.astype(np.uint64), kind="stable")  # hashes ascend already
+            take = n - (PERCENT * n + 99) // 100 + 1
+            first = order[np.arange(len(s)) - np.repeat(starts, n) < np.repeat(take, n)]
+            # A tile is a word and the number of parts that its rows are dealt to.
+            tile = (s[first] >> np.uint64(32) << np.uint64(32)).view(np.int64) | (often[first] // HOT).astype(np.int64)
+            prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(take)].astype(np.int32)), pa.array(tile))
+            cols = [batch.column(0).take(pa.array(row)), pa.array(line.astype(np.int32)), *map(pa.array, _identity(s, starts)), pa.array(n.astype(np.int32)), *map(pa.array, _signatures(s, starts, n)), prefix]
+            yield pa.RecordBatch.from_arrays(cols, names=["k", "line", "h1", "h2", "n", "sig", "wide", "first"])
 
     return run
 
@@ -114,14 +118,14 @@ class _Tiles:
 
     def __init__(self, cols: list[np.ndarray], group: np.ndarray):
         self.cols, self.group = cols, group
-        self.h, self.salt, self.k, self.line, n, at, self.sig, self.wide = cols[:8]
+        self.tile, self.k, self.line, n, at, self.sig, self.wide = cols
         self.n, self.at = n.astype(np.int64), at.astype(np.int64)
 
     def close(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(later, earlier, places in which signatures differ) of those pairs of rows that may be similar."""
         n, m = self.n[i], self.n[j]
         both = n + m
-        # Two words of a line may share the 32 bits of h: a line doesn't meet itself.
+        # Two words of a line may share the 32 bits of a tile: a line doesn't meet itself.
         ok = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & ((self.k[i] != self.k[j]) | (self.line[i] != self.line[j]))
         ok &= (100 + PERCENT) * np.minimum(n - self.at[i], m - self.at[j]) >= PERCENT * both
         i, j, both, alike = i[ok], j[ok], both[ok], ((n > _WIDE) == (m > _WIDE))[ok]
@@ -147,19 +151,19 @@ class _Tiles:
             yield order[here], order[here + step]
 
     def rows(self, which: np.ndarray, *more: np.ndarray) -> list[pa.Array]:
-        return [*(pa.array(c[which]).cast(t) for c, t in zip(self.cols[:8], _TYPES)), *map(pa.array, more)]
+        return [*(pa.array(c[which]).cast(t) for c, t in zip(self.cols, _TYPES)), *map(pa.array, more)]
 
 
-def _stream(batches, columns: int = 8):
-    """Rows sorted by tile (h, salt) and place, in pieces of at most ``TILE_ROWS`` rows of a tile.
+def _stream(batches):
+    """Rows sorted by tile and place, in pieces of at most ``TILE_ROWS`` rows of a tile.
 
     Yields (columns, number of each row's piece, whether its tile is large, row of its tile's first row); the first
-    rows of a tile that goes on are given again, as piece -1. Large are tiles of several pieces, and salted ones.
+    rows of a tile that goes on are given again, as piece -1. Large are tiles of several pieces, and parts of tiles.
     """
     held, lead, seen = None, None, 0
     for batch in _and_none(batches):
         if batch is not None:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:columns]]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
         else:
@@ -167,13 +171,13 @@ def _stream(batches, columns: int = 8):
         if cols is None or not len(cols[0]):
             continue
         at = np.arange(len(cols[0]))
-        new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        new = np.r_[True, cols[0][1:] != cols[0][:-1]]
         tile = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         place = at - first[tile]
         place[tile == 0] += seen
         begins = new | (place % TILE_ROWS == 0)
-        large = (np.maximum.reduceat(place, first) >= TILE_ROWS) | (cols[1][first] > 0)
+        large = (np.maximum.reduceat(place, first) >= TILE_ROWS) | (cols[0][first] & 0xFFFFFFFF > 0)
         cut = len(at) if batch is None else int(np.flatnonzero(begins)[-1])
         if cut:
             extra = 0 if lead is None else len(lead[0])
@@ -197,17 +201,15 @@ def _and_none(batches):
     yield None
 
 
-_MET = ["kind", *_POST, "open", "xk", "xline"]
-_MET_SCHEMA = "kind int, h int, salt int, k long, line int, n int, at int, sig long, wide long, open boolean, xk long, xline int"
+_MET = ["kind", *_POST, "xk", "xline", "more_k", "more_line"]
+_MET_SCHEMA = "kind int, tile long, k long, line int, n int, at int, sig long, wide long, xk long, xline int, more_k array<long>, more_line array<int>"
 
 
 def _meet(batches):
-    """For each row the nearest earlier one that it may be similar to (kind 0), and the rows of tiles that have more: small (1), large (2)."""
+    """For each row the nearest earlier one that it may be similar to, and the tile's others (kind 0); all rows of large tiles (kind 1)."""
     for cols, piece, large, head in _stream(batches):
         t = _Tiles(cols, piece)
         own = np.flatnonzero(piece >= 0)
-        size = len(piece)
-        best, nearest, many = np.full(size, 1 << 30), np.zeros(size, np.int64), np.zeros(size, np.int64)
 
         def leaders():
             on = own[large[own]]
@@ -219,37 +221,22 @@ def _meet(batches):
                 yield x[ok], y[ok]
 
         within = _Tiles([c[own] for c in cols], piece[own])
-        for i, j in (*((own[a], own[b]) for a, b in within.pairs()), *leaders()):
-            later, earlier, differ = t.close(i, j)
-            if not len(later):
-                continue
-            many += np.bincount(later, minlength=size)
-            order = np.lexsort((differ, later))
-            later, earlier, differ = later[order], earlier[order], differ[order]
-            one = np.r_[True, later[1:] != later[:-1]]
-            later, earlier, differ = later[one], earlier[one], differ[one]
-            nearer = differ < best[later]
-            best[later[nearer]], nearest[later[nearer]] = differ[nearer], earlier[nearer]
-        y = np.flatnonzero(many)
-        y = y[piece[y] >= 0]
-        x = nearest[y]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(y), np.int32)), *t.rows(y, many[y] > 1, t.k[x], t.line[x].astype(np.int32))], names=_MET)
-        going_on = np.zeros(int(piece.max(initial=0)) + 2, bool)
-        going_on[piece[own[many[own] > 1]]] = True
-        for kind, rows in ((1, own[~large[own] & going_on[piece[own]]]), (2, own[large[own]])):
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *t.rows(rows, (many[rows] > 1) | (kind == 2), t.k[rows], t.line[rows].astype(np.int32))], names=_MET)
-
-
-def _meet_all(batches):
-    """All earlier candidates of a small tile's open rows: k, line, xk, xline."""
-    for cols, piece, _, _ in _stream(batches, 9):
-        t, open_ = _Tiles(cols, piece), cols[8].astype(bool)
-        for i, j in t.pairs():
-            later, earlier, _ = t.close(i, j)
-            later, earlier = later[open_[later]], earlier[open_[later]]
-            if len(later):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (t.k[later], t.line[later], t.k[earlier], t.line[earlier])], names=["k", "line", "xk", "xline"])
+        found = [t.close(i, j) for i, j in (*((own[a], own[b]) for a, b in within.pairs()), *leaders())]
+        y, x, differ = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), (), ())))
+        order = np.lexsort((differ, y))
+        y, x = y[order], x[order]
+        nearest = np.r_[True, y[1:] != y[:-1]][: len(y)]
+        row, best = y[nearest], x[nearest]
+        # What a large tile's row has beside the nearest is found again from the rows of kind 1.
+        listed = ~nearest & ~large[y]
+        counts = np.bincount(y[listed], minlength=len(piece))[row]
+        ends = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        others = [pa.ListArray.from_arrays(ends, pa.array(c[x[listed]].astype(ty))) for c, ty in ((t.k, np.int64), (t.line, np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(row), np.int32)), *t.rows(row, t.k[best], t.line[best].astype(np.int32)), *others], names=_MET)
+        rows = own[large[own]]
+        if len(rows):
+            none = [pa.nulls(len(rows), ty) for ty in (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(rows), np.int32)), *t.rows(rows), *none], names=_MET)
 
 
 def _wanted(batches):
@@ -304,44 +291,43 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     spark = docs.sparkSession
     docs, key = keyed(docs)
     texts = docs.select(F.col(key).alias("k"), "text")
+    hashes = materialise(texts.mapInArrow(_hashes, _HASHES), "line-hashes")
     table = np.zeros(1 << CELL_BITS, np.int32)
-    for r in texts.select("text").mapInArrow(_count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # at most 2**CELL_BITS rows
+    for r in hashes.filter("cell is not null").groupBy("cell").agg(F.sum("k").alias("n")).toLocalIterator():  # at most 2**CELL_BITS rows
         table[r.cell] = min(r.n, 2**31 - 1)
     counts = spark.sparkContext.broadcast(table)
-    narrow = materialise(texts.mapInArrow(_lines(None), "k long, line int, h1 long, h2 long"), "line-hashes")
-    lines = texts.mapInArrow(_lines(counts), "k long, line int, h1 long, h2 long, n int, sig long, wide long, first array<int>, salts array<int>")
+    lines = texts.mapInArrow(_lines(counts), "k long, line int, h1 long, h2 long, n int, sig long, wide long, first array<long>")
     # The first line of each set, in document order; its figures are the set's, whichever line gives them.
-    nodes = lines.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), *[F.first(c).alias(c) for c in ("n", "sig", "wide", "first", "salts")])
-    posts = nodes.select(F.posexplode(F.arrays_zip("first", "salts")).alias("at", "p"), "start", "n", "sig", "wide")
-    salt = F.when(F.col("p.salts") > 0, 1 + F.pmod(F.xxhash64("start"), F.col("p.salts"))).otherwise(0).cast("int")
-    posts = posts.select(F.col("p.first").alias("h"), salt.alias("salt"), "start.k", "start.line", "n", "at", "sig", "wide")
-    met = materialise(posts.repartition("h", "salt").sortWithinPartitions("h", "salt", "k", "line").mapInArrow(_meet, _MET_SCHEMA), "line-met")
+    nodes = lines.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), *[F.first(c).alias(c) for c in ("n", "sig", "wide", "first")])
+    posts = nodes.select(F.posexplode("first").alias("at", "tile"), "start", "n", "sig", "wide")
+    parts = F.col("tile").bitwiseAND(F.lit(0xFFFFFFFF))
+    tile = F.when(parts == 0, F.col("tile")).otherwise(F.col("tile") - parts + 1 + F.pmod(F.xxhash64("start"), F.when(parts == 0, 1).otherwise(parts)))
+    posts = posts.select(tile.alias("tile"), "start.k", "start.line", "n", "at", "sig", "wide")
+    met = materialise(posts.repartition("tile").sortWithinPartitions("tile", "k", "line").mapInArrow(_meet, _MET_SCHEMA), "line-met")
     late = _verified(texts, met.filter("kind = 0").select("k", "line", "xk", "xline").distinct())
-    more = met.filter("kind > 0").join(late.withColumn("gone", F.lit(True)), ["k", "line"], "left").withColumn("open", F.col("open") & F.col("gone").isNull())
-    more = materialise(more.select("kind", *_POST, "open"), "line-more")
-    # Small tiles with an open row, whole; then open rows of large tiles with all earlier rows of a like size.
-    asked = more.filter("open and kind = 1").select("h").distinct()
-    small = more.filter("kind = 1").join(asked, "h", "left_semi").select(*_POST, "open")
-    small = small.repartition("h", "salt").sortWithinPartitions("h", "salt", "k", "line").mapInArrow(_meet_all, "k long, line int, xk long, xline int")
+    # What is still there meets the rest of its candidates: those listed, and in large tiles all earlier rows of a like size.
+    still = F.broadcast(late) if late.count() <= BROADCAST_ROWS else late
+    listed = met.filter("kind = 0 and size(more_k) > 0").join(still, ["k", "line"], "left_anti")
+    listed = listed.select("k", "line", F.explode(F.arrays_zip("more_k", "more_line")).alias("x")).select("k", "line", F.col("x.more_k").alias("xk"), F.col("x.more_line").alias("xline"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-    large = more.filter("kind = 2").withColumn("band", band)
+    large = met.filter("kind = 1").select((F.col("tile") / F.lit(2.0**32)).cast("long").alias("h"), *_POST, band.alias("band"))
     near = F.array("band", F.col("band") - 1, F.col("band") - 2, F.col("band") + 1, F.col("band") + 2)
-    alike = "(x.n > {0}) = (y.n > {0})".format(_WIDE)
     wide = (
-        large.filter("open").withColumn("band", F.explode(near)).alias("y")
+        large.join(still, ["k", "line"], "left_anti").withColumn("band", F.explode(near)).alias("y")
         .join(large.alias("x"), ["h", "band"])
         .filter("(x.k < y.k or (x.k = y.k and x.line < y.line)) and 100 * least(x.n, y.n) >= {0} * greatest(x.n, y.n)".format(PERCENT))
         .filter(f"{100 + PERCENT} * least(x.n - x.at, y.n - y.at) >= {PERCENT} * (x.n + y.n)")
-        .filter(f"not ({alike}) or {100 + PERCENT} * (x.n + y.n - bit_count(x.sig ^ y.sig) - bit_count(x.wide ^ y.wide)) >= {2 * PERCENT} * (x.n + y.n)")
+        .filter(f"(x.n > {_WIDE}) <> (y.n > {_WIDE}) or {100 + PERCENT} * (x.n + y.n - bit_count(x.sig ^ y.sig) - bit_count(x.wide ^ y.wide)) >= {2 * PERCENT} * (x.n + y.n)")
         .select("y.k", "y.line", F.col("x.k").alias("xk"), F.col("x.line").alias("xline"))
     )
-    rest = materialise(small.unionByName(wide).distinct(), "line-rest")
+    rest = materialise(listed.unionByName(wide).distinct(), "line-rest")
     late = late.unionByName(_verified(texts, rest)).distinct()
     # All lines of a node but its first go; the first goes when an earlier node is similar.
+    narrow = hashes.filter("cell is null").select("k", "line", "h1", "h2")
     many = materialise(narrow.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), F.count("*").alias("lines")).filter("lines > 1").select("h1", "h2", "start"), "line-many")
     copies = narrow.join(_limited(many), ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
     out = materialise(late.unionByName(copies), "line-removed")
-    discard(met, more, rest, narrow, many)
+    discard(met, rest, hashes, many)
     return out, docs, key
 
 

@@ -41,11 +41,11 @@ _BITS = 10
 _ANY = 1 << 16
 MOST_IDS = _ANY - 1
 #: Growth of the classes' widths, and the sum of the shares within a class: no class has as many ids.
-_WIDER, _SHARE_BITS = 1.18, 14
+_WIDER, _SHARE_BITS = 1.4, 15
 #: Classes' counts: their sum at the start, and what an id adds. They enter the probabilities in 4096ths.
 _START, _ADD, _CLASS_BITS = 512, 8, 12
 #: Ids after which a block's counts enter its probabilities.
-PERIOD = 32
+PERIOD = 64
 #: Weights are in 4096ths; they move by a sixteenth of the error. First weights by how often in a row a guess was right.
 _UNIT, _RATE = 4096, 4
 _FIRST = np.array([600, 1800, 2800, 3400], np.int32)
@@ -65,7 +65,7 @@ class _Table:
         before = np.cumsum(shares) - shares
         # Figures of the mixture are whole numbers below 2**53, so that float64 holds and adds them exactly.
         self.shares, self.before = shares.astype(np.float64), (before - before[first][self.of_rank]).astype(np.float64)
-        self.rank_at = np.repeat(np.arange(len(ids), dtype=np.int32), shares)  # by class and place within its shares
+        self.rank_at = np.repeat(np.arange(len(ids), dtype=np.uint16), shares)  # by class and place within its shares
 
     @classmethod
     def fitted(cls, ids: np.ndarray) -> "_Table":
@@ -156,7 +156,7 @@ class _Model:
         n = self.flat_sums.take(at + 1, mode="clip") - before
         before *= _SHARE
         within = np.minimum((place - before) / n, _SHARE - 1).astype(np.int64)
-        rank = self.table.rank_at.take((at - row << _SHARE_BITS) + within, mode="clip")
+        rank = self.table.rank_at.take((at - row << _SHARE_BITS) + within, mode="clip").astype(np.int32)
         return rank, before + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
 
     def learn(self, k: int, rank: np.ndarray):

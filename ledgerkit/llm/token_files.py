@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import scratch_root
+from ledgerkit.llm.common import materialise, remove, scratch_root
 from ledgerkit.llm.range_coder import BLOCK, MOST_IDS, decode_segment, encode_segment
 from ledgerkit.llm.tokens import CHUNK, TOKENIZER, encoder
 from ledgerkit.llm.words import chunks
@@ -100,7 +100,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
-    """Write the documents' files to the shared folder and read them back."""
+    """Write the documents' files to the shared folder and read them back; the rows stay, the files go."""
     path = f"{scratch_root(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
     write_token_files(docs, path)
-    return read_token_files(docs.sparkSession, path)
+    rows = materialise(read_token_files(docs.sparkSession, path), "token-rows")
+    remove(docs.sparkSession, path)
+    return rows
