@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import discard, keyed, materialise, sized_join, slices
 from ledgerkit.llm.graph import connected_components
-from ledgerkit.llm.shingles import shingle_set
+from ledgerkit.llm.shingles import shingle_sets
+from ledgerkit.llm.words import chunks
 
 #: Linked from this similarity on, in hundredths.
 PERCENT = 80
@@ -93,23 +94,26 @@ def _profile(batches):
     """Rows of kind 0: a document; kind 1: a cell of the table of frequent shingles, with its count here."""
     cells, total = np.zeros(1 << HEAVY_BITS, np.int32), 0
     mask = np.uint64((1 << HEAVY_BITS) - 1)
-    for batch in slices(batches):
-        keys, ids, texts = (c.to_pylist() for c in batch.columns)
-        rows = []
-        for k, i, t in zip(keys, ids, texts):
-            s = shingle_set(t)
-            n = len(s)
-            if not n:
-                rows.append((0, k, i, 0, 0, 0, None, None))
-                continue
-            np.add.at(cells, (s & mask).astype(np.int64), 1)
-            total += n
+    for batch in chunks(batches, 2):
+        every, bounds = shingle_sets(batch.column(2))
+        np.add.at(cells, (every & mask).astype(np.int64), 1)
+        total += len(every)
+        full = np.flatnonzero(np.diff(bounds))
+        starts = bounds[full]
+        h1, h2, lows = [0] * batch.num_rows, [0] * batch.num_rows, [None] * batch.num_rows
+        if len(full):
             with np.errstate(over="ignore"):
-                mixed = (s ^ (s >> np.uint64(29))) * _MULTIPLIERS[0]
-                h1, h2 = int(np.bitwise_xor.reduce(mixed)), int(np.add.reduce((s ^ (s >> np.uint64(32))) * _MULTIPLIERS[1]))
-                low = [int((s * m).min()) for m in _MULTIPLIERS]
-            rows.append((0, k, i, n, h1, h2, parity_bitmap(s), [x - (1 << 63) for x in low]))
-        yield _profile_batch(rows)
+                h1, h2 = np.zeros((2, batch.num_rows), np.uint64)
+                h1[full] = np.bitwise_xor.reduceat((every ^ (every >> np.uint64(29))) * _MULTIPLIERS[0], starts)
+                h2[full] = np.add.reduceat((every ^ (every >> np.uint64(32))) * _MULTIPLIERS[1], starts)
+                low = np.stack([np.minimum.reduceat(every * m, starts) for m in _MULTIPLIERS], axis=1)
+            h1, h2 = h1.view(np.int64).tolist(), h2.view(np.int64).tolist()
+            for i, x in zip(full.tolist(), (low ^ np.uint64(1 << 63)).view(np.int64).tolist()):
+                lows[i] = x
+        at = bounds.tolist()
+        maps = [parity_bitmap(every[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:])]
+        ids = [c.to_pylist() for c in batch.columns[:2]]
+        yield _profile_batch(list(zip([0] * batch.num_rows, *ids, np.diff(bounds).tolist(), h1, h2, maps, lows)))
     least = max(HEAVY_LEAST, HEAVY_TIMES * total / len(cells))
     hot = np.flatnonzero(cells >= least)
     for at in range(0, len(hot), 50_000):
@@ -119,14 +123,10 @@ def _profile(batches):
 _PROFILE = "kind int, k long, doc_id long, n long, h1 long, h2 long, bitmap binary, low array<long>"
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def _profile_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds, ks, ids, ns, h1, h2, maps, lows = zip(*rows) if rows else ([],) * 8
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    columns = [kinds, ks, ids, ns, [_signed(x) for x in h1], [_signed(x) for x in h2], maps, lows]
+    columns = [kinds, ks, ids, ns, h1, h2, maps, lows]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "k", "doc_id", "n", "h1", "h2", "bitmap", "low"])
 
 
@@ -142,18 +142,14 @@ def prefix_of(s: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _prefixes(heavy):
     def run(batches):
         counts, mask = heavy.value, np.uint64((1 << HEAVY_BITS) - 1)
-        for batch in slices(batches):
-            keys, first, hot = [], [], []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                s = shingle_set(text)
-                if len(s):
-                    h, often = prefix_of(s, counts[(s & mask).astype(np.int64)])
-                    keys.append(key)
-                    first.append(h.view(np.int64))
-                    hot.append(often)
-            if keys:
-                at = pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(at, pa.array(np.concatenate(first))), pa.ListArray.from_arrays(at, pa.array(np.concatenate(hot)))], names=["k", "first", "hot"])
+        for batch in chunks(batches, 1):
+            every, bounds = shingle_sets(batch.column(1))
+            often, at = counts[(every & mask).astype(np.int64)], bounds.tolist()
+            full = np.flatnonzero(np.diff(bounds))
+            if len(full):
+                first, hot = zip(*(prefix_of(every[at[i] : at[i + 1]], often[at[i] : at[i + 1]]) for i in full.tolist()))
+                ends = pa.array(np.r_[0, np.cumsum([len(x) for x in first])], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(first).view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(hot)))], names=["k", "first", "hot"])
 
     return run
 
@@ -225,7 +221,7 @@ def _tiles(batches):
 def _block(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["n", "k"])
     packed = {c: rows[c].to_numpy(np.int64).tobytes() for c in ("k", "n", "comp", "at")}
-    return pd.DataFrame({"h": [rows["h"].iloc[0]], "part": [rows["part"].iloc[0]], **{c: [v] for c, v in packed.items()}, "sig": [b"".join(signature(b) for b in rows["bitmap"])]})
+    return pd.DataFrame({"h": [rows["h"].iloc[0]], "part": [rows["part"].iloc[0]], **{c: [v] for c, v in packed.items()}, "least": [rows["n"].iloc[0]], "most": [rows["n"].iloc[-1]], "sig": [b"".join(signature(b) for b in rows["bitmap"])]})
 
 
 def _block_pairs(batches):
@@ -272,9 +268,10 @@ def _intersect(batches):
 
 
 def _arrays(batches):
-    for batch in slices(batches):
-        keys, texts = batch.columns
-        yield pa.RecordBatch.from_arrays([keys, pa.array([shingle_set(t).tobytes() for t in texts.to_pylist()], pa.binary())], names=["k", "s"])
+    for batch in chunks(batches, 1):
+        every, bounds = shingle_sets(batch.column(1))
+        raw, at = every.tobytes(), (8 * bounds).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["k", "s"])
 
 
 class _Sets:
@@ -319,6 +316,17 @@ def _hub_pairs(home: DataFrame, round_: int) -> DataFrame:
     return home.join(hubs, "h").filter(able).select(F.least("k", "hub.k").alias("a"), F.greatest("k", "hub.k").alias("b")).distinct()
 
 
+def _pairs_of_blocks(blocks: DataFrame) -> DataFrame:
+    """Pairs (x, y) of blocks of one shingle whose sizes come near enough. Only the blocks' size ranges are paired up at
+    first; the blocks then come to their pairs by (h, part), so no key holds more than one block's pairs."""
+    ends = blocks.select("h", "part", "least", "most")
+    x, y = (ends.select("h", *[F.col(c).alias(c + side) for c in ("part", "least", "most")]) for side in "xy")
+    near = x.join(y, "h").filter(f"partx <= party and 100 * mostx >= {PERCENT} * leasty and 100 * mosty >= {PERCENT} * leastx").select("h", "partx", "party")
+    for side in "xy":
+        near = near.join(blocks.select("h", F.col("part").alias("part" + side), *[F.col(c).alias(c + side) for c in ("k", "n", "comp", "at", "sig")]), ["h", "part" + side])
+    return near.select("h", *[c + side for side in "xy" for c in ("part", "k", "n", "comp", "at", "sig")])
+
+
 def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     """(rows, keyed documents, name of their key). Rows: k, doc_id, n_shingles, node, comp."""
     spark = docs.sparkSession
@@ -363,9 +371,8 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         edges.append(more)
         comps = materialise(_in_components(nodes.select("k", "n"), reduce(DataFrame.unionByName, edges)), "jaccard-known")
     mixed = _mixed(large, comps).join(nodes.select("k", "bitmap"), "k").withColumn("part", F.pmod(F.xxhash64("k"), F.expr(f"cast((c + {BLOCK_NODES - 1}) div {BLOCK_NODES} as int)")).cast("int"))
-    blocks = materialise(mixed.select("h", "part", "k", "n", "comp", "at", "bitmap").groupBy("h", "part").applyInPandas(_block, "h long, part int, k binary, n binary, comp binary, at binary, sig binary"), "jaccard-blocks")
-    x, y = (blocks.select("h", *[F.col(c).alias(c + side) for c in ("part", "k", "n", "comp", "at", "sig")]) for side in "xy")
-    met = x.join(y, "h").filter("partx <= party").mapInArrow(_block_pairs, "a long, b long")
+    blocks = materialise(mixed.select("h", "part", "k", "n", "comp", "at", "bitmap").groupBy("h", "part").applyInPandas(_block, "h long, part int, k binary, n binary, comp binary, at binary, least long, most long, sig binary"), "jaccard-blocks")
+    met = _pairs_of_blocks(blocks).mapInArrow(_block_pairs, "a long, b long")
     second = sets.verify(tiles.filter("kind = 0").select("a", "b").unionByName(met).distinct())
     final = _in_components(nodes.select("k", "n", "h1", "h2"), reduce(DataFrame.unionByName, [*edges, second]))
     final = final.select("n", "h1", "h2", F.col("k").alias("node"), "comp")
