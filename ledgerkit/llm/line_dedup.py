@@ -39,6 +39,8 @@ TILE_ROWS = 256
 LEADERS = 32
 #: Occurrences of a word from which on its tile is salted into parts of about as many.
 HOT = 100_000
+#: Bits of the bitmaps that pairs are compared by before their sets are.
+BITMAP_BITS = 512
 #: Sets of more words have a second signature.
 _WIDE = 64
 _MASK = np.uint64((1 << CELL_BITS) - 1)
@@ -248,7 +250,24 @@ def _wanted(batches):
         some = np.isin(row << 32 | line, ask)
         raw = s.tobytes()
         data = [raw[8 * a : 8 * (a + c)] for a, c in zip(starts[some].tolist(), n[some].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(line[some].astype(np.int32)), pa.array(data, pa.binary())], names=["k", "line", "s"])
+        maps = [_bitmap(s[a : a + c]) for a, c in zip(starts[some].tolist(), n[some].tolist())]
+        cols = [batch.column(0).take(pa.array(row[some])), pa.array(line[some].astype(np.int32)), pa.array(n[some].astype(np.int32)), pa.array(maps, pa.binary()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["k", "line", "n", "bits", "s"])
+
+
+def _bitmap(s: np.ndarray) -> bytes:
+    """Parities of a set's words in ``BITMAP_BITS`` places."""
+    bits = np.bincount((s >> np.uint64(20) & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _near(batches):
+    """Of rows (k, line, xk, xline, n, xn, bits, xbits) the pairs that the bitmaps leave."""
+    for batch in batches:
+        n, m = (c.to_numpy().astype(np.int64) for c in batch.columns[4:6])
+        x, y = (bytes_of(c)[0].view(np.uint64).reshape(len(n), -1) for c in batch.columns[6:])
+        differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+        yield batch.select([0, 1, 2, 3]).filter(pa.array((100 + PERCENT) * (n + m - differ) >= 2 * PERCENT * (n + m)))
 
 
 def _similar(batches):
@@ -278,11 +297,17 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (k, line, xk, xline) the distinct (k, line) whose sets are similar to that of (xk, xline)."""
     ends = pairs.select("k", "line").unionByName(pairs.select(F.col("xk").alias("k"), F.col("xline").alias("line")))
     wanted = materialise(ends.groupBy("k").agg(F.collect_set("line").alias("wanted")), "line-wanted")
-    sets = materialise(texts.join(_limited(wanted), "k").select("k", "text", "wanted").mapInArrow(_wanted, "k long, line int, s binary"), "line-sets")
-    x = sets.select(F.col("k").alias("xk"), F.col("line").alias("xline"), F.col("s").alias("x"))
-    joined = pairs.join(x, ["xk", "xline"]).join(sets, ["k", "line"]).select("k", "line", "s", "x")
-    out = materialise(joined.mapInArrow(_similar, "k long, line int").distinct(), "line-late")
-    discard(wanted, sets)
+    sets = materialise(texts.join(_limited(wanted), "k").select("k", "text", "wanted").mapInArrow(_wanted, "k long, line int, n int, bits binary, s binary"), "line-sets")
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        x = sets.select(F.col("k").alias("xk"), F.col("line").alias("xline"), *[F.col(c).alias(f"x{c}") for c in columns])
+        return pairs.join(x, ["xk", "xline"]).join(sets.select("k", "line", *columns), ["k", "line"])
+
+    # Bitmaps leave few pairs for the sets, which are several times as wide.
+    near = joined(pairs, "n", "bits").select("k", "line", "xk", "xline", "n", "xn", "bits", "xbits")
+    near = materialise(near.mapInArrow(_near, "k long, line int, xk long, xline int"), "line-near")
+    out = materialise(joined(near, "s").select("k", "line", "s", "xs").mapInArrow(_similar, "k long, line int").distinct(), "line-late")
+    discard(wanted, sets, near)
     return out
 
 
@@ -304,7 +329,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     tile = F.when(parts == 0, F.col("tile")).otherwise(F.col("tile") - parts + 1 + F.pmod(F.xxhash64("start"), F.when(parts == 0, 1).otherwise(parts)))
     posts = posts.select(tile.alias("tile"), "start.k", "start.line", "n", "at", "sig", "wide")
     met = materialise(posts.repartition("tile").sortWithinPartitions("tile", "k", "line").mapInArrow(_meet, _MET_SCHEMA), "line-met")
-    late = _verified(texts, met.filter("kind = 0").select("k", "line", "xk", "xline").distinct())
+    pairs = materialise(met.filter("kind = 0").select("k", "line", "xk", "xline").distinct(), "line-pairs")
+    late = _verified(texts, pairs)
     # What is still there meets the rest of its candidates: those listed, and in large tiles all earlier rows of a like size.
     still = F.broadcast(late) if late.count() <= BROADCAST_ROWS else late
     listed = met.filter("kind = 0 and size(more_k) > 0").join(still, ["k", "line"], "left_anti")
@@ -327,7 +353,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     many = materialise(narrow.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), F.count("*").alias("lines")).filter("lines > 1").select("h1", "h2", "start"), "line-many")
     copies = narrow.join(_limited(many), ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
     out = materialise(late.unionByName(copies), "line-removed")
-    discard(met, rest, hashes, many)
+    discard(met, pairs, rest, hashes, many)
     return out, docs, key
 
 
