@@ -89,6 +89,11 @@ def sized_join(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, how)
 
 
+def limited(keys: DataFrame) -> DataFrame:
+    """``keys``, narrow rows that are written out, to be broadcast when they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 #: Rows of an Arrow batch that are Python objects at a time.
 SLICE_ROWS = 500
 

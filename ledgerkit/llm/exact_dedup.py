@@ -1,13 +1,14 @@
 """Exact deduplication by deterministic block naming.
 
 Every normalised text is cut into fixed-size byte blocks. Distinct blocks are sorted and numbered, so
-a block becomes an integer; adjacent integers are paired, distinct pairs are sorted and numbered
+a block becomes an integer, its rank among all; adjacent integers are paired, distinct pairs are sorted and numbered
 again, and so on until one integer is left. Two texts of as many blocks have the same integer exactly
-when they are equal: names stand for contents, not for hashes, so nothing can collide.
+when they are equal: names stand for contents, not for hashes, so nothing can collide. A name depends on the
+texts alone, not on how rows are partitioned.
 
-Scale: text is shuffled once, after map-side combining, to name the blocks. The rounds after that
-move pairs of integers whose number halves each time. A block that a third of all rows share is
-combined before the shuffle. Names are written out before use, so a lost executor can't change them.
+Scale: text is shuffled after map-side combining to find the distinct blocks, and these once more to sort them. The
+rounds after that move pairs of integers whose number halves each time. A block that a third of all rows share is
+combined before the shuffle. Ranks come from counts by partition of the sort. Names are written out before use, so a lost executor can't change them.
 
 Defined results: null text equals empty text; a null ``doc_id`` counts as larger than any other;
 repeated rows form one group of which a single row stays; an empty table gives an empty result;
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import WS_PATTERN, discard, keyed, materialise, sized_join
+from ledgerkit.llm.common import WS_PATTERN, discard, keyed, limited, materialise, sized_join
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
@@ -34,30 +35,40 @@ def _blocks(text_bytes: F.Column, block_bytes: int) -> F.Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text_bytes, i * block_bytes + 1, F.lit(block_bytes)))
 
 
-def _names(keys: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct ``cols``, sorted, each with an integer ``name``."""
-    return keys.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id())
+def _hashes(block: F.Column) -> tuple[F.Column, F.Column]:
+    return F.xxhash64(block), F.xxhash64(block, F.lit(1))
+
+
+def _ranked(distinct: DataFrame, cols: list[str], keep: list[str], what: str) -> DataFrame:
+    """Columns ``keep`` of distinct rows with ``name``, the rank by ``cols``: places within the partitions of a sort, and the rows of those before."""
+    numbered = materialise(distinct.orderBy(*cols).select(*keep, F.monotonically_increasing_id().alias("place")), what)
+    part = F.shiftright("place", 33)
+    before, offsets = 0, []
+    for r in numbered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
+        offsets.append((r[0], before))
+        before += r[1]
+    offset = F.broadcast(distinct.sparkSession.createDataFrame(offsets, "part int, offset long"))
+    return numbered.join(offset, part == F.col("part")).select(*keep, (F.col("offset") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("name"))
 
 
 def identities(docs: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: key, doc_id, sha, n_blocks, name. Equal (n_blocks, name) means equal text."""
     texts = docs.select(F.col(key).alias("k"), "doc_id", normalised().alias("norm"))
     blocks = _blocks(F.encode("norm", "UTF-8"), block_bytes)
-    h = (F.xxhash64("block"), F.xxhash64("block", F.lit(1)))
-    # The content leaves the scan once, for naming; its two hashes only find the name again, which is
-    # exact because no two named blocks share them (checked below).
-    skeleton = materialise(
-        texts.select("k", "doc_id", F.sha2("norm", 256).alias("sha"), F.transform(blocks, lambda b: F.struct(F.xxhash64(b).alias("h1"), F.xxhash64(b, F.lit(1)).alias("h2"))).alias("hashes")),
-        "dedup-skeleton",
-    )
-    named = materialise(
-        texts.select(F.explode(blocks).alias("block")).select(h[0].alias("h1"), h[1].alias("h2"), "block").distinct().sortWithinPartitions("block").select("h1", "h2", F.monotonically_increasing_id().alias("name")),
-        "dedup-blocks",
-    )
-    if named.groupBy("h1", "h2").count().filter("count > 1").limit(1).count():
-        raise ValueError("two different blocks share 128 bits of hash; choose another block size")
+    # The content leaves the scan once, for naming; two hashes find the name again. Blocks that share both are told apart by their content.
+    pair = lambda b: F.struct(*[h.alias(n) for h, n in zip(_hashes(b), ("h1", "h2"))])
+    skeleton = materialise(texts.select("k", "doc_id", F.sha2("norm", 256).alias("sha"), F.transform(blocks, pair).alias("hashes")), "dedup-skeleton")
+    distinct = texts.select(F.explode(blocks).alias("block")).distinct().select("block", pair(F.col("block")).alias("h"))
+    named = _ranked(distinct.select("block", "h.h1", "h.h2"), ["block"], ["h1", "h2"], "dedup-blocks")
     levels = skeleton.select("k", F.posexplode("hashes").alias("pos", "h")).select("k", "pos", F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"))
-    current = levels.join(named, ["h1", "h2"]).select("k", "pos", "name")
+    clashes = named.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("name").alias("name"))
+    if clashes.filter("n > 1").limit(1).count():
+        clash = materialise(clashes.filter("n > 1").select("h1", "h2"), "dedup-clashes")
+        content = texts.select("k", F.posexplode(blocks).alias("pos", "block")).select("k", "pos", "block", pair(F.col("block")).alias("h")).select("k", "pos", "block", "h.h1", "h.h2").join(clash, ["h1", "h2"], "left_semi")
+        by_content = _ranked(distinct.select("block", "h.h1", "h.h2"), ["block"], ["block"], "dedup-contents")
+        current = levels.join(named.join(clash, ["h1", "h2"], "left_anti"), ["h1", "h2"]).select("k", "pos", "name").unionByName(content.join(by_content, "block").select("k", "pos", "name"))
+    else:
+        current = levels.join(named, ["h1", "h2"]).select("k", "pos", "name")
     longest = skeleton.agg(F.max(F.size("hashes"))).first()[0] or 1
     sizes = skeleton.select("k", F.size("hashes").alias("n"))
     done = None
@@ -78,9 +89,9 @@ def identities(docs: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> Dat
             .agg(F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))), F.lit(-1)).alias("r")),
             "dedup-pairs",
         )
-        names = materialise(_names(pairs, ["l", "r"]), "dedup-names")
+        names = _ranked(pairs.select("l", "r").distinct(), ["l", "r"], ["l", "r"], "dedup-names")
         current = materialise(pairs.join(names, ["l", "r"]).select("k", "pos", "name", "n"), "dedup-level")
-        used += [pairs, names]
+        used.append(pairs)
         longest = (longest + 1) // 2
     discard(*used)
     return skeleton.select("k", "doc_id", "sha", F.size("hashes").alias("n_blocks")).join(done, "k")
@@ -93,7 +104,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataF
     groups = rows.groupBy("n_blocks", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("keep"), F.count("*").alias("group_size"))
     # Texts that occur once need no join; only members of larger groups meet their group.
     many = groups.filter("group_size > 1")
-    joined = rows.join(many, ["n_blocks", "name"], "left")
+    joined = rows.join(limited(materialise(many, "dedup-groups")), ["n_blocks", "name"], "left")
     keep = F.coalesce(F.col("keep"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k")))
     out = joined.select("k", "doc_id", keep["k"].alias("keep_k"), keep["doc_id"].alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (keep["k"] == F.col("k")).alias("kept"), F.col("sha").alias("text_sha256"))
     return out, docs, key

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import BROADCAST_ROWS, discard, keyed, materialise
+from ledgerkit.llm.common import BROADCAST_ROWS, discard, keyed, limited, materialise
 from ledgerkit.llm.words import bytes_of, chunks, distinct, line_words, mix
 
 PERCENT = 80
@@ -288,16 +288,11 @@ def _similar(batches):
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
-def _limited(keys: DataFrame) -> DataFrame:
-    """Broadcast when it has few rows."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (k, line, xk, xline) the distinct (k, line) whose sets are similar to that of (xk, xline)."""
     ends = pairs.select("k", "line").unionByName(pairs.select(F.col("xk").alias("k"), F.col("xline").alias("line")))
     wanted = materialise(ends.groupBy("k").agg(F.collect_set("line").alias("wanted")), "line-wanted")
-    sets = materialise(texts.join(_limited(wanted), "k").select("k", "text", "wanted").mapInArrow(_wanted, "k long, line int, n int, bits binary, s binary"), "line-sets")
+    sets = materialise(texts.join(limited(wanted), "k").select("k", "text", "wanted").mapInArrow(_wanted, "k long, line int, n int, bits binary, s binary"), "line-sets")
 
     def joined(pairs: DataFrame, *columns: str) -> DataFrame:
         x = sets.select(F.col("k").alias("xk"), F.col("line").alias("xline"), *[F.col(c).alias(f"x{c}") for c in columns])
@@ -351,7 +346,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     # All lines of a node but its first go; the first goes when an earlier node is similar.
     narrow = hashes.filter("cell is null").select("k", "line", "h1", "h2")
     many = materialise(narrow.groupBy("h1", "h2").agg(F.min(F.struct("k", "line")).alias("start"), F.count("*").alias("lines")).filter("lines > 1").select("h1", "h2", "start"), "line-many")
-    copies = narrow.join(_limited(many), ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
+    copies = narrow.join(limited(many), ["h1", "h2"]).filter(F.struct("k", "line") != F.col("start")).select("k", "line")
     out = materialise(late.unionByName(copies), "line-removed")
     discard(met, pairs, rest, hashes, many)
     return out, docs, key
