@@ -37,7 +37,7 @@ _U = np.uint64
 _TOP, _BOT, _WORD, _HIGH = _U(1 << 48), _U(1 << 40), _U(16), _U(48)
 _ONE, _ZERO, _ALL = _U(1), _U(0), _U((1 << 64) - 1)
 #: Contexts of a predictor in a block: small enough that the tables of a segment stay in the processor's cache.
-_BITS = 10
+_BITS = 8
 _ANY = 1 << 16
 MOST_IDS = _ANY - 1
 #: Growth of the classes' widths, and the sum of the shares within a class: no class has as many ids.
@@ -138,9 +138,9 @@ class _Model:
         m1 = rest * (self.weight1 * ((self.e1 > 0) & (self.g1 != self.g2))) >> 12
         return (rest - m1).astype(np.float64), m1 * (_PLACES / _UNIT), m2 * (_PLACES / _UNIT)
 
-    def order0(self, k: int, rank: np.ndarray):
-        """(sum before a rank, its share) by order 0."""
-        at = self.row_s[:k] + self.table.of_rank.take(rank, mode="clip")
+    def order0(self, blocks, rank: np.ndarray):
+        """(sum before a rank, its share) by order 0, in some blocks."""
+        at = self.row_s[blocks] + self.table.of_rank.take(rank, mode="clip")
         before = self.flat_sums.take(at, mode="clip")
         n = self.flat_sums.take(at + 1, mode="clip") - before
         return before * _SHARE + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
@@ -253,7 +253,7 @@ def _encode_blocks(ids: np.ndarray, block: int, table: _Table) -> tuple[np.ndarr
         k = lanes if t < lengths[-1] else lanes - 1
         now = grid[t, :k].astype(np.int32)
         m0, m1, m2 = model.predict(k)
-        before, share = model.order0(k, now)
+        before, share = model.order0(slice(k), now)
         start = m0 * before + m2 * (model.g2 < now) + m1 * (model.g1 < now)
         size = m0 * share + m2 * (model.g2 == now) + m1 * (model.g1 == now)
         out.code(k, start, size)
@@ -272,14 +272,20 @@ def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, t
         low = source.low[:k]
         r = source.range[:k] >> _U(_TOTAL_BITS)
         place = np.minimum((source.value[:k] - low) // r, _U((1 << _TOTAL_BITS) - 1)).astype(np.float64)
-        before2, share2 = model.order0(k, model.g2)
-        before1, share1 = model.order0(k, model.g1)
-        # The weight of the other guess lies before a guess when its rank does.
-        lower = model.g1 < model.g2
-        start2, start1 = m0 * before2 + m1 * lower, m0 * before1 + m2 * ~lower
-        size2, size1 = m0 * share2 + m2, m0 * share1 + m1
+        # Most blocks have no guess of order 2: figures are computed where there is one.
+        starts, sizes = [], []
+        for guess, m, other, m_other in ((model.g2, m2, model.g1, m1), (model.g1, m1, model.g2, m2)):
+            at = m.nonzero()[0]
+            some, few = guess[at], m0[at]
+            before, share = model.order0(at, some)
+            start, size = np.full(k, _PLACES * 2), np.zeros(k)
+            start[at] = few * before + m_other[at] * (other[at] < some)
+            size[at] = few * share + m[at]
+            starts.append(start)
+            sizes.append(size)
+        (start2, start1), (size2, size1) = starts, sizes
         beyond2, beyond1 = place >= start2 + size2, place >= start1 + size1
-        is2, is1 = (m2 > 0) & ~beyond2 & (place >= start2), (m1 > 0) & ~beyond1 & (place >= start1)
+        is2, is1 = ~beyond2 & (place >= start2), ~beyond1 & (place >= start1)
         # Without the guesses' weights that lie before it, the place is one of order 0.
         shift = m2 * beyond2 + m1 * beyond1
         now, before, share = model.find0(k, np.floor((place - shift) / m0))
