@@ -43,17 +43,37 @@ def first_match(rules: Sequence[Rule], text: Column, cents: Column | None = None
     return F.lit(None).cast("struct<rule:int,target:string>") if out is None else out
 
 
+# The wordings that give a card row its type.
+PAYMENT = r"\b(PAYMENT|AUTOPAY|AUTO PAY|THANK YOU)\b"
+PAYMENT_BACK = r"\b(PAYMENT REVERSAL|RETURNED PAYMENT|CREDIT BALANCE REFUND)\b"
+INTEREST = r"\bINTEREST\b"
+FEE = r"\b(ANNUAL (MEMBERSHIP )?FEE|LATE FEE|FOREIGN TRANSACTION FEE|FOREIGN TRANS FEE|RETURNED PAYMENT FEE|BALANCE TRANSFER FEE|CASH ADVANCE FEE)\b"
+REWARD = r"\b(REDEMPTION|REWARDS?|CASH BACK|POINTS)\b"
+CREDIT = r"\b(STATEMENT CREDIT|CREDIT)\b"
+
+
 def card_row_type(text: Column, issuer_type: Column, cents: Column) -> Column:
-    """Struct (type, needs_review) of a card row, by sign, wording and the issuer's own type."""
-    t = F.upper(text)
-    fee, interest = t.rlike(r"\bFEE\b"), t.rlike(r"\bINTEREST\b")
-    payment = t.rlike(r"\b(PAYMENT|AUTOPAY)\b") | (F.lower(issuer_type) == "payment")
-    reward, credit = t.rlike(r"\b(REWARD|CASH ?BACK|REDEMPTION)"), t.rlike(r"\bCREDIT\b")
-    returned = F.lower(issuer_type).isin("return", "refund")
-    out = F.when(interest, "interest").when(fee, "fee").when(F.lower(issuer_type) == "adjustment", "adjustment").otherwise("purchase")
-    back = F.when(payment, "payment").when(reward, "reward").when(returned, "refund").when(credit, "credit").otherwise("refund")
-    known = payment | reward | returned | credit
-    return F.struct(F.when(cents >= 0, out).otherwise(back).alias("type"), ((cents < 0) & ~F.coalesce(known, F.lit(False))).alias("needs_review"))
+    """Struct (type, needs_review) of a card row, by sign (positive is money out), wording and the issuer's own type.
+
+    Money in that nothing explains is a credit to review; 0 cents count as money in.
+    """
+    words, issuer = F.upper(text), F.lower(F.trim(F.coalesce(issuer_type, F.lit(""))))
+    says = words.rlike
+    out = (
+        F.when((issuer == "reversal") | (says(PAYMENT_BACK) & ~says(FEE)), "payment")
+        .when(says(INTEREST) & (issuer.isin("fee", "") | words.contains("CHARGE")), "interest")
+        .when((issuer == "fee") | says(FEE), "fee")
+        .when(issuer == "adjustment", "adjustment")
+        .otherwise("purchase")
+    )
+    back = (
+        F.when((issuer == "payment") | says(PAYMENT), "payment")
+        .when(issuer == "return", "refund")
+        .when(says(REWARD), "reward")
+        .when(issuer == "adjustment", "adjustment")
+        .when(says(CREDIT), "credit")
+    )
+    return F.struct(F.when(cents > 0, out).otherwise(F.coalesce(back, F.lit("credit"))).alias("type"), ((cents <= 0) & back.isNull()).alias("needs_review"))
 
 
 def with_overrides(rows: DataFrame, overrides: DataFrame, key: str, field: str, into: str) -> DataFrame:

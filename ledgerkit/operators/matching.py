@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +12,16 @@ from pyspark.sql import functions as F
 def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], low: int, high: int, residual: Column | None = None) -> DataFrame:
     """Pairs with equal keys whose days apart (left - right) lie in [low, high]. Both sides have id and day.
 
-    The keys make it an equi join; the window is a residual. Left columns carry the prefix l_, right ones r_.
+    An equi join on the keys and a bucket of days as wide as the window: a left row looks in the one or two buckets that its
+    window meets, so a frequent key is dealt to many places. Left columns carry the prefix l_, right ones r_.
     """
-    l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns])
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    on = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in keys]
+    width = high - low + 1
+    bucket = lambda day, back: F.floor((F.unix_date(day) - back) / width)
+    l = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns]).withColumn("l__b", F.explode(F.sequence(bucket("l_day", high), bucket("l_day", low))))
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).withColumn("r__b", bucket("r_day", 0))
+    on = [F.col(f"l_{k}") == F.col(f"r_{k}") for k in [*keys, "_b"]]
     days = F.datediff("l_day", "r_day")
-    out = l.join(r, on).withColumn("days", days).filter(F.col("days").between(low, high))
+    out = l.join(r, on).withColumn("days", days).filter(F.col("days").between(low, high)).drop("l__b", "r__b")
     return out.filter(residual) if residual is not None else out
 
 
@@ -37,21 +39,24 @@ def unambiguous_nearest(pairs: DataFrame) -> DataFrame:
     return near.withColumn("ties", F.count("*").over(Window.partitionBy("l_id")))
 
 
+def _chains(rows: DataFrame, component: Sequence[str], starts: Column, ends: Column, ties: Sequence[str]) -> DataFrame:
+    """``rows`` with ``chain``: a component is cut where the rows up to a day all end before the next ones begin."""
+    w = Window.partitionBy(*component).orderBy(starts, ends, *ties)
+    before = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = rows.withColumn("__cut", F.coalesce((starts > before).cast("int"), F.lit(0)))
+    return cut.withColumn("chain", F.sum("__cut").over(w)).drop("__cut")
+
+
 def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
-    """One-to-one greedy assignment: left rows in order of (l_day, l_id) take the nearest right row that is free.
+    """One-to-one greedy assignment: left rows in order of (l_day, l_id) take the nearest right row that is free, of equally near ones the smallest id.
 
     Rows of different ``component`` keys never compete, nor do those of one key that no chain of pairs
-    in time joins: a key is cut where the pairs up to a day all end before the next ones begin, so that
-    the cents value of a third of all rows still becomes many groups.
+    in time joins, so that the cents value of a third of all rows still becomes many groups.
     """
-    ends, starts = F.greatest("l_day", "r_day"), F.least("l_day", "r_day")
-    w = Window.partitionBy(*component).orderBy(starts, ends, "l_id", "r_id")
-    before = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = pairs.withColumn("__cut", F.coalesce((starts > before).cast("int"), F.lit(0)))
-    chains = cut.withColumn("chain", F.sum("__cut").over(w)).drop("__cut")
+    chains = _chains(pairs, component, F.least("l_day", "r_day"), F.greatest("l_day", "r_day"), ["l_id", "r_id"])
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__d=pdf["days"].abs()).sort_values(["l_day", "l_id", "__d", "r_day", "r_id"])
+        pdf = pdf.assign(__d=pdf["days"].abs()).sort_values(["l_day", "l_id", "__d", "r_id"])
         used, done, keep = set(), set(), []
         for i, l, r in zip(pdf.index, pdf["l_id"], pdf["r_id"]):
             if l not in done and r not in used:
@@ -63,6 +68,45 @@ def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
     return chains.groupBy(*component, "chain").applyInPandas(assign, chains.schema).drop("chain")
 
 
+def group_payments(bank: DataFrame, cards: DataFrame, low: int, high: int) -> DataFrame:
+    """Bank rows that equal two or three card payments of their issuer: id, card_id, days.
+
+    bank: id, issuer, day, cents; cards: id, issuer, day, cents of the opposite sign. Options come from joins on what is missing
+    to the row's cents. Rows in order of (day, id) take their first option of which all payments are free: two before three
+    payments, then by how near (days, id) the first is, the second, the third.
+    """
+    near = candidates(bank, cards, ["issuer"], low, high).filter("signum(l_cents) = -signum(r_cents) and abs(r_cents) < abs(l_cents)")
+    near = near.select("l_issuer", "l_id", "l_day", F.struct(F.abs("days").alias("apart"), F.col("r_id").alias("id"), F.col("r_day").alias("day")).alias("p"), F.col("r_cents").alias("has"), (-F.col("l_cents")).alias("needs"))
+    near = near.withColumn("p", F.struct("p.apart", "p.id", "p.day"))
+    other = near.select(F.col("l_id").alias("o_id"), F.col("p").alias("q"), F.col("has").alias("o_has"))
+    two = near.join(other, [F.col("l_id") == F.col("o_id"), F.col("needs") - F.col("has") == F.col("o_has"), F.col("p") < F.col("q")])
+    two = two.select("l_issuer", "l_id", "l_day", F.array("p", "q").alias("parts"))
+    pairs = near.join(other, [F.col("l_id") == F.col("o_id"), F.col("p") < F.col("q")]).filter("abs(has + o_has) < abs(needs)")
+    pairs = pairs.select("l_issuer", "l_id", "l_day", F.array("p", "q").alias("parts"), (F.col("needs") - F.col("has") - F.col("o_has")).alias("rest"))
+    last = other.select(F.col("o_id").alias("t_id"), F.col("q").alias("r"), F.col("o_has").alias("t_has"))
+    three = pairs.join(last, [F.col("l_id") == F.col("t_id"), F.col("rest") == F.col("t_has"), F.get("parts", F.lit(1)) < F.col("r")])
+    three = three.select("l_issuer", "l_id", "l_day", F.concat("parts", F.array("r")).alias("parts"))
+    options = two.unionByName(three)
+    paid = F.transform("parts", lambda p: p["day"])
+    chains = _chains(options, ["l_issuer"], F.least("l_day", F.array_min(paid)), F.greatest("l_day", F.array_max(paid)), ["l_id"])
+    rank = F.row_number().over(Window.partitionBy("l_id").orderBy(F.size("parts"), F.transform("parts", lambda p: F.struct(p["apart"], p["id"]))))
+    chains = chains.select("l_issuer", "chain", "l_id", "l_day", rank.alias("rank"), F.transform("parts", lambda p: p["id"]).alias("ids"))
+
+    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), {}
+        for row in pdf.sort_values(["l_day", "l_id", "rank"]).itertuples(index=False):
+            if row.l_id not in out and taken.isdisjoint(row.ids):
+                out[row.l_id] = row.ids
+                taken.update(row.ids)
+        rows = [(i, c) for i, ids in out.items() for c in ids]
+        return pd.DataFrame(rows, columns=["id", "card_id"])
+
+    taken = chains.groupBy("l_issuer", "chain").applyInPandas(assign, "id long, card_id long")
+    when = bank.select("id", F.col("day").alias("__day"))
+    paid_on = cards.select(F.col("id").alias("card_id"), F.col("day").alias("__paid"))
+    return taken.join(when, "id").join(paid_on, "card_id").select("id", "card_id", F.datediff("__day", "__paid").alias("days"))
+
+
 def unmatched_after(rows: DataFrame, matched: DataFrame, today: Column, grace: int) -> DataFrame:
     """Rows without a match once the grace days are over."""
     return rows.join(matched.select(F.col("l_id").alias("id")), "id", "left_anti").filter(F.datediff(today, F.col("day")) > grace)
@@ -80,34 +124,32 @@ def sums_of_two(targets: DataFrame, parts: DataFrame, keys: Sequence[str], low:
 
 
 def transfers(bank: DataFrame, cards: DataFrame, low: int = -2, high: int = 6) -> DataFrame:
-    """Links of checking rows and card payments in three tiers, per issuer: id, card_id, method, days, confidence.
+    """Links of checking rows and card payments in three tiers: id, card_id, method, days, confidence.
 
-    bank: id, issuer, day, cents (> 0). cards: id, issuer, day, cents (< 0).
-    Tiers: named (equal cents, nearest), group (a row equals two or three payments), amount (whatever issuer).
+    bank: id, issuer, day, cents, and where known ``unsure`` (by default all): rows whose own wording doesn't say what they are and
+    that nobody has typed by hand. cards: id, issuer, day, cents of the opposite sign.
+    Tiers: named (the issuer's payment of equal cents, nearest first), group (a row equals two or three of the issuer's
+    payments), amount (an unsure row and whatever issuer's payment of equal cents).
     """
     cards = cards.select(*[F.col(c).alias(c) for c in cards.columns])  # both sides may come from one table
-    pairs = candidates(bank, cards.withColumn("cents", -F.col("cents")), ["cents"], low, high)
-    named = greedy(pairs.filter("l_issuer = r_issuer"), ["l_cents"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), F.lit("named").alias("method"), "days", F.lit(1.0).alias("confidence"))
-    left = bank.join(named.select("id"), "id", "left_anti")
-    open_ = cards.join(named.select(F.col("card_id").alias("id")), "id", "left_anti")
-
-    def groups(key, rows: pd.DataFrame, pays: pd.DataFrame) -> pd.DataFrame:
-        out, used = [], set()
-        pays = pays.sort_values(["day", "id"])
-        for r in rows.sort_values(["day", "id"]).itertuples():
-            near = [p for p in pays.itertuples() if p.id not in used and low <= (r.day - p.day).days <= high]
-            hit = next((g for n in (2, 3) for g in combinations(near, n) if sum(-p.cents for p in g) == r.cents), ())
-            for p in hit:
-                used.add(p.id)
-                out.append((r.id, p.id, "group", (r.day - p.day).days, 1.0))
-        return pd.DataFrame(out, columns=["id", "card_id", "method", "days", "confidence"])
-
-    schema = "id long, card_id long, method string, days int, confidence double"
-    group = left.filter("issuer is not null").groupBy("issuer").cogroup(open_.filter("issuer is not null").groupBy("issuer")).applyInPandas(groups, schema)
-    left = left.join(group.select("id"), "id", "left_anti")
-    open_ = open_.join(group.select(F.col("card_id").alias("id")), "id", "left_anti")
-    rest = candidates(left, open_.withColumn("cents", -F.col("cents")), ["cents"], low, high)
-    amount = greedy(rest, ["l_cents"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), F.lit("amount").alias("method"), "days", F.lit(0.6).alias("confidence"))
+    opposite = lambda df: df.withColumn("cents", -F.col("cents"))
+
+    def link(df: DataFrame, method: str, confidence: float) -> DataFrame:
+        return df.select("id", "card_id", F.lit(method).alias("method"), "days", F.lit(confidence).alias("confidence"))
+
+    def free(links: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return left.join(links.select("id"), "id", "left_anti"), right.join(links.select(F.col("card_id").alias("id")), "id", "left_anti")
+
+    def by_amount(pairs: DataFrame) -> DataFrame:
+        return greedy(pairs, ["l_cents"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), "days")
+
+    named = link(by_amount(candidates(bank, opposite(cards), ["issuer", "cents"], low, high)), "named", 1.0)
+    left, open_ = free(named, bank, cards)
+    group = link(group_payments(left.filter("issuer is not null"), open_, low, high), "group", 1.0)
+    left, open_ = free(group, left, open_)
+    if "unsure" in left.columns:
+        left = left.filter("unsure")
+    amount = link(by_amount(candidates(left, opposite(open_), ["cents"], low, high)), "amount", 0.6)
     return named.unionByName(group).unionByName(amount)
 
 

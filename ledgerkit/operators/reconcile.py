@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +42,30 @@ def balance_walk(rows: DataFrame) -> DataFrame:
     """Days whose rows don't lead from one printed balance to the next: account, day, expected (cents).
 
     rows: account, id, day, cents (out positive), balance. A day's close must be among its printed balances;
-    the walk starts from the balance with the longest agreement and starts anew after a gap. Days follow
-    each other, so an account is walked as a whole: its days, not its rows, are kept.
+    the walk starts from the balance with the longest agreement and starts anew after a gap.
+
+    A close plus all that went out until then is one value along an agreement. So agreements are runs of days that print
+    the same value, and each day knows from windows alone how far the best of its values holds; a fold over an account's days
+    (not its rows) follows the starts.
     """
-    days = rows.groupBy("account", "day").agg(F.sum("cents").alias("net"), F.array_sort(F.collect_set("balance")).alias("balances"))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day").reset_index(drop=True)
-        net, sets = pdf["net"].tolist(), [set(map(int, b)) for b in pdf["balances"]]
-
-        def run(start: int, close: int) -> int:
-            n = 0
-            for i in range(start + 1, len(net)):
-                close -= net[i]
-                if close not in sets[i]:
-                    break
-                n += 1
-            return n
-
-        bad, at = [], 0
-        close = None
-        while at < len(net):
-            if close is None:
-                close = max(sorted(sets[at]), key=lambda c: run(at, c)) if sets[at] else None
-            else:
-                close -= net[at]
-                if close not in sets[at]:
-                    bad.append((pdf["account"][at], pdf["day"][at], close))
-                    close = max(sorted(sets[at]), key=lambda c: run(at, c)) if sets[at] else None
-            at += 1
-        return pd.DataFrame(bad, columns=["account", "day", "expected"])
-
-    return days.groupBy("account").applyInPandas(walk, "account long, day date, expected long")
+    by = Window.partitionBy("account").orderBy("day")
+    days = rows.groupBy("account", "day").agg(F.sum("cents").alias("net"), F.collect_set("balance").alias("balances"))
+    days = days.withColumn("i", F.row_number().over(by)).withColumn("spent", F.sum("net").over(by))
+    printed = days.select("account", "i", F.explode("balances").alias("balance"), "spent").withColumn("value", F.col("balance") + F.col("spent"))
+    runs = printed.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("account", "value").orderBy("i")))
+    ends = runs.withColumn("end", F.max("i").over(Window.partitionBy("account", "value", "island")))
+    best = ends.groupBy("account", "i").agg(F.max(F.struct("end", (-F.col("balance")).alias("low"), "value")).alias("best")).select("account", "i", "best.end", "best.value")
+    known = days.join(best, ["account", "i"], "left").select("account", F.struct("i", "day", "spent", F.coalesce("end", "i").alias("end"), "value").alias("d"))
+    walked = known.groupBy("account").agg(F.array_sort(F.collect_list("d")).alias("days"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("long").alias("value"), F.array().cast("array<struct<day:date,expected:long>>").alias("bad"))
+
+    def step(state, day):
+        gap = F.when(state["value"].isNotNull(), F.array(F.struct(day["day"].alias("day"), (state["value"] - day["spent"]).cast("long").alias("expected")))).otherwise(F.array().cast("array<struct<day:date,expected:long>>"))
+        anew = F.struct(day["end"].alias("end"), day["value"].cast("long").alias("value"), F.concat(state["bad"], gap).alias("bad"))
+        return F.when(day["i"] <= state["end"], state).otherwise(anew)
+
+    bad = walked.select("account", F.explode(F.aggregate("days", start, step)["bad"]).alias("b"))
+    return bad.select("account", "b.day", "b.expected")
 
 
 def used_twice(links: DataFrame, key: str) -> DataFrame:

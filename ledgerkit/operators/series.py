@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import takewhile
-from statistics import median
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,19 +46,20 @@ def missing_bills(cadences: DataFrame, today, grace: int = 10) -> DataFrame:
 
 
 def baseline(payments: DataFrame, n: int = 6) -> DataFrame:
-    """Each payment with the median (half-even) of up to n payments before it, and whether it is 1.3 times that."""
+    """Each payment with the median (half-even) of up to n payments before it (two at least), and whether it is 1.3 times that."""
     w = Window.partitionBy("account").orderBy("day", "id").rowsBetween(-n, -1)
     before = F.array_sort(F.collect_list("cents").over(w))
     size = F.size("b")
     middle = (F.get("b", ((size - 1) / 2).cast("int")) + F.get("b", (size / 2).cast("int"))) / 2
-    rows = payments.withColumn("b", before).withColumn("typical", F.when(F.size("b") > 0, half_even(middle)))
+    rows = payments.withColumn("b", before).withColumn("typical", F.when(F.size("b") >= 2, half_even(middle)))
     return rows.withColumn("unusual", F.coalesce(F.col("cents") * 10 >= F.col("typical") * 13, F.lit(False))).drop("b")
 
 
 def year_over_year(series: DataFrame) -> DataFrame:
-    """Months with their value a calendar year before; null where that month isn't in the series."""
-    then = series.select("account", F.add_months("first", 12).alias("first"), F.col("cents").alias("before"))
-    return series.join(then, ["account", "first"], "left").select("account", "month", "cents", "before", (F.col("cents") - F.col("before")).alias("change"))
+    """Months of a series without gaps with their value a calendar year before; null where that month isn't in the series."""
+    w = Window.partitionBy("account").orderBy("first")
+    rows = series.withColumn("before", F.lag("cents", 12).over(w))
+    return rows.select("account", "month", "cents", "before", (F.col("cents") - F.col("before")).alias("change"))
 
 
 def double_payments(payments: DataFrame, days: int = 7) -> DataFrame:
@@ -73,13 +71,13 @@ def double_payments(payments: DataFrame, days: int = 7) -> DataFrame:
 
 
 def budget_plans(series: DataFrame, least: int = 4) -> DataFrame:
-    """Runs of equal months at the end of a series that are at least so long: gaps and islands."""
+    """Runs of equal paid months at the end of a series that are at least so long: gaps and islands."""
     w = Window.partitionBy("account").orderBy("first")
     change = F.when(F.col("cents") == F.lag("cents").over(w), 0).otherwise(1)
     island = series.withColumn("__c", change).withColumn("__i", F.sum("__c").over(w))
     runs = island.groupBy("account", "__i").agg(F.min("month").alias("from_month"), F.max("month").alias("to_month"), F.count("*").alias("months"), F.first("cents").alias("cents"))
     last = runs.withColumn("__n", F.row_number().over(Window.partitionBy("account").orderBy(F.desc("to_month")))).filter("__n = 1")
-    return last.filter(F.col("months") >= least).select("account", "from_month", "to_month", "months", "cents")
+    return last.filter((F.col("months") >= least) & (F.col("cents") > 0)).select("account", "from_month", "to_month", "months", "cents")
 
 
 def trailing_sum(series: DataFrame, n: int = 12) -> DataFrame:
@@ -111,23 +109,27 @@ def provider_switches(payments: DataFrame, days: int = 45) -> DataFrame:
 def fix_drift(placed: DataFrame) -> DataFrame:
     """Monthly accounts: of a month with two payments and an empty neighbour the earliest moves back, else the latest forward, from left to right.
 
-    placed: account, id, first (month), day, cents. Left-to-right, so an account's payments are walked in order.
+    placed: account, id, first (month), day, cents. Refunds and payments over several months stay. A month that moves
+    one back asks whether the month two before has filled that neighbour; so months of like parity form chains, along
+    which the last month that doesn't depend on its predecessor decides.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "id"]).reset_index(drop=True)
-        at = [d.year * 12 + d.month - 1 for d in pdf["first"]]
-        low, high = min(at), max(at)
-        for m in range(low, high + 1):
-            here = [i for i, x in enumerate(at) if x == m]
-            if len(here) >= 2:
-                if m - 1 >= low and m - 1 not in at:
-                    at[here[0]] = m - 1
-                elif m + 1 <= high and m + 1 not in at:
-                    at[here[-1]] = m + 1
-        return pdf.assign(month=[f"{x // 12:04d}-{x % 12 + 1:02d}" for x in at])[["account", "id", "month", "cents"]]
-
-    return placed.groupBy("account").applyInPandas(walk, "account long, id long, month string, cents long")
+    number = F.year("first") * 12 + F.month("first") - 1
+    rows = placed.withColumn("at", number).withColumn("movable", (F.col("cents") > 0) & (F.count("*").over(Window.partitionBy("account", "id")) == 1))
+    w = Window.partitionBy("account").orderBy("at")
+    months = rows.filter("movable").groupBy("account", "at").agg(F.count("*").alias("n"), F.min(F.struct("day", "id"))["id"].alias("early"), F.max(F.struct("day", "id"))["id"].alias("late"))
+    two = F.col("n") >= 2
+    back = two & (F.lag("at").over(w) < F.col("at") - 1)  # there is an earlier month, and the one before is empty
+    ahead = two & (F.lead("at").over(w) > F.col("at") + 1)
+    chain = Window.partitionBy("account", F.col("at") % 2).orderBy("at")
+    months = months.withColumn("back", F.coalesce(back, F.lit(False))).withColumn("ahead", F.coalesce(ahead, F.lit(False)))
+    follows = F.coalesce(F.lag("at").over(chain) == F.col("at") - 2, F.lit(False))
+    fixed = F.when(~F.col("ahead"), False).when(~F.col("back"), True).when(~follows, False)
+    goes_ahead = F.last("fixed", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+    months = months.withColumn("fixed", fixed).withColumn("goes_ahead", goes_ahead).withColumn("goes_back", F.col("back") & ~F.col("goes_ahead") & ~(follows & F.coalesce(F.lag("goes_ahead").over(chain), F.lit(False))))
+    moves = months.filter("goes_ahead or goes_back").select("account", F.when(F.col("goes_back"), F.col("early")).otherwise(F.col("late")).alias("id"), F.when(F.col("goes_back"), -1).otherwise(1).alias("by"))
+    out = rows.join(moves, ["account", "id"], "left").withColumn("at", F.col("at") + F.coalesce("by", F.lit(0)))
+    name = F.format_string("%04d-%02d", F.floor(F.col("at") / 12).cast("int"), (F.col("at") % 12 + 1).cast("int"))
+    return out.select("account", "id", name.alias("month"), "cents")
 
 
 def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100, baseline: int = 6) -> DataFrame:
@@ -137,23 +139,22 @@ def flat_steps(payments: DataFrame, hold: int = 2, tolerance: int = 100, baselin
     that hold the old one (of all of these, if fewer than ``hold`` do).
     """
 
-    def level(values: Iterable[int], anchor: int) -> list[int]:
-        return list(takewhile(lambda x: abs(x - anchor) < tolerance, values))
+    def held(values: np.ndarray) -> np.ndarray:
+        """The payments before the first that leaves the level of the first."""
+        left = np.abs(values - values[0]) >= tolerance
+        return values[: int(left.argmax())] if left.any() else values
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "id"])
-        day, c = pdf["day"].tolist(), pdf["cents"].tolist()
-        for i in range(len(c) - 1, 0, -1):
-            if abs(c[i] - c[i - 1]) < tolerance:
-                continue
-            run = level((c[j] for j in range(i, len(c))), c[i])
-            if len(run) < hold:
-                continue
-            before = c[max(0, i - baseline) : i]
-            back = level(before[::-1], c[i - 1])
-            old, new = round(median(back if len(back) >= hold else before)), round(median(run))
-            if abs(new - old) >= tolerance:
-                return pd.DataFrame([(pdf["account"].iloc[0], day[i], old, new)], columns=["account", "day", "old_cents", "new_cents"])
-        return pd.DataFrame([], columns=["account", "day", "old_cents", "new_cents"])
+        cents = pdf["cents"].to_numpy()
+        found = []
+        for i in (np.flatnonzero(np.abs(np.diff(cents)) >= tolerance) + 1)[::-1]:
+            after, before = held(cents[i:]), cents[max(0, i - baseline) : i][::-1]
+            level = held(before)
+            old, new = (round(float(np.median(x))) for x in (level if len(level) >= hold else before, after))
+            if len(after) >= hold and abs(new - old) >= tolerance:
+                found = [(pdf["account"].iloc[0], pdf["day"].iloc[i], old, new)]
+                break
+        return pd.DataFrame(found, columns=["account", "day", "old_cents", "new_cents"])
 
     return payments.filter("cents > 0").groupBy("account").applyInPandas(find, "account long, day date, old_cents long, new_cents long")

@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from ledgerkit.functions.money import largest_remainder
 
 
-def category_weights(items: DataFrame) -> DataFrame:
-    """Per order and category the sum of ``max(cents - discount, 0)``."""
-    return items.groupBy("order_id", "category").agg(F.sum(F.greatest(F.col("cents") - F.col("discount"), F.lit(0))).alias("weight"))
+def item_parts(txns: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, line_no, category, part): each transaction's cents over its items by ``max(cents - discount, 0)``, ties to the first line."""
+    weighted = txns.select("id", F.col("cents").alias("total")).join(items.withColumnRenamed("order_id", "id").select("id", "line_no", "category", F.greatest(F.col("cents") - F.col("discount"), F.lit(0)).alias("weight")), "id")
+    return largest_remainder(weighted, ["id"], "total", "weight", ["line_no", "category", "weight"]).select("id", "line_no", F.coalesce("category", F.lit("uncategorized")).alias("category"), "part")
 
 
 def allocate(txns: DataFrame, items: DataFrame) -> DataFrame:
-    """Allocations (id, category, cents) of transactions that have items; parts of 0 cents are dropped."""
-    weighted = txns.select("id", F.col("cents").alias("total")).join(category_weights(items).withColumnRenamed("order_id", "id"), "id")
-    parts = largest_remainder(weighted, ["id"], "total", "weight", ["category"])
-    return parts.filter("part <> 0").select("id", "category", F.col("part").alias("cents"))
+    """Allocations (id, category, cents) of transactions that have items: split over the items, then summed; sums of 0 cents are dropped."""
+    return item_parts(txns, items).groupBy("id", "category").agg(F.sum("part").alias("cents")).filter("cents <> 0")
+
+
+def allocate_matched(txns: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
+    """Allocations (id, category, cents) of matched transactions (id, order_id, cents, category_source).
+
+    One whose category a user has set is left alone. A refund of one item goes to that item (``refund_item``), anything
+    else is split over the order's items. orders: order_id, subtotal, tax.
+    """
+    open_ = txns.filter(~F.col("category_source").eqNullSafe("user"))
+    refunds = refund_item(open_.filter("cents < 0").select("id", "order_id", "cents"), items, orders).filter("cents <> 0")
+    rest = open_.join(refunds.select("id"), "id", "left_anti").select("id", "order_id", F.col("cents").alias("total"))
+    weighed = items.select("order_id", "line_no", F.coalesce("category", F.lit("uncategorized")).alias("category"), F.greatest(F.col("cents") - F.col("discount"), F.lit(0)).alias("weight"))
+    parts = largest_remainder(rest.join(weighed, "order_id"), ["id"], "total", "weight", ["line_no", "category", "weight"]).groupBy("id", "category").agg(F.sum("part").alias("cents"))
+    return refunds.unionByName(parts.filter("cents <> 0"))
 
 
 def dominant_category(allocations: DataFrame) -> DataFrame:
@@ -26,10 +39,14 @@ def dominant_category(allocations: DataFrame) -> DataFrame:
     return allocations.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select("id", "category")
 
 
-def refund_item(refunds: DataFrame, items: DataFrame, tax_permille: int = 0) -> DataFrame:
-    """Refunds (id, order_id, cents < 0) equal to one line, or the line with its tax share, go to that item: the first by line number."""
-    paid = F.greatest(F.col("i.cents") - F.col("i.discount"), F.lit(0))
-    with_tax = paid + F.expr(f"(greatest(i.cents - i.discount, 0) * {tax_permille}) div 1000")
-    hits = refunds.alias("r").join(items.alias("i"), F.col("r.order_id") == F.col("i.order_id")).filter((-F.col("r.cents") == paid) | (-F.col("r.cents") == with_tax))
-    w = Window.partitionBy("r.id").orderBy("i.line_no", "i.sku", "i.cents")
-    return hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").select(F.col("r.id").alias("id"), F.col("i.category").alias("category"), F.col("r.cents").alias("cents"))
+def refund_item(refunds: DataFrame, items: DataFrame, orders: DataFrame) -> DataFrame:
+    """(id, category, cents) of refunds (id, order_id, cents < 0) equal to one line before discounts, or to it and its share of the tax.
+
+    The share is the line's part of the order's subtotal, rounded half up. The first such line takes the refund.
+    orders: order_id, subtotal, tax; without a subtotal an order's refunds aren't matched.
+    """
+    lines = items.select("order_id", "line_no", "category", F.col("cents").alias("line")).join(orders.filter("subtotal <> 0").select("order_id", "subtotal", "tax"), "order_id")
+    share = F.expr("line + (2 * tax * line + subtotal) div (2 * subtotal)")
+    hits = refunds.join(lines.withColumn("taxed", share), "order_id").filter((-F.col("cents") == F.col("line")) | (-F.col("cents") == F.col("taxed")))
+    first = hits.groupBy("id").agg(F.min_by(F.struct("category", "cents"), F.struct("line_no", "category")).alias("x"))
+    return first.select("id", F.coalesce("x.category", F.lit("uncategorized")).alias("category"), "x.cents")

@@ -30,14 +30,14 @@ def day(s: str):
 # Splits and spending
 
 ALLOC_SQL = f"""{TXN_SQL}, {ITEM_SQL},
-w AS (SELECT t.id, t.cents AS total, i.category, CAST(sum(greatest(i.cents - i.discount, 0)) AS HUGEINT) AS w
-      FROM txn t JOIN item i ON i.order_id = t.id WHERE t.type IN ('purchase', 'refund') GROUP BY ALL),
-q AS (SELECT *, sum(w) OVER (PARTITION BY id) AS s FROM w),
-r AS (SELECT *, abs(total) * w // s AS q, abs(total) * w % s AS rest FROM q WHERE s > 0),
+w AS (SELECT t.id, t.cents AS total, i.line_no, i.category, CAST(greatest(i.cents - i.discount, 0) AS HUGEINT) AS w
+      FROM txn t JOIN item i ON i.order_id = t.id WHERE t.type IN ('purchase', 'refund')),
+q AS (SELECT *, sum(w) OVER (PARTITION BY id) AS s, row_number() OVER (PARTITION BY id ORDER BY line_no, category, w) AS line FROM w),
+r AS (SELECT *, CASE WHEN s > 0 THEN abs(total) * w // s ELSE 0 END AS q, CASE WHEN s > 0 THEN abs(total) * w % s ELSE 0 END AS rest FROM q),
 k AS (SELECT *, abs(total) - sum(q) OVER (PARTITION BY id) AS short,
-             row_number() OVER (PARTITION BY id ORDER BY rest DESC, category) AS nth FROM r),
-alloc AS (SELECT id, category, CAST(sign(total) * (q + CASE WHEN nth <= short THEN 1 ELSE 0 END) AS BIGINT) AS cents FROM k
-          WHERE q + CASE WHEN nth <= short THEN 1 ELSE 0 END <> 0)"""
+             row_number() OVER (PARTITION BY id ORDER BY rest DESC, line_no, category, w) AS nth FROM r),
+piece AS (SELECT id, category, sign(total) * (q + CASE WHEN s > 0 THEN CASE WHEN nth <= short THEN 1 ELSE 0 END WHEN line = 1 THEN short ELSE 0 END) AS part FROM k),
+alloc AS (SELECT id, category, CAST(sum(part) AS BIGINT) AS cents FROM piece GROUP BY id, category HAVING sum(part) <> 0)"""
 LINES_SQL = f"""{ALLOC_SQL},
 lines AS (SELECT t.id, t.account, t.day, strftime(t.day, '%Y-%m') AS month, t.grp,
                  coalesce(a.category, 'uncategorized') AS category, coalesce(a.cents, t.cents) AS cents
@@ -210,12 +210,25 @@ def merchant_rules(spark, d):
     return table(spark, d, "part").select("p_partkey", classify.first_match(RULES, F.col("p_type"))["rule"].alias("rule"))
 
 
-@query(f"""WITH {BANK_SQL} SELECT id, CASE WHEN cents >= 0 THEN CASE WHEN bank_type = 'error' THEN 'fee' ELSE 'purchase' END
-WHEN bank_type = 'signup' THEN 'payment' ELSE 'refund' END AS type, (cents < 0 AND bank_type <> 'signup') AS needs_review FROM bank""")
+CARD_TEXTS = ["corner store", "Late fee", "delivery fee", "interest charge", "Payment reversal", "returned payment fee", "thank you", "points", "cash back", "statement credit", "refund of a bag", "credit balance refund"]
+CARD_TYPES = ["", "Fee", " reversal ", "adjustment", "payment", "Return", None]
+
+
+@query(f"""WITH {BANK_SQL}, r AS (SELECT id, CASE WHEN id % 37 = 0 THEN 0 ELSE cents END AS cents, upper({CARD_TEXTS}[1 + id % 12]) AS d,
+lower(trim(coalesce({str(CARD_TYPES).replace("None", "NULL")}[1 + id % 7], ''))) AS it FROM bank)
+SELECT id, CASE WHEN cents > 0 THEN CASE
+ WHEN it = 'reversal' OR (d IN ('PAYMENT REVERSAL', 'CREDIT BALANCE REFUND', 'RETURNED PAYMENT FEE') AND d NOT IN ('LATE FEE', 'RETURNED PAYMENT FEE')) THEN 'payment'
+ WHEN d = 'INTEREST CHARGE' THEN 'interest'
+ WHEN it = 'fee' OR d IN ('LATE FEE', 'RETURNED PAYMENT FEE') THEN 'fee'
+ WHEN it = 'adjustment' THEN 'adjustment' ELSE 'purchase' END
+ELSE CASE WHEN it = 'payment' OR d IN ('PAYMENT REVERSAL', 'RETURNED PAYMENT FEE', 'THANK YOU') THEN 'payment'
+ WHEN it = 'return' THEN 'refund' WHEN d IN ('POINTS', 'CASH BACK') THEN 'reward' WHEN it = 'adjustment' THEN 'adjustment' ELSE 'credit' END END AS type,
+(cents <= 0 AND NOT (it IN ('payment', 'return', 'adjustment') OR d IN ('PAYMENT REVERSAL', 'RETURNED PAYMENT FEE', 'THANK YOU', 'POINTS', 'CASH BACK', 'STATEMENT CREDIT', 'CREDIT BALANCE REFUND'))) AS needs_review FROM r""")
 def card_row_types(spark, d):
-    rows = bank(spark, d)
-    words = F.when(F.col("bank_type") == "error", "late fee").when(F.col("bank_type") == "signup", "autopay thank you").otherwise("store")
-    return rows.select("id", classify.card_row_type(words, F.lit(None).cast("string"), F.col("cents")).alias("c")).select("id", "c.type", "c.needs_review")
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (F.col("id") % n + 1).cast("int"))
+    rows = bank(spark, d).withColumn("cents", F.when(F.col("id") % 37 == 0, 0).otherwise(F.col("cents")))
+    kind = classify.card_row_type(pick(CARD_TEXTS, 12), pick(CARD_TYPES, 7), F.col("cents"))
+    return rows.select("id", kind.alias("c")).select("id", "c.type", "c.needs_review")
 
 
 @query(f"""WITH {TXN_SQL}, o AS (SELECT event_id AS id, event_id % 700 AS key, event_type AS value FROM events),
@@ -484,13 +497,13 @@ def cadence(spark, d):
     return series.cadence(txn(spark, d))
 
 
-@query(f"""WITH {TXN_SQL}, b AS (SELECT id, cents, median(cents) OVER (PARTITION BY account ORDER BY day, id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS m FROM txn WHERE cents > 0)
+@query(f"""WITH {TXN_SQL}, b AS (SELECT id, cents, CASE WHEN count(*) OVER w >= 2 THEN median(cents) OVER w END AS m FROM txn WHERE cents > 0 WINDOW w AS (PARTITION BY account ORDER BY day, id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
 SELECT id, CAST(round_even(m, 0) AS BIGINT) AS typical, coalesce(cents * 10 >= CAST(round_even(m, 0) AS BIGINT) * 13, false) AS unusual FROM b""")
 def unusual_payments(spark, d):
     return series.baseline(txn(spark, d).filter("cents > 0")).select("id", "typical", "unusual")
 
 
-@query(f"WITH {SERIES_SQL} SELECT a.account, a.month, a.cents, b.cents AS before, a.cents - b.cents AS change FROM ser a LEFT JOIN ser b ON a.account = b.account AND b.first = a.first - INTERVAL 12 MONTH")
+@query(f"WITH {SERIES_SQL} SELECT account, month, cents, lag(cents, 12) OVER w AS before, cents - lag(cents, 12) OVER w AS change FROM ser WINDOW w AS (PARTITION BY account ORDER BY first)")
 def year_over_year(spark, d):
     return series.year_over_year(_series(spark, d))
 
@@ -503,12 +516,16 @@ def double_payments(spark, d):
     return series.double_payments(bank(spark, d).withColumn("cents", F.floor(F.abs("cents") / 100).cast("long")))
 
 
-@query(f"""WITH {SERIES_SQL}, c AS (SELECT *, CASE WHEN cents = lag(cents) OVER w THEN 0 ELSE 1 END AS ch FROM ser WINDOW w AS (PARTITION BY account ORDER BY first)),
+FLAT_SQL = SERIES_SQL.replace("sum(cents) AS cents FROM txn", "5000 * count(*) AS cents FROM txn")
+
+
+@query(f"""WITH {FLAT_SQL}, c AS (SELECT *, CASE WHEN cents = lag(cents) OVER w THEN 0 ELSE 1 END AS ch FROM ser WINDOW w AS (PARTITION BY account ORDER BY first)),
 i AS (SELECT *, sum(ch) OVER (PARTITION BY account ORDER BY first) AS isl FROM c),
 r AS (SELECT account, isl, min(month) AS from_month, max(month) AS to_month, count(*) AS months, min(cents) AS cents FROM i GROUP BY ALL)
-SELECT account, from_month, to_month, months, cents FROM r QUALIFY row_number() OVER (PARTITION BY account ORDER BY to_month DESC) = 1 AND months >= 2""")
+SELECT account, from_month, to_month, months, cents FROM r QUALIFY row_number() OVER (PARTITION BY account ORDER BY to_month DESC) = 1 AND months >= 2 AND cents > 0""")
 def budget_plans(spark, d):
-    return series.budget_plans(_series(spark, d), 2)
+    flat = series.monthly(txn(spark, d).withColumn("cents", F.lit(5000).cast("long")))
+    return series.budget_plans(flat, 2)
 
 
 @query(f"WITH {SERIES_SQL} SELECT account, month, cents, CAST(CASE WHEN count(*) OVER w = 12 THEN sum(cents) OVER w END AS BIGINT) AS sum FROM ser WINDOW w AS (PARTITION BY account ORDER BY first ROWS 11 PRECEDING)")
@@ -588,9 +605,9 @@ def parsed_cents(spark, d):
     return t.select("id", money.to_cents(shown).alias("cents"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(upper(text), '[A-Z0-9]{4,}'))) AS n FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')""")
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(upper(replace(text, 'ß', 'SS')), '[A-Z0-9]{4,}'))) AS n FROM documents")
 def keyword_counts(spark, d):
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.size(text.keywords(F.col("text"), ["ZZZZ"])).cast("long").alias("n"))
 
 
@@ -604,12 +621,37 @@ def conditional_trend(spark, d):
     return spending.conditional_trend(_lines(spark, d), ["1-URGENT", "5-LOW"], "4")
 
 
-@query(f"""WITH {ITEM_SQL} SELECT order_id AS id, arg_min(category, (line_no, sku, cents)) AS category, -arg_min(greatest(cents - discount, 0), (line_no, sku, cents)) AS cents FROM item GROUP BY order_id""")
+MATCHED_SQL = f"""{TXN_SQL}, {ITEM_SQL}, ord AS (SELECT order_id, CAST(sum(cents) AS BIGINT) AS subtotal, CAST(sum(cents) // 11 AS BIGINT) AS tax FROM item GROUP BY order_id),
+f AS (SELECT order_id, arg_max(cents, (line_no, sku, cents)) AS line FROM item GROUP BY order_id),
+m AS (SELECT t.id, t.id AS order_id, CASE WHEN t.id % 5 = 0 THEN 'user' END AS source, CASE WHEN t.type <> 'refund' THEN t.cents
+  WHEN t.id % 3 = 0 THEN -f.line WHEN t.id % 3 = 1 THEN -(f.line + (2 * ord.tax * f.line + ord.subtotal) // (2 * ord.subtotal)) ELSE t.cents END AS cents
+  FROM txn t JOIN f ON f.order_id = t.id JOIN ord ON ord.order_id = t.id WHERE t.type <> 'payment'),
+hit AS (SELECT m.id, arg_min(i.category, (i.line_no, i.category)) AS category, any_value(m.cents) AS cents FROM m JOIN item i USING (order_id) JOIN ord USING (order_id)
+  WHERE m.source IS NULL AND m.cents < 0 AND -m.cents IN (i.cents, i.cents + (2 * tax * i.cents + subtotal) // (2 * subtotal)) GROUP BY m.id)"""
+
+
+@query(f"WITH {MATCHED_SQL} SELECT * FROM hit")
 def refund_to_one_item(spark, d):
+    t, items, orders = _matched(spark, d)
+    return split.refund_item(t.filter("cents < 0 and category_source is null").select("id", "order_id", "cents"), items, orders)
+
+
+@query(f"""WITH {MATCHED_SQL}, w AS (SELECT m.id, m.cents AS total, i.line_no, i.category, CAST(greatest(i.cents - i.discount, 0) AS HUGEINT) AS w FROM m JOIN item i USING (order_id) WHERE source IS NULL AND m.id NOT IN (SELECT id FROM hit)),
+q AS (SELECT *, sum(w) OVER (PARTITION BY id) AS s FROM w), r AS (SELECT *, abs(total) * w // s AS q, abs(total) * w % s AS rest FROM q),
+k AS (SELECT *, abs(total) - sum(q) OVER (PARTITION BY id) AS short, row_number() OVER (PARTITION BY id ORDER BY rest DESC, line_no, category, w) AS nth FROM r)
+SELECT id, category, CAST(sum(sign(total) * (q + CASE WHEN nth <= short THEN 1 ELSE 0 END)) AS BIGINT) AS cents FROM k GROUP BY id, category HAVING sum(q + CASE WHEN nth <= short THEN 1 ELSE 0 END) <> 0
+UNION ALL SELECT * FROM hit""")
+def matched_allocations(spark, d):
+    return split.allocate_matched(*_matched(spark, d))
+
+
+def _matched(spark, d):
+    """Transactions matched to orders, some refunds being one line's price with or without its tax; items; orders."""
     items = item(spark, d)
-    first = items.groupBy("order_id").agg(F.min(F.struct("line_no", "sku", "cents", "discount")).alias("f"))
-    refunds = first.select(F.col("order_id").alias("id"), "order_id", (-F.greatest(F.col("f.cents") - F.col("f.discount"), F.lit(0))).alias("cents"))
-    return split.refund_item(refunds, items)
+    orders = items.groupBy("order_id").agg(F.sum("cents").alias("subtotal"), F.max_by("cents", F.struct("line_no", "sku", "cents")).alias("line")).withColumn("tax", F.expr("subtotal div 11"))
+    t = txn(spark, d).filter("type <> 'payment'").join(orders.withColumnRenamed("order_id", "id"), "id")
+    cents_ = F.expr("CASE WHEN type <> 'refund' THEN cents WHEN id % 3 = 0 THEN -line WHEN id % 3 = 1 THEN -(line + (2 * tax * line + subtotal) div (2 * subtotal)) ELSE cents END")
+    return t.select("id", F.col("id").alias("order_id"), cents_.alias("cents"), F.when(F.expr("id % 5 = 0"), "user").alias("category_source")), items, orders.select("order_id", "subtotal", "tax")
 
 
 @query(f"""WITH {TXN_SQL}, p AS (SELECT id, account, day, grp FROM txn), a(account, pattern, f, t) AS (VALUES (1, 'urgent', DATE '1996-01-01', NULL), (2, 'low|high', NULL, DATE '1998-01-01'), (3, 'high', NULL, NULL)),
