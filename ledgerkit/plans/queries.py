@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerkit.functions import money, text
 from ledgerkit.operators import classify, ingest, knowledge, matching, reconcile, rewards, series, spending, split
 from ledgerkit.operators.classify import Rule
+from ledgerkit.sources import exports
 from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, cents, item, table, txn
 
 QUERIES: dict = {}
@@ -701,3 +702,24 @@ def offer_values(spark, d):
     amount = F.when(kind == "cash", 500).otherwise(1000)
     value = rewards.offer_value(kind, amount, F.lit(4), F.lit(20), F.col("p_size").cast("long"))
     return p.select("p_partkey", value.cast("long").alias("value"))
+
+
+# Sources
+
+
+@query(f"""WITH {TXN_SQL} SELECT ['a', 'b', 'c'][1 + id % 3] AS layout, id + 2 AS line, CASE WHEN id % 3 = 1 AND id % 4 = 0 THEN 'pending' ELSE 'posted' END AS state,
+day AS post_date, cents, CASE WHEN cents > 0 THEN 'purchase' ELSE 'credit' END AS type FROM txn""")
+def export_rows(spark, d):
+    """Orders printed as the lines of three exports, and read back; amounts of the second have unquoted commas."""
+    t = txn(spark, d)
+    date, plain = F.date_format("day", "MM/dd/yyyy"), (F.col("cents").cast("decimal(24,2)") / 100).cast("decimal(24,2)")
+    shown = F.concat(F.when(F.col("cents") < 0, "-$ ").otherwise("$ "), F.format_number(F.abs(plain), 2))
+    a = F.concat_ws(",", date, date, F.lit('"STORE, ""ONE"""'), F.lit(""), F.lit("Sale"), (-plain).cast("string"), F.lit(""))
+    b = F.concat_ws(",", F.when(F.expr("id % 4 = 0"), "Pending").otherwise("Cleared"), date, F.lit("STORE"), F.when(F.col("cents") > 0, shown).otherwise(""), F.when(F.col("cents") > 0, "").otherwise(shown), F.lit("A B"))
+    c = F.concat_ws(",", date, F.lit("A  STORE"), plain.cast("string"))
+    layouts = {"a": exports.LAYOUT_A, "b": exports.LAYOUT_B, "c": exports.LAYOUT_C}
+    kind = F.element_at(F.array(*map(F.lit, layouts)), (F.col("id") % 3 + 1).cast("int"))
+    heads = spark.createDataFrame([(k, 0, ",".join(v)) for k, v in layouts.items()], "file string, at int, value string")
+    lines = t.select(kind.alias("file"), (F.col("id") + 1).cast("int").alias("at"), F.when(kind == "a", a).when(kind == "b", b).otherwise(c).alias("value"))
+    rows = exports.export_rows(exports.with_headers(heads.unionByName(lines)))
+    return rows.select("layout", F.col("line").cast("long").alias("line"), "state", "post_date", "cents", "type")
