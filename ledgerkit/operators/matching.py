@@ -47,8 +47,8 @@ def _chains(rows: DataFrame, component: Sequence[str], starts: Column, ends: Col
     return cut.withColumn("chain", F.sum("__cut").over(w)).drop("__cut")
 
 
-def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
-    """One-to-one greedy assignment: left rows in order of (l_day, l_id) take the nearest right row that is free, of equally near ones the smallest id.
+def greedy(pairs: DataFrame, component: Sequence[str], order: Sequence[str] = ("l_day", "l_id")) -> DataFrame:
+    """One-to-one greedy assignment: left rows in ``order`` take the nearest right row that is free, of equally near ones the smallest id.
 
     Rows of different ``component`` keys never compete, nor do those of one key that no chain of pairs
     in time joins, so that the cents value of a third of all rows still becomes many groups.
@@ -56,7 +56,7 @@ def greedy(pairs: DataFrame, component: Sequence[str]) -> DataFrame:
     chains = _chains(pairs, component, F.least("l_day", "r_day"), F.greatest("l_day", "r_day"), ["l_id", "r_id"])
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__d=pdf["days"].abs()).sort_values(["l_day", "l_id", "__d", "r_id"])
+        pdf = pdf.assign(__d=pdf["days"].abs()).sort_values([*dict.fromkeys([*order, "l_id"]), "__d", "r_id"])
         used, done, keep = set(), set(), []
         for i, l, r in zip(pdf.index, pdf["l_id"], pdf["r_id"]):
             if l not in done and r not in used:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerkit.functions import money, text
-from ledgerkit.operators import classify, ingest, knowledge, matching, reconcile, rewards, series, spending, split
+from ledgerkit.operators import classify, ingest, knowledge, matching, reconcile, rewards, series, spending, split, statements, views
 from ledgerkit.operators.classify import Rule
 from ledgerkit.sources import exports
 from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, cents, item, table, txn
@@ -723,3 +723,79 @@ def export_rows(spark, d):
     lines = t.select(kind.alias("file"), (F.col("id") + 1).cast("int").alias("at"), F.when(kind == "a", a).when(kind == "b", b).otherwise(c).alias("value"))
     rows = exports.export_rows(exports.with_headers(heads.unionByName(lines)))
     return rows.select("layout", F.col("line").cast("long").alias("line"), "state", "post_date", "cents", "type")
+
+
+# Listings
+
+FLOWS = ["card_payment", "fee", "refund", "p2p", "check", "atm", "income", "investment"]
+
+
+@query(f"""WITH {BANK_SQL}, f AS (SELECT id, cents, {FLOWS}[1 + id % 8] AS flow FROM bank)
+SELECT id, CASE WHEN flow IN ('card_payment', 'investment') THEN 'transfer' WHEN flow IN ('fee', 'refund') THEN flow WHEN flow IN ('p2p', 'check', 'atm') THEN CASE WHEN cents > 0 THEN 'purchase' ELSE 'deposit' END ELSE 'deposit' END AS type,
+CASE WHEN flow IN ('fee', 'refund') THEN NULL WHEN flow IN ('check', 'atm') AND cents <= 0 THEN 'other_in' ELSE flow END AS flow_kind FROM f""")
+def flow_classes(spark, d):
+    flow = F.element_at(F.array(*map(F.lit, FLOWS)), (F.col("id") % 8 + 1).cast("int"))
+    return bank(spark, d).select("id", views.flow_class(flow, F.col("cents")).alias("c")).select("id", "c.type", "c.flow_kind")
+
+
+@query(f"""WITH {BANK_SQL} SELECT id, CASE WHEN id % 5 > 0 THEN bank_type IN ('purchase', 'view') ELSE cents > 0 END AS hit FROM bank""")
+def flow_or_type(spark, d):
+    rows = bank(spark, d).select("id", F.when(F.expr("id % 5 > 0"), F.col("bank_type")).alias("flow_kind"), F.when(F.col("cents") > 0, "view").otherwise("none").alias("type"))
+    return rows.select("id", views.flow_or_type(["purchase", "view"]).alias("hit"))
+
+
+@query(f"""WITH {LINES_SQL}, s AS (SELECT split_part(category, '.', 1) AS category, CAST(sum(cents) AS BIGINT) AS cents FROM lines GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY cents DESC, category) AS INTEGER) AS rank, category, cents FROM s WHERE cents > 0 AND category <> 'uncategorized'""")
+def category_rank(spark, d):
+    return views.category_rank(_lines(spark, d))
+
+
+@query(f"WITH {LINES_SQL} SELECT month, grp, CAST(sum(cents) AS BIGINT) AS cents FROM lines GROUP BY GROUPING SETS ((month, grp), (month), (grp), ())")
+def column_totals(spark, d):
+    return views.column_totals(_lines(spark, d), "grp").select("month", "grp", "cents")
+
+
+@query(f"""WITH {BANK_SQL}, r AS (SELECT CAST(id AS VARCHAR) AS ref_id, CASE WHEN id % 3 = 0 THEN 'open' ELSE 'closed' END AS status, CASE WHEN id % 2 = 0 THEN 'transactions' ELSE 'orders' END AS ref_table FROM bank)
+SELECT id, cents FROM bank WHERE CAST(id AS VARCHAR) IN (SELECT ref_id FROM r WHERE status = 'open' AND ref_table = 'transactions')""")
+def in_open_review(spark, d):
+    rows = bank(spark, d)
+    return views.in_open_review(rows, _reviews(rows)).select("id", "cents")
+
+
+@query(f"WITH {BANK_SQL} SELECT bank_type AS kind, count(*) AS open FROM bank WHERE id % 3 = 0 GROUP BY ALL")
+def reviews_by_kind(spark, d):
+    return views.reviews_by_kind(_reviews(bank(spark, d)))
+
+
+def _reviews(rows):
+    return rows.select(F.col("id").cast("string").alias("ref_id"), F.col("bank_type").alias("kind"), F.when(F.expr("id % 3 = 0"), "open").otherwise("closed").alias("status"), F.when(F.expr("id % 2 = 0"), "transactions").otherwise("orders").alias("ref_table"))
+
+
+@query(f"""WITH {TXN_SQL}, p AS (SELECT account, count(*) AS payments, max(day) AS last_day, arg_max(cents, (day, id)) AS last_cents FROM txn WHERE cents > 0 GROUP BY account)
+SELECT c_custkey AS account, coalesce(payments, 0) AS payments, last_day, last_cents, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 0 END AS open_items FROM customer LEFT JOIN p ON account = c_custkey""")
+def account_status(spark, d):
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("account"))
+    reviews = accounts.filter("account % 4 = 0").select(F.explode(F.array(F.lit(1), F.lit(2))), F.col("account").alias("ref_id"), F.lit("utility_missing").alias("kind"), F.lit("open").alias("status"), F.lit("utility_accounts").alias("ref_table"))
+    return views.account_status(accounts, txn(spark, d).filter("cents > 0"), reviews).select("account", "payments", "last_day", "last_cents", "open_items")
+
+
+@query(f"""WITH {TXN_SQL}, f AS (SELECT account, min(day) AS first FROM txn WHERE cents > 0 GROUP BY account)
+SELECT account, first - DATE '1994-01-01' >= 45 OR (account % 2 = 0 AND first - DATE '1993-06-01' BETWEEN 0 AND 60) AS first_is_new FROM f""")
+def first_payments(spark, d):
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.when(F.expr("c_custkey % 2 = 0"), day("1993-06-01")).alias("active_from"))
+    return views.first_is_new(txn(spark, d).withColumn("history_start", day("1994-01-01")), accounts)
+
+
+@query(f"""WITH {TXN_SQL}, b AS (SELECT account, list_sort(list(cents)) AS c FROM txn GROUP BY account) SELECT account, c[1 + len(c) // 2] AS typical FROM b""")
+def typical_cents(spark, d):
+    return txn(spark, d).groupBy("account").agg(F.collect_list("cents").alias("c")).select("account", views.upper_median(F.col("c")).alias("typical"))
+
+
+@query()
+def statement_links(spark, d):
+    """Orders as statement lines, a day or more late, linked to the orders as exported rows."""
+    t = txn(spark, d).filter("id % 7 > 0")
+    text_ = F.concat(F.lit("STORE NO "), F.col("grp"))
+    rows = t.select("id", F.col("account").alias("card"), "day", "cents", text_.alias("text"))
+    lines = t.select("id", F.col("account").alias("card"), F.last_day("day").alias("period_end"), F.col("id").alias("line_no"), F.date_add("day", (F.col("id") % 5).cast("int")).alias("day"), "cents", text_.alias("text"))
+    return statements.link_lines(lines, rows)
