@@ -50,7 +50,12 @@ _LONGEST_PERIOD = 12
 #: Places of the automata that a worker keeps.
 _MOST_PLACES = 200_000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+# A tag's attributes, quoted ones whole. Their number and lengths are bounded and taken for good, so that a tag that never
+# closes costs a bounded look ahead; tags beyond that end at their first bracket.
+_ATTRIBUTES = r"(?:[^>\"']{0,1024}(?:\"[^\"]{0,8192}\"|'[^']{0,8192}')){0,200}+[^>\"']{0,1024}+"
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|math|iframe)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<[!?][^>]{{0,1024}}>", re.S | re.I
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # HTML's inline elements, void elements, and elements whose end tags may be omitted.
@@ -96,17 +101,18 @@ def parse(page: str | None):
             parts.append(page[at : m.start()])
             linked += (m.start() - at) * (link > 0)
         at = m.end()
-        tag = (m[3] or "").lower()
+        end, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        tag = (name or "").lower()
         if not tag:
             continue
         if tag in _INLINE:
             if tag == "a":
-                link = max(0, link + (-1 if m[2] else 1))
+                link = max(0, link + (-1 if end else 1))
             elif tag == "br":
                 parts.append(" ")
             continue
         flush()
-        if m[2]:
+        if end:
             names = [s.split(".")[0] for s in stack]
             if tag in names:
                 while stack and stack.pop().split(".")[0] != tag:
@@ -119,9 +125,9 @@ def parse(page: str | None):
                 stack.pop()
         elif stack and stack[-1].split(".")[0] == "p":
             stack.pop()  # a block ends a paragraph
-        key = ".".join((tag, *_names(m[4] or "")))
+        key = ".".join((tag, *_names(attributes or "")))
         out.append((key, "/".join(stack), "", 0))
-        if tag not in _VOID and not (m[4] or "").rstrip().endswith("/"):
+        if tag not in _VOID and not (attributes or "").rstrip().endswith("/"):
             stack.append(key)
     if at < len(page):
         parts.append(page[at:])

@@ -42,7 +42,7 @@ HOT = 100_000
 #: Bits of the bitmaps that pairs are compared by before their sets are.
 BITMAP_BITS = 512
 #: Sets of more words have a second signature.
-_WIDE = 64
+_WIDE = 24
 _MASK = np.uint64((1 << CELL_BITS) - 1)
 _POST = ["tile", "k", "line", "n", "at", "sig", "wide"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
@@ -296,7 +296,10 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def joined(pairs: DataFrame, *columns: str) -> DataFrame:
         x = sets.select(F.col("k").alias("xk"), F.col("line").alias("xline"), *[F.col(c).alias(f"x{c}") for c in columns])
-        return pairs.join(x, ["xk", "xline"]).join(sets.select("k", "line", *columns), ["k", "line"])
+        y = sets.select("k", "line", *columns)
+        if pairs.count() <= BROADCAST_ROWS:  # lines that no pair asks for aren't shuffled
+            y = y.join(F.broadcast(pairs.select("k", "line")), ["k", "line"], "left_semi")
+        return pairs.join(x, ["xk", "xline"]).join(y, ["k", "line"])
 
     # Bitmaps leave few pairs for the sets, which are several times as wide.
     near = joined(pairs, "n", "bits").select("k", "line", "xk", "xline", "n", "xn", "bits", "xbits")
