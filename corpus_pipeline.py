@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerkit.llm import decontaminate, exact_dedup, jaccard_join, langid, packing
-from ledgerkit.llm.common import materialise, table
+from ledgerkit.llm.common import discard, materialise, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
