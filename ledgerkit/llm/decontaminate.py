@@ -38,9 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerkit.llm.common import WS_PATTERN, ascii_lower, slices
+from ledgerkit.llm.common import SLICE_ROWS, WS_PATTERN, ascii_lower
 from ledgerkit.llm.shingles import WORDS, rolling, word_hashes, words_of
 from ledgerkit.llm.tokens import ragged_places
+from ledgerkit.llm.words import chunks, give_back
 
 OVERLAP_PERCENT = 80
 K1, B = 1.2, 0.75
@@ -129,19 +130,23 @@ class _Tier:
         self.top = np.zeros(self.terms + 1)  # of terms that no entry has, and of words that aren't terms (-1), 0
         np.maximum.at(self.top, key // self.blocks, self.maxima)
 
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, list[int]]]:
-        """(passage, blocks whose bound reaches 1), for the terms (or -1) of a document's words."""
+    def candidates(self, ids: np.ndarray, place: np.ndarray, document: np.ndarray, lengths: np.ndarray) -> dict[int, list[tuple[int, list[int]]]]:
+        """By document (passage, blocks whose bound reaches 1), for the terms (or -1) of all documents' words and their places."""
         known = np.flatnonzero(self.top[ids])
         n = self.terms
-        cell = known // self.stride
+        first = np.r_[0, np.cumsum(lengths // self.stride + 1)]  # of each document's passages among all
+        own = place[known] // self.stride
+        cell = own + first[document[known]]
         # A word stands in the passage of its stride and in the one before.
-        passage, term = np.r_[cell, cell[cell > 0] - 1], np.r_[ids[known], ids[known[cell > 0]]]
+        passage, term = np.r_[cell, cell[own > 0] - 1], np.r_[ids[known], ids[known[own > 0]]]
         pairs = np.unique(passage * n + term)
         passage, term = pairs // n, pairs % n
+        if not len(pairs):
+            return {}
         able = np.bincount(passage, self.top[term]) >= 1
         passage, term = passage[able[passage]], term[able[passage]]
         if not len(passage):
-            return []
+            return {}
         order = np.lexsort((self.top[term], passage))
         passage, term = passage[order], term[order]
         sums = np.cumsum(self.top[term])
@@ -155,15 +160,18 @@ class _Tier:
         bound = np.bincount(which, self.maxima[where])
         opened = np.zeros(len(listed), bool)
         opened[which[np.repeat(opens, counts)]] = True
-        out: dict[int, list[int]] = {}
+        found: dict[int, list[int]] = {}
         for k in listed[opened & (bound >= 1)].tolist():
-            out.setdefault(k // self.blocks, []).append(k % self.blocks)
-        return list(out.items())
+            found.setdefault(k // self.blocks, []).append(k % self.blocks)
+        out: dict[int, list] = {}
+        for p, d in zip(found, (np.searchsorted(first, list(found), side="right") - 1).tolist()):
+            out.setdefault(d, []).append((p - int(first[d]), found[p]))
+        return out
 
-    def leaks(self, words: list[bytes], ids: np.ndarray) -> dict[int, tuple[float, float, float, float]]:
+    def leaks(self, words: list[bytes], ids: np.ndarray, found: list[tuple[int, list[int]]]) -> dict[int, tuple[float, float, float, float]]:
         best: dict[int, list[float]] = {}
         present = np.zeros(self.terms, bool)
-        for w, blocks in self.candidates(ids):
+        for w, blocks in found:
             span = ids[w * self.stride : (w + 2) * self.stride]
             here, passage = span[span >= 0], None
             present[here] = True
@@ -229,11 +237,23 @@ class Index:
 
     def leaks(self, text: str | None) -> dict[int, tuple[float, float, float, float]]:
         """Place of an item -> (BM25 score relative to its threshold, overlap of the item, question, answer): the best of all passages."""
-        words = words_of(text)
-        if not words:
-            return {}
-        ids = np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
-        return {i: held for tier in self.tiers for i, held in tier.leaks(words, ids).items()}
+        return self.leaks_of([text])[0]
+
+    def leaks_of(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float, float]]]:
+        """``leaks`` of each text; the passages of all are bounded together."""
+        words, get = [words_of(t) for t in texts], self.terms.get
+        out: list[dict] = [{} for _ in texts]
+        lengths = np.array([len(w) for w in words], np.int64)
+        if not self.tiers or not lengths.sum():
+            return out
+        ids = np.fromiter((i for w in words for i in map(get, w, repeat(-1))), np.int64, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        document = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(ids)) - (ends - lengths)[document]
+        for tier in self.tiers:
+            for d, found in tier.candidates(ids, place, document, lengths).items():
+                out[d].update(tier.leaks(words[d], ids[ends[d] - lengths[d] : ends[d]], found))
+        return out
 
 
 def cell_of(word: bytes) -> int:
@@ -273,10 +293,11 @@ def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> Da
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def search(batches, shared=shared):
-            for batch in slices(batches):
+            for batch in chunks(batches, 1):
                 index, rows = shared.value, []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    rows += [(doc_id, index.items[i][0], *v) for i, v in sorted(index.leaks(text).items())]
+                ids, texts = (c.to_pylist() for c in batch.columns)
+                for doc_id, held in zip(ids, index.leaks_of(texts)):
+                    rows += [(doc_id, index.items[i][0], *v) for i, v in sorted(held.items())]
                 columns = list(zip(*rows)) or [()] * 6
                 types = [pa.int64(), pa.int64(), *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
@@ -289,7 +310,12 @@ def _clean_with(shared):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([not shared.value.leaks(t if isinstance(t, str) else None) for t in s], dtype=bool)
+            texts = [t if isinstance(t, str) else None for t in s]
+            clean = []
+            for at in range(0, len(texts), SLICE_ROWS):
+                clean += [not held for held in shared.value.leaks_of(texts[at : at + SLICE_ROWS])]
+            yield pd.Series(clean, dtype=bool)
+            give_back()
 
     return clean
 

@@ -6,6 +6,8 @@ values of its bytes, taken from prefix sums, so that all words of a column cost
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,6 +90,19 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
+@lru_cache(1)
+def _trimmer():
+    name = ctypes.util.find_library("c")
+    return getattr(ctypes.CDLL(name), "malloc_trim", None) if name else None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on beside its executor's heap when its task is done."""
+    pa.default_memory_pool().release_unused()
+    if _trimmer():
+        _trimmer()(0)
+
+
 def chunks(batches, text: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Record batches in slices whose column ``text`` has about ``size`` bytes."""
     for batch in batches:
@@ -100,6 +115,7 @@ def chunks(batches, text: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+        give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
