@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerkit.llm import decontaminate, exact_dedup, html_wrapper, jaccard_join, langid, line_dedup, packing, token_files, url_filter, warc_revisit
+from ledgerkit.llm import decontaminate, exact_dedup, fill_middle, fingerprints, html_wrapper, jaccard_join, langid, line_dedup, packing, token_files, url_filter, warc_revisit, whitening
 from ledgerkit.llm.common import table
 
 
@@ -46,6 +46,18 @@ def op10_bm25_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_bottom_k_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_middle.fill_middle_report(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_char_lm_ratio": op1_char_lm_ratio,
     "op2_warc_revisit": op2_warc_revisit,
@@ -57,9 +69,13 @@ QUERIES = {
     "op8_line_set_join": op8_line_set_join,
     "op9_nearest_centroid_langid": op9_nearest_centroid_langid,
     "op10_bm25_decontamination": op10_bm25_decontamination,
+    "op11_bottom_k_fingerprints": op11_bottom_k_fingerprints,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE = {
     "op2_warc_revisit": warc_revisit.ORACLE_SQL,
     "op3_block_naming_dedup": exact_dedup.ORACLE_SQL,
+    "op12_fill_in_middle": fill_middle.ORACLE_SQL,
 }
