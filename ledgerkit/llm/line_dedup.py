@@ -79,7 +79,6 @@ _HASHES = "cell int, k long, line int, h1 long, h2 long"
 def _hashes(batches):
     """A row for each line with a word: key, line, two hashes of the set; then the cells of the table of frequent words (k: count here)."""
     cells = np.zeros(1 << CELL_BITS, np.int32)
-    cells = np.zeros(1 << CELL_BITS, np.int32)
     for batch in chunks(batches, 1):
         row, line, s, starts, _ = _sets(batch)
         np.add.at(cells, (s & _MASK).astype(np.int64), 1)
@@ -334,7 +333,7 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     listed = met.filter("kind = 0 and size(more_k) > 0").join(still, ["k", "line"], "left_anti")
     listed = listed.select("k", "line", F.explode(F.arrays_zip("more_k", "more_line")).alias("x")).select("k", "line", F.col("x.more_k").alias("xk"), F.col("x.more_line").alias("xline"))
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT))).cast("int")
-    large = met.filter("kind = 1").select((F.col("tile") / F.lit(2.0**32)).cast("long").alias("h"), *_POST, band.alias("band"))
+    large = met.filter("kind = 1").select(F.shiftright("tile", 32).alias("h"), *_POST, band.alias("band"))
     near = F.array("band", F.col("band") - 1, F.col("band") - 2, F.col("band") + 1, F.col("band") + 2)
     wide = (
         large.join(still, ["k", "line"], "left_anti").withColumn("band", F.explode(near)).alias("y")
