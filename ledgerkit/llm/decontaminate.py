@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ledgerkit.llm.common import SLICE_ROWS, WS_PATTERN, ascii_lower
 from ledgerkit.llm.shingles import WORDS, rolling, word_hashes, words_of
 from ledgerkit.llm.tokens import ragged_places
-from ledgerkit.llm.words import chunks, give_back
+from ledgerkit.llm.words import chunks, forget, give_back
 
 OVERLAP_PERCENT = 80
 K1, B = 1.2, 0.75
@@ -309,6 +309,7 @@ def leaks(docs: DataFrame, items: DataFrame, part_bytes: int = PART_BYTES) -> Da
 def _clean_with(shared):
     @F.pandas_udf("boolean")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for s in batches:
             texts = [t if isinstance(t, str) else None for t in s]
             clean = []

@@ -302,8 +302,8 @@ def _in_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _mixed(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """Postings (h, k, n, at, comp, c) of the shingles whose nodes are in several components; c counts a shingle's nodes."""
-    here = large.join(comps.select("k", "comp"), "k")
+    """Postings (h, k, n, at, comp, c) of the shingles whose nodes are in several components; c counts a shingle's nodes. ``comps`` has the linked nodes."""
+    here = large.select("h", "k", "n", "at").join(comps, "k", "left").withColumn("comp", F.coalesce("comp", "k"))
     split = here.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("h", "c")
     return here.join(split, "h")
 
@@ -362,14 +362,17 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     tiles = materialise(light.mapInArrow(_tiles, "kind int, h long, a long, b long, n int, comp long, at int"), "jaccard-tiles")
     large = posts.filter("hot").select("h", "k", "n", "at").unionByName(tiles.filter("kind = 1").select("h", F.col("a").alias("k"), "n", "at"))
     large = materialise(large, "jaccard-large")
-    edges, comps = [first], known
+    edges, comps, left = [first], known.filter("k <> comp").select("k", "comp"), []
     for round_ in range(HUB_ROUNDS):
-        home = _mixed(large, comps).groupBy("k", "n", "comp").agg(F.max_by("h", F.struct("c", "h")).alias("h"))
+        # Components only grow, so a shingle whose nodes are in one stays done: each round carries what the last one left.
+        left.append(large)
+        large = materialise(_mixed(large, comps), "jaccard-mixed")
+        home = large.groupBy("k", "n", "comp").agg(F.max_by("h", F.struct("c", "h")).alias("h"))
         more = sets.verify(_hub_pairs(materialise(home, "jaccard-home"), round_))
         if not more.limit(1).count():
             break
         edges.append(more)
-        comps = materialise(_in_components(nodes.select("k", "n"), reduce(DataFrame.unionByName, edges)), "jaccard-known")
+        comps = materialise(connected_components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("k"), F.col("component").alias("comp")), "jaccard-linked")
     mixed = _mixed(large, comps).join(nodes.select("k", "bitmap"), "k").withColumn("part", F.pmod(F.xxhash64("k"), F.expr(f"cast((c + {BLOCK_NODES - 1}) div {BLOCK_NODES} as int)")).cast("int"))
     blocks = materialise(mixed.select("h", "part", "k", "n", "comp", "at", "bitmap").groupBy("h", "part").applyInPandas(_block, "h long, part int, k binary, n binary, comp binary, at binary, least long, most long, sig binary"), "jaccard-blocks")
     met = _pairs_of_blocks(blocks).mapInArrow(_block_pairs, "a long, b long")
@@ -380,7 +383,7 @@ def near_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
         rows.select("k", "doc_id", "n", "h1", "h2").join(final, ["n", "h1", "h2"], "left").select("k", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "k").alias("node"), F.coalesce("comp", "k").alias("comp")),
         "jaccard-rows",
     )
-    discard(profile, firsts, tiles, known, comps, large, in_groups, blocks)
+    discard(profile, firsts, tiles, known, comps, large, *left, in_groups, blocks)
     return out, docs, key
 
 

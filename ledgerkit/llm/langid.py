@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerkit.llm.common import slices
+from ledgerkit.llm.words import forget
 
 DIMENSIONS = 8192
 CLUSTERS = 4
@@ -171,6 +172,7 @@ def predictor(spark: SparkSession, model: Model):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for s in batches:
             yield pd.DataFrame(shared.value.predict([t if isinstance(t, str) else None for t in s]), columns=["lang_pred", "score", "rejected"])
 

@@ -50,7 +50,7 @@ def _pieces(name: str, capacity: int, end_id: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in chunks(batches, 1, CHUNK):
+        for batch in chunks(batches, 1, CHUNK, keep=True):
             coded, bounds = encoder(name).column(batch.column(1))
             raw, bounds = memoryview(coded.astype("<u4").tobytes()), bounds.tolist()
             rows = []

@@ -44,7 +44,7 @@ def _encode(name: str, end_id: int, segment: int):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seg, pa.int32()), (len(n), pa.int64()), (int(n.sum()), pa.int64()), (data, pa.binary()))], names=["part", "seg", "n_docs", "n_tokens", "payload"])
 
         size = 0
-        for batch in chunks(batches, 1, CHUNK):
+        for batch in chunks(batches, 1, CHUNK, keep=True):
             coded, bounds = encoder(name).column(batch.column(1))
             if len(coded) and coded.max() >= MOST_IDS:
                 raise ValueError(f"ids must lie below {MOST_IDS}")

@@ -15,14 +15,14 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from ledgerkit.llm.words import bytes_of, hash_spans
+from ledgerkit.llm.words import bytes_of, hash_spans, kept_table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces kept by a worker (about 45 MB).
 CACHE_MOST = 1_000_000
 #: Bytes of text that are encoded at a time.
 CHUNK = 1 << 18
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[str, "Encoder"] = kept_table({})
 _SPACE, _SIGN, _LETTER = (np.zeros(256, bool) for _ in range(3))
 _SPACE[[*range(9, 14), 32]] = True
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True

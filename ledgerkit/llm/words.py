@@ -103,8 +103,25 @@ def give_back() -> None:
         _trimmer()(0)
 
 
-def chunks(batches, text: int, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Record batches in slices whose column ``text`` has about ``size`` bytes."""
+_tables_kept: list = []
+
+
+def kept_table(table: dict) -> dict:
+    """``table``, which a worker keeps from one task to the next; tasks that don't ask for it empty it."""
+    _tables_kept.append(table)
+    return table
+
+
+def forget() -> None:
+    """Drop what tasks of another stage have kept."""
+    for table in _tables_kept:
+        table.clear()
+
+
+def chunks(batches, text: int, size: int = CHUNK, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Record batches in slices whose column ``text`` has about ``size`` bytes. ``keep``: the task uses what earlier ones have kept."""
+    if not keep:
+        forget()
     for batch in batches:
         column = batch.column(text)
         if not len(column):
