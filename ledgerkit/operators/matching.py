@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerkit.functions.stages import written
+
 
 def candidates(left: DataFrame, right: DataFrame, keys: Sequence[str], low: int, high: int, residual: Column | None = None) -> DataFrame:
     """Pairs with equal keys whose days apart (left - right) lie in [low, high]. Both sides have id and day.
@@ -39,72 +41,158 @@ def unambiguous_nearest(pairs: DataFrame) -> DataFrame:
     return near.withColumn("ties", F.count("*").over(Window.partitionBy("l_id")))
 
 
-def _chains(rows: DataFrame, component: Sequence[str], starts: Column, ends: Column, ties: Sequence[str]) -> DataFrame:
-    """``rows`` with ``chain``: a component is cut where the rows up to a day all end before the next ones begin."""
-    w = Window.partitionBy(*component).orderBy(starts, ends, *ties)
-    before = F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = rows.withColumn("__cut", F.coalesce((starts > before).cast("int"), F.lit(0)))
-    return cut.withColumn("chain", F.sum("__cut").over(w)).drop("__cut")
+#: Rows of candidates that one task may settle by a plain walk; more are settled in rounds of joins until so few are left.
+WALK = 200_000
+
 
+def _turn(order: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys([*order, "l_id"]))
 
-def greedy(pairs: DataFrame, component: Sequence[str], order: Sequence[str] = ("l_day", "l_id")) -> DataFrame:
+
+def greedy(pairs: DataFrame, component: Sequence[str], order: Sequence[str] = ("l_day", "l_id"), same: bool = False) -> DataFrame:
     """One-to-one greedy assignment: left rows in ``order`` take the nearest right row that is free, of equally near ones the smallest id.
 
-    Rows of different ``component`` keys never compete, nor do those of one key that no chain of pairs
-    in time joins, so that the cents value of a third of all rows still becomes many groups.
+    All right rows rank the left ones alike, so there is one stable matching and it is the greedy one. It is found in rounds of joins: every
+    left row asks for its nearest right row, and all pairs of later left rows are dropped there, until no question is refused. A pair
+    whose left row is the first of all that could ask is final and leaves the rounds. Rows of one frequent value are dealt to many
+    tasks; only the last ``WALK`` candidates are walked through in one.
+
+    ``same`` states that left rows of one ``component`` and day have the same candidates (a join without a residual): the i-th of
+    them can't have a better one than its i-th, which spares them the rounds.
     """
-    chains = _chains(pairs, component, F.least("l_day", "r_day"), F.greatest("l_day", "r_day"), ["l_id", "r_id"])
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(__d=pdf["days"].abs()).sort_values([*dict.fromkeys([*order, "l_id"]), "__d", "r_id"])
-        used, done, keep = set(), set(), []
-        for i, l, r in zip(pdf.index, pdf["l_id"], pdf["r_id"]):
-            if l not in done and r not in used:
-                done.add(l)
-                used.add(r)
+    wish = F.struct(F.abs("days").alias("days"), F.col("r_id").alias("id"))
+    turn, names = _turn(order), pairs.columns
+    rows = pairs.select("*", F.struct(*turn).alias("__turn"), wish.alias("__wish"), F.lit(False).alias("__done"))
+    l, r = Window.partitionBy("l_id"), Window.partitionBy("r_id")
+    if same:
+        place = F.dense_rank().over(Window.partitionBy(*component, "l_day").orderBy("__turn"))
+        rows = rows.withColumn("__place", place).withColumn("__rank", F.row_number().over(l.orderBy("__wish"))).filter("__rank >= __place").drop("__place", "__rank")
+    rows, out = written(rows, "greedy"), []
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        settled = pdf[pdf["__done"]]
+        lefts, rights, keep = set(settled["l_id"]), set(settled["r_id"]), []
+        pdf = pdf[~pdf["__done"]].assign(__far=pdf["days"].abs()).sort_values([*turn, "__far", "r_id"])
+        for i, a, b in zip(pdf.index, pdf["l_id"], pdf["r_id"]):
+            if a not in lefts and b not in rights:
+                lefts.add(a)
+                rights.add(b)
                 keep.append(i)
-        return pdf.loc[keep].drop(columns="__d")
-
-    return chains.groupBy(*component, "chain").applyInPandas(assign, chains.schema).drop("chain")
+        return pdf.loc[keep, names]
+
+    while rows.count() > WALK:
+        rows = rows.withColumn("__gone", F.max("__done").over(l)).filter("__done or not __gone")
+        rows = rows.withColumn("__asks", F.col("__wish") == F.min("__wish").over(l))
+        rows = rows.withColumns({"__gone": F.max("__done").over(r), "__first": F.min("__turn").over(r), "__best": F.min(F.when(F.col("__asks"), F.col("__turn"))).over(r)})
+        rows = rows.filter("not __gone").withColumn("__stays", F.expr("__best is null or __turn <= __best"))
+        rows = rows.withColumn("__done", F.col("__asks") & (F.col("__turn") == F.col("__first")))
+        rows = written(rows.filter("__stays or __asks").select(*names, "__turn", "__wish", "__done", "__asks", "__stays"), "greedy")
+        if not rows.filter("not __stays").limit(1).count():
+            return _together(rows.filter("__asks").select(*names), out)
+        out.append(rows.filter("__done").select(*names))
+        rows = rows.filter("__stays").select(*names, "__turn", "__wish", "__done")
+    return _together(rows.select(*names, "__done").groupBy().applyInPandas(walk, pairs.schema), out)
+
+
+def _together(last: DataFrame, before: list[DataFrame]) -> DataFrame:
+    for df in before:
+        last = last.unionByName(df)
+    return last
+
+
+def first_fit(pairs: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Left rows in ``order`` take the nearest right row that still has room: l_id, r_id, days, ties.
+
+    pairs: l_id, r_id, days, ``filled`` and ``step``: a right row has room for a pair while filled <= 0, and each left row that takes it fills it by
+    ``step``. Where several are equally near, the left row takes none of them; each comes out with ``ties`` > 1. Left rows that find no
+    room don't come out. In rounds of joins: a left row decides when no undecided earlier one could still take any of its nearest right rows;
+    rows of one kind that are all undecided between the same right rows decide together. The last ``WALK`` candidates are walked through in one task.
+    """
+    turn = _turn(order)
+    columns = list(dict.fromkeys(["l_id", "r_id", "days", "filled", "step", *turn]))
+    rows, out = written(pairs.filter("filled <= 0").select(*columns), "first-fit"), []
+    l, r = Window.partitionBy("l_id"), Window.partitionBy("r_id")
+    queue = r.orderBy(*turn)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        added, found = dict.fromkeys(pdf["r_id"], 0), []
+        for a, mine in pdf.assign(far=pdf["days"].abs()).sort_values([*turn, "far"]).groupby("l_id", sort=False):
+            room = mine[mine["filled"] + mine["r_id"].map(added) <= 0]
+            near = room[room["far"] == room["far"].min()]
+            if len(near) == 1:
+                added[near["r_id"].iloc[0]] += near["step"].iloc[0]
+            found += [(a, b, d, len(near)) for b, d in zip(near["r_id"], near["days"])]
+        return pd.DataFrame(found, columns=["l_id", "r_id", "days", "ties"])
+
+    while rows.count() > WALK:
+        rows = rows.withColumn("near", F.abs("days") == F.min(F.abs("days")).over(l))
+        rows = rows.withColumn("between", F.sort_array(F.collect_list(F.when(F.col("near"), F.col("r_id"))).over(l)))
+        rows = rows.withColumns({"place": F.row_number().over(queue), "turned": (F.lag("between").over(queue) != F.col("between")).cast("int")})
+        rows = rows.withColumn("alike", F.coalesce(F.sum("turned").over(queue), F.lit(0)) == 0)
+        sure = (F.col("place") == 1) | (F.col("alike") & (F.size("between") > 1))
+        rows = rows.withColumn("decided", F.min(F.when(F.col("near"), sure)).over(l))
+        takes = F.col("decided") & F.col("near") & (F.size("between") == 1)
+        rows = rows.withColumn("filled", F.col("filled") + F.coalesce(F.sum(F.when(takes, F.col("step"))).over(r), F.lit(0)))
+        rows = written(rows.filter("(decided and near) or (not decided and filled <= 0)").select(*columns, F.size("between").alias("ties"), "decided"), "first-fit")
+        out.append(rows.filter("decided").select("l_id", "r_id", "days", "ties"))
+        rows = rows.filter("not decided").select(*columns)
+    ids = {f.name: f.dataType.simpleString() for f in pairs.schema if f.name in ("l_id", "r_id")}
+    return _together(rows.groupBy().applyInPandas(walk, f"l_id {ids['l_id']}, r_id {ids['r_id']}, days int, ties int"), out)
 
 
 def group_payments(bank: DataFrame, cards: DataFrame, low: int, high: int) -> DataFrame:
     """Bank rows that equal two or three card payments of their issuer: id, card_id, days.
 
-    bank: id, issuer, day, cents; cards: id, issuer, day, cents of the opposite sign. Options come from joins on what is missing
-    to the row's cents. Rows in order of (day, id) take their first option of which all payments are free: two before three
-    payments, then by how near (days, id) the first is, the second, the third.
+    bank: id, issuer, day, cents; cards: id, issuer, day, cents of the opposite sign. What is missing to a row's cents after one payment is
+    looked up: among single payments for two, in a table of the sums of two payments for three. Rows in order of (day, id) take
+    their first option of which all payments are free: two before three payments, then by how near (days, id) the first is, the second, the third.
     """
-    near = candidates(bank, cards, ["issuer"], low, high).filter("signum(l_cents) = -signum(r_cents) and abs(r_cents) < abs(l_cents)")
-    near = near.select("l_issuer", "l_id", "l_day", F.struct(F.abs("days").alias("apart"), F.col("r_id").alias("id"), F.col("r_day").alias("day")).alias("p"), F.col("r_cents").alias("has"), (-F.col("l_cents")).alias("needs"))
-    near = near.withColumn("p", F.struct("p.apart", "p.id", "p.day"))
-    other = near.select(F.col("l_id").alias("o_id"), F.col("p").alias("q"), F.col("has").alias("o_has"))
-    two = near.join(other, [F.col("l_id") == F.col("o_id"), F.col("needs") - F.col("has") == F.col("o_has"), F.col("p") < F.col("q")])
-    two = two.select("l_issuer", "l_id", "l_day", F.array("p", "q").alias("parts"))
-    pairs = near.join(other, [F.col("l_id") == F.col("o_id"), F.col("p") < F.col("q")]).filter("abs(has + o_has) < abs(needs)")
-    pairs = pairs.select("l_issuer", "l_id", "l_day", F.array("p", "q").alias("parts"), (F.col("needs") - F.col("has") - F.col("o_has")).alias("rest"))
-    last = other.select(F.col("o_id").alias("t_id"), F.col("q").alias("r"), F.col("o_has").alias("t_has"))
-    three = pairs.join(last, [F.col("l_id") == F.col("t_id"), F.col("rest") == F.col("t_has"), F.get("parts", F.lit(1)) < F.col("r")])
-    three = three.select("l_issuer", "l_id", "l_day", F.concat("parts", F.array("r")).alias("parts"))
-    options = two.unionByName(three)
-    paid = F.transform("parts", lambda p: p["day"])
-    chains = _chains(options, ["l_issuer"], F.least("l_day", F.array_min(paid)), F.greatest("l_day", F.array_max(paid)), ["l_id"])
-    rank = F.row_number().over(Window.partitionBy("l_id").orderBy(F.size("parts"), F.transform("parts", lambda p: F.struct(p["apart"], p["id"]))))
-    chains = chains.select("l_issuer", "chain", "l_id", "l_day", rank.alias("rank"), F.transform("parts", lambda p: p["id"]).alias("ids"))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), {}
+    pay = cards.filter("cents <> 0").select("id", "issuer", "day", "cents")
+    two = pair_sums(pay, high - low)
+    near = candidates(bank, pay, ["issuer"], low, high).filter("signum(l_cents) = -signum(r_cents) and abs(r_cents) < abs(l_cents)")
+    near = near.select("l_issuer", "l_id", "l_day", (-F.col("l_cents") - F.col("r_cents")).alias("rest"), F.struct(F.abs("days").alias("apart"), F.col("r_id").alias("id")).alias("p"))
+    when = lambda day, id_: F.struct(F.abs(F.datediff("l_day", day)).alias("apart"), F.col(id_).alias("id"))
+    within = lambda day: F.datediff("l_day", day).between(low, high)
+    one = pay.select(F.col("issuer").alias("l_issuer"), F.col("cents").alias("rest"), F.col("day").alias("q_day"), F.col("id").alias("q_id"))
+    pairs = near.join(one, ["l_issuer", "rest"]).filter(within("q_day")).select("l_id", "l_day", F.array("p", when("q_day", "q_id")).alias("parts"))
+    both = two.select(F.col("issuer").alias("l_issuer"), F.col("cents").alias("rest"), "id_a", "id_b", "day_a", "day_b")
+    triples = near.join(both, ["l_issuer", "rest"]).filter(within("day_a") & within("day_b")).select("l_id", "l_day", F.concat(F.array("p"), F.array_sort(F.array(when("day_a", "id_a"), when("day_b", "id_b")))).alias("parts"))
+    # Each set of payments once, in the order in which it is judged.
+    options = pairs.unionByName(triples).filter("parts[0] < parts[1] and (size(parts) = 2 or parts[1] < get(parts, 2))")
+    taken = disjoint_choices(options.select("l_day", "l_id", F.struct(F.size("parts").alias("n"), F.col("parts")).alias("wish"), F.transform("parts", lambda x: x.id).alias("ids")))
+    taken = taken.select(F.col("l_id").alias("id"), F.explode("ids").alias("card_id"))
+    when, paid_on = bank.select("id", F.col("day").alias("__day")), cards.select(F.col("id").alias("card_id"), F.col("day").alias("__paid"))
+    return taken.join(when, "id").join(paid_on, "card_id").select("id", "card_id", F.datediff("__day", "__paid").alias("days"))
+
+
+def disjoint_choices(options: DataFrame) -> DataFrame:
+    """Left rows in order of (l_day, l_id) take their first option (by ``wish``) of which all ``ids`` are free: l_id, ids.
+
+    In rounds of joins: an option is final when it is its row's first and no earlier undecided row has any option with one of its ids; options that
+    hold an id of a final one go. The last ``WALK`` options are walked through in one task.
+    """
+    rank = F.row_number().over(Window.partitionBy("l_id").orderBy("wish"))
+    rows, out = written(options.select("l_day", "l_id", rank.alias("rank"), "ids"), "options"), []
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, chosen = set(), {}
         for row in pdf.sort_values(["l_day", "l_id", "rank"]).itertuples(index=False):
-            if row.l_id not in out and taken.isdisjoint(row.ids):
-                out[row.l_id] = row.ids
+            if row.l_id not in chosen and taken.isdisjoint(row.ids):
+                chosen[row.l_id] = row.ids
                 taken.update(row.ids)
-        rows = [(i, c) for i, ids in out.items() for c in ids]
-        return pd.DataFrame(rows, columns=["id", "card_id"])
+        return pd.DataFrame({"l_id": list(chosen), "ids": list(chosen.values())})
 
-    taken = chains.groupBy("l_issuer", "chain").applyInPandas(assign, "id long, card_id long")
-    when = bank.select("id", F.col("day").alias("__day"))
-    paid_on = cards.select(F.col("id").alias("card_id"), F.col("day").alias("__paid"))
-    return taken.join(when, "id").join(paid_on, "card_id").select("id", "card_id", F.datediff("__day", "__paid").alias("days"))
+    while rows.count() > WALK:
+        rows = rows.withColumn("first", F.col("rank") == F.min("rank").over(Window.partitionBy("l_id")))
+        each = rows.withColumn("item", F.explode("ids")).withColumn("free", F.struct("l_day", "l_id") == F.min(F.struct("l_day", "l_id")).over(Window.partitionBy("item")))
+        judged = written(each.groupBy("l_id", "rank", "l_day", "ids").agg((F.min("free") & F.first("first")).alias("done")), "choices")
+        done = judged.filter("done").select("l_id", "ids")
+        out.append(done)
+        used = done.select(F.explode("ids").alias("item")).distinct()
+        rest = judged.filter("not done").join(done.select("l_id"), "l_id", "left_anti")
+        blocked = rest.select("l_id", "rank", F.explode("ids").alias("item")).join(used, "item", "left_semi").select("l_id", "rank").distinct()
+        rows = written(rest.join(blocked, ["l_id", "rank"], "left_anti").select("l_day", "l_id", "rank", "ids"), "options")
+    return _together(rows.groupBy().applyInPandas(walk, rows.select("l_id", "ids").schema), out)
 
 
 def unmatched_after(rows: DataFrame, matched: DataFrame, today: Column, grace: int) -> DataFrame:
@@ -113,14 +201,18 @@ def unmatched_after(rows: DataFrame, matched: DataFrame, today: Column, grace: i
 
 
 def sums_of_two(targets: DataFrame, parts: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
-    """Targets equal to the sum of two parts of the same keys in the day window (target - part)."""
-    t = targets.alias("t")
-    a, b = parts.alias("a"), parts.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    two = a.join(b, [*same, F.col("a.id") < F.col("b.id"), F.abs(F.datediff("a.day", "b.day")) <= high - low]).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("a.day").alias("day_a"), F.col("b.day").alias("day_b"), (F.col("a.cents") + F.col("b.cents")).alias("cents"))
-    on = [F.col(f"t.{k}") == F.col(f"two.{k}") for k in keys] + [F.col("t.cents") == F.col("two.cents")]
-    hits = t.join(two.alias("two"), on).filter(F.datediff("t.day", "two.day_a").between(low, high) & F.datediff("t.day", "two.day_b").between(low, high))
-    return hits.select(F.col("t.id").alias("id"), "id_a", "id_b", F.col("t.cents").alias("cents"))
+    """id, id_a, id_b, cents: targets equal to the sum of two parts of the same keys in the day window (target - part)."""
+    near = candidates(targets, parts, keys, low, high)
+    near = near.select(*[F.col(f"l_{k}").alias(k) for k in keys], "l_id", "l_day", "l_cents", F.col("r_id").alias("id_a"), (F.col("l_cents") - F.col("r_cents")).alias("rest"))
+    second = parts.select(*keys, F.col("id").alias("id_b"), F.col("day").alias("day_b"), F.col("cents").alias("rest"))
+    hits = near.join(second, [*keys, "rest"]).filter(F.datediff("l_day", "day_b").between(low, high) & (F.col("id_a") < F.col("id_b")))
+    return hits.select(F.col("l_id").alias("id"), "id_a", "id_b", F.col("l_cents").alias("cents"))
+
+
+def pair_sums(parts: DataFrame, apart: int) -> DataFrame:
+    """issuer, id_a, id_b, day_a, day_b, cents: the sums of every two payments of an issuer and a sign that are at most ``apart`` days apart."""
+    pairs = candidates(parts, parts, ["issuer"], -apart, apart).filter("l_id < r_id and signum(l_cents) = signum(r_cents)")
+    return pairs.select(F.col("l_issuer").alias("issuer"), F.col("l_id").alias("id_a"), F.col("r_id").alias("id_b"), F.col("l_day").alias("day_a"), F.col("r_day").alias("day_b"), (F.col("l_cents") + F.col("r_cents")).alias("cents"))
 
 
 def transfers(bank: DataFrame, cards: DataFrame, low: int = -2, high: int = 6) -> DataFrame:
@@ -140,16 +232,16 @@ def transfers(bank: DataFrame, cards: DataFrame, low: int = -2, high: int = 6) -
     def free(links: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
         return left.join(links.select("id"), "id", "left_anti"), right.join(links.select(F.col("card_id").alias("id")), "id", "left_anti")
 
-    def by_amount(pairs: DataFrame) -> DataFrame:
-        return greedy(pairs, ["l_cents"]).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), "days")
+    def by_amount(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return greedy(pairs, keys, same=True).select(F.col("l_id").alias("id"), F.col("r_id").alias("card_id"), "days")
 
-    named = link(by_amount(candidates(bank, opposite(cards), ["issuer", "cents"], low, high)), "named", 1.0)
+    named = link(by_amount(candidates(bank, opposite(cards), ["issuer", "cents"], low, high), ["l_issuer", "l_cents"]), "named", 1.0)
     left, open_ = free(named, bank, cards)
     group = link(group_payments(left.filter("issuer is not null"), open_, low, high), "group", 1.0)
     left, open_ = free(group, left, open_)
     if "unsure" in left.columns:
         left = left.filter("unsure")
-    amount = link(by_amount(candidates(left, opposite(open_), ["cents"], low, high)), "amount", 0.6)
+    amount = link(by_amount(candidates(left, opposite(open_), ["cents"], low, high), ["l_cents"]), "amount", 0.6)
     return named.unionByName(group).unionByName(amount)
 
 

@@ -14,14 +14,22 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
+def registrar(queries: dict, oracle: dict[str, str]):
+    """A decorator that registers a query, with its SQL twin where it has one."""
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, ORACLE)
 
 
 def day(s: str):
@@ -310,7 +318,7 @@ def nearest_with_ties(spark, d):
 @query()
 def greedy_matching(spark, d):
     pairs = matching.candidates(*_both(spark, d), ["cents"], -2, 6)
-    return matching.greedy(pairs, ["l_cents"]).select("l_id", "r_id", "days")
+    return matching.greedy(pairs, ["l_cents"], same=True).select("l_id", "r_id", "days")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id, day FROM b WHERE bank_type = 'purchase' AND DATE '2024-02-10' - day > 14 AND id NOT IN (SELECT l_id FROM pairs)")

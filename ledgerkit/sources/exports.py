@@ -49,16 +49,16 @@ def with_headers(lines: DataFrame) -> DataFrame:
     return rows.select("file", (F.col("at") + 1).alias("line"), "header", fields(F.col("value")).alias("fields"), layout(F.col("header")).alias("layout"))
 
 
+#: One amount and an empty field beside it; unquoted thousands commas may have cut the amount into several fields.
+_DEBIT, _CREDIT = r"^([^,]+(?:,[^,]+)*),$", r"^,([^,]+(?:,[^,]+)*)$"
+
+
 def mended(row: Column) -> Column:
-    """Fields of a layout B line. An unquoted thousands comma splits an amount over more fields; as one of debit and credit is
-    empty, the empty one at an end tells which the pieces belong to. Null where that can't be told."""
-    middle = F.slice(row, 4, F.size(row) - 4)
-    empty = F.filter(F.transform(middle, lambda f, i: F.when(f == "", i)), lambda i: i.isNotNull())
-    amount = F.array_join(F.filter(middle, lambda f: f != ""), ",")
-    head, member = F.slice(row, 1, 3), F.slice(row, -1, 1)
-    last = F.size(middle) - 1
-    pieces = F.when(empty == F.array(F.lit(0)), F.array(F.lit(""), amount)).when(empty == F.array(last), F.array(amount, F.lit("")))
-    return F.when(F.size(row) == 6, row).when(F.size(row) > 6, F.concat(head, pieces, member))
+    """Fields of a layout B line with debit and credit in one field each. Null where two of them can't be told apart."""
+    amounts = F.array_join(F.slice(row, 4, F.size(row) - 4), ",")
+    debit, credit = F.regexp_extract(amounts, _DEBIT, 1), F.regexp_extract(amounts, _CREDIT, 1)
+    whole = F.concat(F.slice(row, 1, 3), F.array(debit, credit), F.slice(row, -1, 1))
+    return F.when(F.size(row) == 6, row).when((F.size(row) > 6) & ((debit == "") != (credit == "")), whole)
 
 
 def bank_type(kind: Column, extended: Column) -> Column:
