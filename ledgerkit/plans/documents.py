@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerkit.functions import extract
 from ledgerkit.operators import orders as matching_orders
+from ledgerkit.operators import terms
 from ledgerkit.plans.adapters import BANK_SQL, TXN_SQL, bank, cents, table, txn
 from ledgerkit.plans.queries import registrar
 from ledgerkit.sources import orders, statements
@@ -254,3 +256,34 @@ def receipt_matches(spark, d):
     receipts = own(txns.select("id", F.date_sub("day", (F.col("id") % 4).cast("int")).alias("day"), F.col("cents").alias("total"), F.lit("Visa").alias("payment")), "total")
     rows = own(txns.select("id", "day", "cents", "type", F.lit("warehouse").alias("group")), "cents")
     return matching_orders.match_receipts(receipts, rows, user.filter("false"), F.lit("2001-01-01").cast("date"), 14)[0]
+
+
+# Free text.
+
+_WORDS = extract.NUMBER_WORDS | dict.fromkeys(extract.ZERO_WORDS, 0)
+_NUMBERS_SQL = "[" + ", ".join(f"{{'w': '{w}', 'n': {n}}}" for w, n in _WORDS.items()) + "]"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(translate(text, '‘’“”–—−', '''''""---'), '[®™©]', '', 'g'), '(\w)-\s*\n\s*(\w)', '\1\2', 'g')), '\s+', ' ', 'g')) AS s FROM documents),
+w AS (SELECT unnest({_NUMBERS_SQL}, recursive := true)),
+n AS (SELECT doc_id, CAST(replace(unnest(regexp_extract_all(s, '(?:^|[^0-9.])((?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?)', 1)), ',', '') AS DOUBLE) AS number FROM t
+      UNION SELECT doc_id, CAST(w.n AS DOUBLE) FROM (SELECT doc_id, unnest(regexp_extract_all(s, '[a-z]+(?:-[a-z]+)?')) AS tok FROM t) JOIN w ON w.w = tok)
+SELECT DISTINCT doc_id, number FROM n""")
+def document_numbers(spark, d):
+    """Every number that a document states, in digits or words."""
+    return table(spark, d, "documents").select("doc_id", F.explode(extract.stated_numbers(F.col("text"))).alias("number"))
+
+
+_TERMS_SQL = r"""b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+k AS (SELECT DISTINCT array_to_string(w[1:1 + item_id % 3], ' ') AS term FROM b WHERE len(w) > 3)"""
+
+
+@query(rf"""WITH {_TERMS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+g AS (SELECT doc_id, n, unnest(range(0, CAST(len(w) - n + 1 AS BIGINT))) AS pos, w FROM d, (VALUES (1), (2), (3)) s(n) WHERE len(w) >= n),
+r AS (SELECT doc_id, pos, array_to_string(w[pos + 1:pos + n], ' ') AS run FROM g)
+SELECT doc_id, term, count(*) AS n, CAST(min(pos) AS INTEGER) AS first FROM r JOIN k ON run = term GROUP BY doc_id, term""")
+def term_scan(spark, d):
+    """Which of the benchmark items' first words, one to three of them, each document holds, and how often."""
+    w = terms.words(F.col("text"))
+    known = table(spark, d, "benchmark").select("item_id", w.alias("w")).filter("size(w) > 3").select(F.array_join(F.slice("w", F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " ").alias("term"))
+    return terms.scan(table(spark, d, "documents"), known)
