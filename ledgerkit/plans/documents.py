@@ -10,7 +10,7 @@ from ledgerkit.operators import orders as matching_orders
 from ledgerkit.operators import terms
 from ledgerkit.plans.adapters import BANK_SQL, TXN_SQL, bank, cents, table, txn
 from ledgerkit.plans.queries import registrar
-from ledgerkit.sources import orders, statements
+from ledgerkit.sources import orders, registry, statements
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -287,3 +287,29 @@ def term_scan(spark, d):
     w = terms.words(F.col("text"))
     known = table(spark, d, "benchmark").select("item_id", w.alias("w")).filter("size(w) > 3").select(F.array_join(F.slice("w", F.lit(1), (F.col("item_id") % 3 + 1).cast("int")), " ").alias("term"))
     return terms.scan(table(spark, d, "documents"), known)
+
+
+# Manifests: a run folder for each account, its files those of its orders.
+
+
+@query(rf"""WITH {TXN_SQL}, f AS (SELECT account AS run, id || '.txt' AS file, id, day FROM txn),
+l AS (SELECT run, file, id FROM f WHERE id % 7 > 0 UNION ALL SELECT run, file, id FROM f WHERE id % 7 > 0 AND id % 10 = 0), bad AS (SELECT DISTINCT run FROM f WHERE run % 13 = 0)
+SELECT run, CAST(NULL AS VARCHAR) AS file, 'no manifest' AS problem FROM bad
+UNION ALL SELECT run, file, 'listed twice' FROM l WHERE run % 13 > 0 GROUP BY run, file HAVING count(*) > 1
+UNION ALL SELECT DISTINCT run, file, 'not found' FROM l WHERE run % 13 > 0 AND id % 4 = 0
+UNION ALL SELECT DISTINCT run, file, 'unknown card' FROM l WHERE run % 13 > 0 AND id % 9 = 1
+UNION ALL SELECT DISTINCT run, file, 'wrong period' FROM l WHERE run % 13 > 0 AND id % 8 = 3
+UNION ALL SELECT run, file, 'unlisted' FROM f WHERE run % 13 > 0 AND id % 7 = 0 AND id % 4 > 0""")
+def manifest_problems(spark, d):
+    """What is wrong with the manifests of run folders: repeated, missing, strange and unlisted files."""
+    t = txn(spark, d).select(F.col("account").alias("run"), F.concat("id", F.lit(".txt")).alias("file"), "id", "day")
+    some = F.when(F.col("id") % 3 == 0, F.lit(None).cast("string"))
+    card = F.when(F.col("id") % 9 == 1, "strange").otherwise(some.otherwise("known"))
+    day = lambda n: F.date_add("day", n).cast("string")
+    entry = F.struct("file", F.lit("statement").alias("kind"), card.alias("card_id"), F.when(F.col("id") % 8 == 3, day(9)).otherwise(day(0)).alias("period_start"), day(5).alias("period_end"), F.lit("").alias("note"))
+    twice = t.filter("id % 7 > 0").withColumn("e", F.explode(F.when(F.col("id") % 10 == 0, F.array(entry, entry)).otherwise(F.array(entry))))
+    lists = t.select("run").distinct().join(twice.groupBy("run").agg(F.collect_list("e").alias("files")), "run", "left")
+    doc = F.to_json(F.struct(F.lit("shop").alias("site"), F.lit("2026-10-05").alias("run_date"), F.coalesce("files", F.array().cast("array<struct<file:string,kind:string,card_id:string,period_start:string,period_end:string,note:string>>")).alias("files")))
+    manifests = lists.select("run", F.lit("shop").alias("site"), F.lit("2026-10-05").alias("run_date"), F.when(F.col("run") % 13 > 0, doc).otherwise("no json").alias("text"))
+    listing = t.filter("id % 4 > 0").select("run", F.col("file").alias("name")).unionByName(t.select("run", F.lit("manifest.json").alias("name")))
+    return registry.manifest_problems(manifests, listing, spark.createDataFrame([("known",)], "card string"))
