@@ -1,4 +1,4 @@
-"""Registered queries of the evaluation of cards as of each purchase's day."""
+"""Registered queries of the evaluation of cards as of each purchase's day, and of invariants."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from ledgerkit.operators import evaluation
-from ledgerkit.plans.adapters import ITEM_SQL, TXN_SQL, item, txn
+from ledgerkit.operators import evaluation, invariants
+from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, txn
 from ledgerkit.plans.queries import registrar
 
 QUERIES: dict = {}
@@ -157,3 +157,42 @@ def missed_by_merchant(spark, d):
     """What each merchant's purchases earned and could have earned, with the card most often used and most often better."""
     rows = evaluation.missed_by_merchant(_buys(spark, d), _evaluated(spark, d))
     return rows.withColumn("first", F.array_join(F.transform("first", lambda i: i.cast("string")), ","))
+
+
+# Invariants.
+
+
+@query(f"""WITH {TXN_SQL}, m AS (SELECT *, strftime(day, '%Y-%m') AS month, CASE WHEN id % 500 = 0 THEN cents + 1 ELSE cents END AS now FROM txn WHERE type = 'purchase' OR id % 2 = 0),
+k AS (SELECT 'month' AS kind, month AS key, cents, now FROM m WHERE type <> 'payment' UNION ALL SELECT 'grp', grp, cents, now FROM m WHERE type <> 'payment' UNION ALL SELECT 'month|type', month || '|' || type, cents, now FROM m)
+SELECT kind, key, count(*) AS n_then, CAST(sum(cents) AS BIGINT) AS cents_then, count(*) AS n_now, CAST(sum(now) AS BIGINT) AS cents_now FROM k GROUP BY kind, key HAVING sum(cents) <> sum(now)""")
+def changed_figures(spark, d):
+    """Figures of a snapshot that a few changed cents move."""
+    t = txn(spark, d).filter("type = 'purchase' or id % 2 = 0")
+    later = t.withColumn("cents", F.when(F.col("id") % 500 == 0, F.col("cents") + 1).otherwise(F.col("cents")))
+    return invariants.changed_figures(invariants.figures(t, ["grp"]), invariants.figures(later, ["grp"]))
+
+
+@query(f"""WITH {BANK_SQL}, b AS (SELECT id, day, cents, CASE WHEN id % 10 = 0 THEN 'credit' WHEN cents > 0 THEN 'purchase' ELSE 'transfer' END AS type, id % 6 = 0 AS settled FROM bank),
+p AS (SELECT id + 1000000 AS id, day + CAST(id % 12 AS INTEGER) AS day, -cents AS cents FROM bank WHERE cents > 0 AND id % 3 = 0), l AS (SELECT id, id + 1000000 - id % 2 * 3 AS card_id FROM bank WHERE id % 9 < 2 AND id % 3 = 0 OR id % 27 = 3)
+SELECT 1 AS rule, id FROM b WHERE type IN ('purchase', 'refund', 'fee', 'interest', 'adjustment') AND id IN (SELECT id FROM l)
+UNION ALL SELECT 2, card_id FROM l GROUP BY card_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 3, b.id FROM b JOIN p ON p.cents = -b.cents AND b.day - p.day BETWEEN -2 AND 6 WHERE b.type = 'purchase' AND NOT settled AND p.id NOT IN (SELECT card_id FROM l)
+UNION ALL SELECT 4, id FROM b WHERE type IN ('payment', 'credit', 'reward', 'interest', 'adjustment')""")
+def transfer_breaches(spark, d):
+    """Breaches of the four rules of transfers."""
+    b = bank(spark, d)
+    kind = F.when(F.col("id") % 10 == 0, "credit").when(F.col("cents") > 0, "purchase").otherwise("transfer")
+    rows = b.select("id", "day", "cents", kind.alias("type"), (F.col("id") % 6 == 0).alias("settled"))
+    payments = b.filter("cents > 0 and id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), F.date_add("day", (F.col("id") % 12).cast("int")).alias("day"), (-F.col("cents")).alias("cents"))
+    links = b.filter("id % 9 < 2 and id % 3 = 0 or id % 27 = 3").select("id", (F.col("id") + 1_000_000 - F.col("id") % 2 * 3).alias("card_id"))
+    return invariants.transfer_breaches(rows, payments, links, -2, 6)
+
+
+@query(f"""WITH {TXN_SQL}, x AS (SELECT id, ['one', 'two', 'three'][1 + account % 3] AS card, CASE id % 4 WHEN 0 THEN 'shop' WHEN 1 THEN 'shop_gas' WHEN 2 THEN 'shopper' END AS grp FROM txn WHERE type = 'purchase')
+SELECT id, card FROM x WHERE card = 'one' AND (grp IS NULL OR grp = 'shopper') OR card = 'two' AND (grp IS NULL OR grp <> 'shop_gas')""")
+def unexpected_purchases(spark, d):
+    """Purchases of groups that their cards aren't kept for."""
+    card = F.element_at(F.array(F.lit("one"), F.lit("two"), F.lit("three")), (F.col("account") % 3 + 1).cast("int"))
+    group = F.when(F.col("id") % 4 == 0, "shop").when(F.col("id") % 4 == 1, "shop_gas").when(F.col("id") % 4 == 2, "shopper")
+    t = txn(spark, d).select("id", card.alias("card"), "type", group.alias("group"))
+    return invariants.unexpected_purchases(t, spark.createDataFrame([("one", ["shop"]), ("two", ["shop_gas"]), ("three", [])], "card string, groups array<string>"))
