@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerkit.operators import evaluation, invariants
+from ledgerkit.operators import evaluation, insights, invariants
 from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, txn
-from ledgerkit.plans.queries import registrar
+from ledgerkit.plans.queries import SERIES_SQL, _series, registrar
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -196,3 +197,42 @@ def unexpected_purchases(spark, d):
     group = F.when(F.col("id") % 4 == 0, "shop").when(F.col("id") % 4 == 1, "shop_gas").when(F.col("id") % 4 == 2, "shopper")
     t = txn(spark, d).select("id", card.alias("card"), "type", group.alias("group"))
     return invariants.unexpected_purchases(t, spark.createDataFrame([("one", ["shop"]), ("two", ["shop_gas"]), ("three", [])], "card string, groups array<string>"))
+
+
+# Insights.
+
+_REF = "DATE '1999-06-01'"
+
+
+@query(f"""WITH {SERIES_SQL}, b AS (SELECT account, min(first) AS begins FROM ser GROUP BY account),
+x AS (SELECT b.account, coalesce(c.cents, 0) AS cents, p.cents AS before FROM b JOIN ser p ON p.account = b.account AND p.first = {_REF} - INTERVAL 12 MONTH LEFT JOIN ser c ON c.account = b.account AND c.first = {_REF} WHERE begins <= {_REF} - INTERVAL 12 MONTH)
+SELECT account, CAST(cents AS BIGINT) AS cents, CAST(before AS BIGINT) AS before, CASE WHEN cents > before THEN 'notice' ELSE 'info' END AS level FROM x WHERE before > 0 AND abs(cents - before) * 10 >= before AND abs(cents - before) >= 500""")
+def against_last_year(spark, d):
+    """Accounts whose June of 1999 differs enough from that of 1998."""
+    return insights.against_last_year(_series(spark, d), F.lit("1999-06-01").cast("date"))
+
+
+_PAID_SQL = f"""{SERIES_SQL}, pay AS (SELECT account, id, day, cents, date_trunc('month', day) AS first, CAST(1 + id % 3 AS INTEGER) AS months, account % 4 = 0 AS seasonal, row_number() OVER (PARTITION BY account ORDER BY day, id) = 1 AND account % 5 = 0 AS starts FROM txn WHERE cents > 0)"""
+
+
+@query(f"""WITH {_PAID_SQL}, own AS (SELECT *, CAST(round_even(cents / months, 0) AS BIGINT) AS per FROM pay WHERE NOT starts),
+fl AS (SELECT id, cents, seasonal, CASE WHEN count(*) OVER w >= 2 THEN CAST(round_even(median(per) OVER w, 0) AS BIGINT) * months END AS usual FROM own WINDOW w AS (PARTITION BY account ORDER BY day, id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+se AS (SELECT o.id, o.cents, (SELECT coalesce(sum(s.cents), 0) FROM ser s WHERE s.account = o.account AND s.first >= o.first - INTERVAL 12 MONTH AND s.first < o.first - INTERVAL 12 MONTH + to_months(o.months)) AS usual
+  FROM own o WHERE seasonal AND o.first - INTERVAL 12 MONTH >= (SELECT min(first) FROM ser s WHERE s.account = o.account)),
+u AS (SELECT id, cents, usual FROM fl WHERE NOT seasonal UNION ALL SELECT id, cents, usual FROM se)
+SELECT id, CAST(usual AS BIGINT) AS usual, CASE WHEN cents >= 2 * usual THEN 'warning' ELSE 'notice' END AS level FROM u WHERE usual > 0 AND cents * 10 >= usual * 13""")
+def payments_above_usual(spark, d):
+    """Payments over one to three months, against earlier ones or, in seasonal accounts, against last year's months."""
+    w = Window.partitionBy("account").orderBy("day", "id")
+    starts = (F.row_number().over(w) == 1) & (F.col("account") % 5 == 0)
+    pay = txn(spark, d).filter("cents > 0").select("account", "id", "day", "cents", F.trunc("day", "MM").alias("first"), (F.col("id") % 3 + 1).cast("int").alias("months"), (F.col("account") % 4 == 0).alias("seasonal"), starts.alias("starts"))
+    return insights.unusual(pay, _series(spark, d))
+
+
+@query(f"""WITH {SERIES_SQL}, l AS (SELECT *, 12 - row_number() OVER (PARTITION BY account ORDER BY first DESC) AS i FROM ser QUALIFY i >= 0), f AS (SELECT account, sum(cents) AS total FROM l GROUP BY account HAVING count(*) = 12),
+s AS (SELECT a.account, a.month, a.i, sum(b.cents) AS cents FROM l a JOIN l b ON a.account = b.account AND (b.i - a.i + 12) % 12 < 5 GROUP BY ALL),
+k AS (SELECT s.account, month AS start_month, cents, total FROM s JOIN f USING (account) QUALIFY row_number() OVER (PARTITION BY s.account ORDER BY cents DESC, i) = 1)
+SELECT account, start_month, CAST(round_even(CAST(cents AS BIGINT) * 10000 / CAST(total AS BIGINT), 0) AS BIGINT) AS share FROM k WHERE total > 0 AND cents * 2 >= total""")
+def season_insights(spark, d):
+    """Accounts of which five months in a row hold half of a year's cost."""
+    return insights.seasons(_series(spark, d))
