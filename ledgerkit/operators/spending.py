@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,20 +79,67 @@ def nested_orders(txns: DataFrame, items: DataFrame) -> DataFrame:
     return txns.join(lines.withColumnRenamed("order_id", "id"), "id", "left")
 
 
-def search(txns: DataFrame, months: Sequence[str] | None = None, types: Sequence[str] | None = None, account: int | None = None, direction: str | None = None, limit: int = 2000) -> DataFrame:
-    """AND of the filters that are given; newest first, then by id; ``limit`` is the listing's page."""
+def in_months(day: str, months: Sequence[str]) -> Column:
+    """``day`` in one of the months (``yyyy-MM``), as ranges of days that reach the scan; neighbouring months are one range."""
+    out, numbers = F.lit(False), sorted({int(m[:4]) * 12 + int(m[5:7]) - 1 for m in months})
+    first = lambda n: F.lit(f"{n // 12:04d}-{n % 12 + 1:02d}-01").cast("date")
+    for i, n in enumerate(numbers):
+        if i == 0 or numbers[i - 1] != n - 1:
+            begin = n
+        if i + 1 == len(numbers) or numbers[i + 1] != n + 1:
+            out = out | ((F.col(day) >= first(begin)) & (F.col(day) < first(n + 1)))
+    return out
+
+
+def search(
+    txns: DataFrame, months: Sequence[str] | None = None, types: Sequence[str] | None = None, account: int | None = None, direction: str | None = None, limit: int = 2000, *,
+    id: int | None = None, posted: bool = False, flows: Sequence[str] | None = None, person: str | None = None, group: str | None = None,
+    categories: Sequence[str] | None = None, allocations: DataFrame | None = None, reviews: DataFrame | None = None,
+) -> DataFrame:
+    """AND of the filters that are given; newest first, then by id; ``limit`` is the listing's page.
+
+    ``id`` alone finds one row, whatever else is given. ``posted``: months are those of ``post_day``. ``flows``: flow kinds, or types of rows without one.
+    ``categories``: a row's own or that of any of its ``allocations``, or one below; "uncategorized" is spending without a category of its own.
+    ``reviews``: rows with an open one (ref_table, ref_id, status).
+    """
+    if id is not None:
+        return txns.filter(F.col("id") == id)
     out = txns
     if months:
-        out = out.filter(month(F.col("day")).isin(*months))
+        out = out.filter(in_months("post_day" if posted else "day", months))
     if types:
         out = out.filter(F.col("type").isin(*types))
     if account is not None:
         out = out.filter(F.col("account") == account)
     if direction:
         out = out.filter(F.col("cents") > 0 if direction == "out" else F.col("cents") < 0)
+    if flows:
+        out = out.filter(F.coalesce("flow_kind", "type").isin(*flows))
+    if person is not None:
+        out = out.filter(F.col("person") == person)
+    if group is not None:
+        out = out.filter(F.col("group") == group)
+    if categories:
+        out = of_categories(out, categories, allocations)
+    if reviews is not None:
+        open_ = reviews.filter("status = 'open' and ref_table = 'transactions'").select(F.col("ref_id").try_cast("long").alias("id")).distinct()
+        out = out.join(open_, "id", "left_semi")
     return out.orderBy(F.desc("day"), F.desc("id")).limit(limit)
 
 
+def of_categories(txns: DataFrame, categories: Sequence[str], allocations: DataFrame | None = None) -> DataFrame:
+    """Transactions in any of the categories: by own_category, or by any allocation. "uncategorized" takes spending without an own category, never payments or credits."""
+    named = [c.strip() for c in categories if c.strip() and c.strip() != UNCATEGORIZED]
+    wanted = lambda c: reduce(or_, [in_category(n, c) for n in named], F.lit(False))
+    hit = F.coalesce(wanted("own_category"), F.lit(False))
+    if any(c.strip() == UNCATEGORIZED for c in categories):
+        hit = hit | (F.col("type").isin(*SPENDING) & (F.coalesce("own_category", F.lit(UNCATEGORIZED)) == UNCATEGORIZED))
+    if allocations is None or not named:
+        return txns.filter(hit)
+    parts = allocations.filter(wanted("category")).select("id", F.lit(True).alias("__part")).distinct()
+    return txns.join(parts, "id", "left").filter(hit | F.coalesce("__part", F.lit(False))).drop("__part")
+
+
 def in_category(category: str, c: str = "category") -> Column:
     """The category itself or one below it."""
     return (F.col(c) == category) | F.col(c).startswith(category + ".")

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerkit.operators import evaluation, insights, invariants
+from ledgerkit.operators import evaluation, insights, invariants, spending
 from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, txn
 from ledgerkit.plans.queries import SERIES_SQL, _series, registrar
 
@@ -236,3 +236,21 @@ SELECT account, start_month, CAST(round_even(CAST(cents AS BIGINT) * 10000 / CAS
 def season_insights(spark, d):
     """Accounts of which five months in a row hold half of a year's cost."""
     return insights.seasons(_series(spark, d))
+
+
+# Listings.
+
+
+@query(f"""WITH {TXN_SQL}, t AS (SELECT *, day + CAST(id % 5 AS INTEGER) AS post_day, CASE id % 3 WHEN 0 THEN 'fee' WHEN 1 THEN 'p2p' END AS flow_kind, CASE id % 2 WHEN 0 THEN 'one' ELSE 'two' END AS person,
+  CASE id % 7 WHEN 0 THEN 'food.fish' WHEN 1 THEN 'uncategorized' WHEN 2 THEN 'foods' END AS own, CASE WHEN id % 11 = 0 THEN 'food' WHEN id % 11 = 1 THEN 'home' END AS part FROM txn)
+SELECT id FROM t WHERE (post_day BETWEEN DATE '1996-11-01' AND DATE '1997-02-28' OR post_day BETWEEN DATE '1998-05-01' AND DATE '1998-05-31') AND (flow_kind = 'p2p' OR flow_kind IS NULL AND type IN ('p2p', 'purchase')) AND person = 'two'
+AND (own = 'food' OR own LIKE 'food.%' OR part = 'food' OR type IN ('purchase', 'refund', 'fee', 'interest') AND coalesce(own, 'uncategorized') = 'uncategorized') AND id % 4 <> 1 ORDER BY day DESC, id DESC LIMIT 2000""")
+def filtered_search(spark, d):
+    """Transactions by posted month, flow, person, categories (split charges too) and open reviews together."""
+    pick = lambda n, *names: F.element_at(F.array(*[F.lit(x) for x in names], *[F.lit(None).cast("string")] * (n - len(names))), (F.col("id") % n + 1).cast("int"))
+    t = txn(spark, d).withColumns({"post_day": F.date_add("day", (F.col("id") % 5).cast("int")), "flow_kind": pick(3, "fee", "p2p"), "person": pick(2, "one", "two"), "own_category": pick(7, "food.fish", "uncategorized", "foods")})
+    parts = t.select("id", pick(11, "food", "home").alias("category")).filter("category is not null")
+    parts = parts.unionByName(parts)  # a charge may have several parts of a category
+    reviews = t.select(F.col("id").cast("string").alias("ref_id"), F.lit("transactions").alias("ref_table"), F.when(F.col("id") % 4 == 1, "closed").otherwise("open").alias("status"))
+    months = ["1997-02", "1996-11", "1996-12", "1997-01", "1998-05"]
+    return spending.search(t, months=months, posted=True, flows=["p2p", "purchase"], person="two", categories=["food", " uncategorized"], allocations=parts, reviews=reviews).select("id")
