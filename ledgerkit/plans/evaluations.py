@@ -7,8 +7,8 @@ import datetime
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerkit.operators import evaluation, insights, invariants, spending
-from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, txn
+from ledgerkit.operators import evaluation, insights, invariants, profiles, spending
+from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, table, txn
 from ledgerkit.plans.queries import SERIES_SQL, _series, registrar
 
 QUERIES: dict = {}
@@ -254,3 +254,24 @@ def filtered_search(spark, d):
     reviews = t.select(F.col("id").cast("string").alias("ref_id"), F.lit("transactions").alias("ref_table"), F.when(F.col("id") % 4 == 1, "closed").otherwise("open").alias("status"))
     months = ["1997-02", "1996-11", "1996-12", "1997-01", "1998-05"]
     return spending.search(t, months=months, posted=True, flows=["p2p", "purchase"], person="two", categories=["food", " uncategorized"], allocations=parts, reviews=reviews).select("id")
+
+
+# Profiles: suppliers as cards, their lines as statements of documents.
+
+
+@query("""WITH l AS (SELECT l_suppkey AS card, l_linenumber = 1 AND l_orderkey % 150 = 0 AS base, l_returnflag <> 'R' AS verified, CAST(l_quantity AS INTEGER) AS rate, l_partkey % 5 AS a, l_partkey % 3 AS b FROM lineitem),
+ru AS (SELECT DISTINCT card, CASE WHEN base THEN 'base:' ELSE 'rule:' END || 'categories=' || CASE WHEN a = b THEN 'c' || a ELSE 'c' || least(a, b) || ',c' || greatest(a, b) END || ';channel' || CASE WHEN a = 1 THEN '=online' ELSE '' END || ';merchants=;rate=' || rate AS t, NOT base AS later FROM l WHERE verified),
+rs AS (SELECT card, list(t ORDER BY later, t) AS rules, count(*) FILTER (NOT later) AS bases FROM ru GROUP BY card), d AS (SELECT card, count(*) FILTER (NOT verified) AS dropped FROM l GROUP BY card),
+f AS (SELECT s_suppkey AS card, CASE WHEN s_suppkey % 7 > 0 THEN 9500 END AS annual, CASE WHEN s_suppkey % 11 > 0 THEN 300 END AS abroad FROM supplier)
+SELECT f.card, CASE WHEN annual IS NULL THEN 'annual fee' WHEN abroad IS NULL THEN 'foreign fee' WHEN coalesce(bases, 0) <> 1 THEN 'base rule' ELSE 'ok' END AS state, coalesce(len(rules), 0) AS n_rules, coalesce(dropped, 0) AS dropped,
+CASE WHEN annual IS NOT NULL AND abroad IS NOT NULL AND bases = 1 THEN sha256(annual || chr(10) || abroad || chr(10) || array_to_string(rules, chr(10)) || chr(10) || 'cents=500;name=gift;period=year') END AS content_hash FROM f LEFT JOIN rs USING (card) LEFT JOIN d USING (card)""")
+def card_profiles(spark, d):
+    """Profiles with hashes of their canonical text; the rows come in any order."""
+    li = table(spark, d, "lineitem")
+    c = lambda n: F.concat(F.lit("c"), F.col("l_partkey") % n)
+    rules = li.select(F.col("l_suppkey").alias("card"), F.expr("l_linenumber = 1 and l_orderkey % 150 = 0").alias("is_base"), F.col("l_quantity").cast("int").alias("rate"), F.array(c(5), c(3), c(5)).alias("categories"), F.array().cast("array<string>").alias("merchants"), F.when(F.col("l_partkey") % 5 == 1, "online").alias("channel"), (F.col("l_returnflag") != "R").alias("verified"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("card"))
+    part = lambda name, value, n: F.struct(F.lit(name).alias("part"), F.lit(value).alias("value"), (F.col("card") % n > 0).alias("verified"))
+    fees = s.select("card", F.explode(F.array(part("annual", 9500, 7), part("foreign", 300, 11))).alias("p")).select("card", "p.*")
+    credits = s.select("card", F.lit("gift").alias("name"), F.lit(500).alias("cents"), F.lit("year").alias("period"), F.lit(True).alias("verified"))
+    return profiles.compose(fees, rules.orderBy(F.rand(3)), credits).select("card", "state", F.size("rules").alias("n_rules"), "dropped", "content_hash")
