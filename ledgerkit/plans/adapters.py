@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerkit.operators import series
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,3 +55,14 @@ def bank(spark: SparkSession, sf_dir: str) -> DataFrame:
 BANK_SQL = """bank AS (SELECT event_id AS id, user_id AS account, CAST(ts AS DATE) AS day,
   CAST(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE -1 END * round(value * 100) AS BIGINT) AS cents,
   event_type AS bank_type, props FROM events)"""
+
+
+SERIES_SQL = f"""{TXN_SQL}, span AS (SELECT account, date_trunc('month', min(day)) AS a, date_trunc('month', max(day)) AS b FROM txn GROUP BY account),
+spine AS (SELECT account, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS first FROM span),
+sums AS (SELECT account, CAST(date_trunc('month', day) AS DATE) AS first, sum(cents) AS cents FROM txn GROUP BY ALL),
+ser AS (SELECT spine.account, spine.first, strftime(spine.first, '%Y-%m') AS month, CAST(coalesce(cents, 0) AS BIGINT) AS cents FROM spine LEFT JOIN sums USING (account, first))"""
+
+
+def monthly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every account's sums by month, without gaps."""
+    return series.monthly(txn(spark, sf_dir))

@@ -9,7 +9,7 @@ from ledgerkit.functions import extract
 from ledgerkit.operators import orders as matching_orders
 from ledgerkit.operators import terms
 from ledgerkit.plans.adapters import BANK_SQL, TXN_SQL, bank, cents, table, txn
-from ledgerkit.plans.queries import registrar
+from ledgerkit.plans.registration import registrar
 from ledgerkit.sources import orders, registry, statements
 
 QUERIES: dict = {}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerkit.operators import evaluation, insights, invariants, profiles, spending
 from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, item, table, txn
-from ledgerkit.plans.queries import SERIES_SQL, _series, registrar
+from ledgerkit.plans.adapters import SERIES_SQL
+from ledgerkit.plans.adapters import monthly_series as _series
+from ledgerkit.plans.registration import registrar
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -8,25 +8,13 @@ from ledgerkit.functions import money, text
 from ledgerkit.operators import classify, ingest, knowledge, matching, reconcile, rewards, series, spending, split, statements, views
 from ledgerkit.operators.classify import Rule
 from ledgerkit.sources import exports
-from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, TXN_SQL, bank, cents, item, table, txn
+from ledgerkit.plans import documents, evaluations
+from ledgerkit.plans.adapters import BANK_SQL, ITEM_SQL, SERIES_SQL, TXN_SQL, bank, cents, item, table, txn
+from ledgerkit.plans.adapters import monthly_series as _series
+from ledgerkit.plans.registration import registrar
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def registrar(queries: dict, oracle: dict[str, str]):
-    """A decorator that registers a query, with its SQL twin where it has one."""
-
-    def query(sql: str | None = None):
-        def add(f):
-            queries[f.__name__] = f
-            if sql:
-                oracle[f.__name__] = sql
-            return f
-
-        return add
-
-    return query
+QUERIES: dict = documents.QUERIES | evaluations.QUERIES
+ORACLE: dict[str, str] = documents.ORACLE | evaluations.ORACLE
 
 
 query = registrar(QUERIES, ORACLE)
@@ -477,16 +465,6 @@ def rewards_check(spark, d):
 
 # Series
 
-SERIES_SQL = f"""{TXN_SQL}, span AS (SELECT account, date_trunc('month', min(day)) AS a, date_trunc('month', max(day)) AS b FROM txn GROUP BY account),
-spine AS (SELECT account, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS DATE) AS first FROM span),
-sums AS (SELECT account, CAST(date_trunc('month', day) AS DATE) AS first, sum(cents) AS cents FROM txn GROUP BY ALL),
-ser AS (SELECT spine.account, spine.first, strftime(spine.first, '%Y-%m') AS month, CAST(coalesce(cents, 0) AS BIGINT) AS cents FROM spine LEFT JOIN sums USING (account, first))"""
-
-
-def _series(spark, d):
-    return series.monthly(txn(spark, d))
-
-
 @query(f"WITH {SERIES_SQL} SELECT account, month, cents FROM ser")
 def monthly_series(spark, d):
     return _series(spark, d).select("account", "month", "cents")

@@ -1,4 +1,4 @@
-"""Insights at their thresholds, by hand; their queries are compared with DuckDB beside those of the evaluation."""
+"""Insights at their thresholds, by hand; their queries are compared with DuckDB beside all others."""
 
 import datetime
 

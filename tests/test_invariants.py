@@ -1,4 +1,4 @@
-"""Digests, snapshots and link rules by hand; their queries are compared with DuckDB beside those of the evaluation."""
+"""Digests, snapshots and link rules by hand; their queries are compared with DuckDB beside all others."""
 
 import datetime
 
