@@ -1,13 +1,13 @@
 """Exact deduplication by deterministic block naming.
 
 Every normalised text is cut into fixed-size byte blocks. Distinct blocks are sorted and numbered, so
-a block becomes an integer, its rank among all; adjacent integers are paired, distinct pairs are sorted and numbered
+a block becomes an integer, its rank among all; up to 64 adjacent integers make a run, distinct runs are sorted and numbered
 again, and so on until one integer is left. Two texts of as many blocks have the same integer exactly
 when they are equal: names stand for contents, not for hashes, so nothing can collide. A name depends on the
 texts alone, not on how rows are partitioned.
 
 Scale: text is shuffled after map-side combining to find the distinct blocks, and these once more to sort them. The
-rounds after that move pairs of integers whose number halves each time. A block that a third of all rows share is
+rounds after that move runs of integers, of which there are 64 times fewer each time. A block that a third of all rows share is
 combined before the shuffle. Ranks come from counts by partition of the sort. Names are written out before use, so a lost executor can't change them.
 
 Defined results: null text equals empty text; a null ``doc_id`` counts as larger than any other;
@@ -24,6 +24,8 @@ from ledgerkit.llm.common import WS_PATTERN, discard, keyed, limited, materialis
 
 #: Bytes of a block.
 BLOCK_BYTES = 4096
+#: Adjacent names that are named together.
+RUN = 64
 
 
 def normalised(text: str = "text"):
@@ -44,7 +46,7 @@ def _ranked(distinct: DataFrame, cols: list[str], keep: list[str], what: str) ->
     numbered = materialise(distinct.orderBy(*cols).select(*keep, F.monotonically_increasing_id().alias("place")), what)
     part = F.shiftright("place", 33)
     before, offsets = 0, []
-    for r in numbered.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
+    for r in sorted(numbered.groupBy(part.alias("part")).count().collect()):  # a row for each partition of the sort
         offsets.append((r[0], before))
         before += r[1]
     offset = F.broadcast(distinct.sparkSession.createDataFrame(offsets, "part int, offset long"))
@@ -83,16 +85,16 @@ def identities(docs: DataFrame, key: str, block_bytes: int = BLOCK_BYTES) -> Dat
         done = ended if done is None else done.unionByName(ended)
         if longest <= 1:
             break
-        pairs = materialise(
+        runs = materialise(
             current.filter("n > 1")
-            .groupBy("k", F.expr("pos div 2").cast("int").alias("pos"), F.expr("(n + 1) div 2").cast("int").alias("n"))
-            .agg(F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))).alias("l"), F.coalesce(F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))), F.lit(-1)).alias("r")),
-            "dedup-pairs",
+            .groupBy("k", F.expr(f"pos div {RUN}").cast("int").alias("pos"), F.expr(f"(n + {RUN - 1}) div {RUN}").cast("int").alias("n"))
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("run")),
+            "dedup-runs",
         )
-        names = _ranked(pairs.select("l", "r").distinct(), ["l", "r"], ["l", "r"], "dedup-names")
-        current = materialise(pairs.join(names, ["l", "r"]).select("k", "pos", "name", "n"), "dedup-level")
-        used.append(pairs)
-        longest = (longest + 1) // 2
+        names = _ranked(runs.select("run").distinct(), ["run"], ["run"], "dedup-names")
+        current = materialise(runs.join(names, "run").select("k", "pos", "name", "n"), "dedup-level")
+        used.append(runs)
+        longest = (longest + RUN - 1) // RUN
     discard(*used)
     return skeleton.select("k", "doc_id", "sha", F.size("hashes").alias("n_blocks")).join(done, "k")
 

@@ -147,11 +147,18 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
             row[p] = c
         return out
 
+    def units(v):
+        """A few rows at a time, as what the driver holds besides the result counts too."""
+        out = np.empty((len(v), DIMENSIONS), np.float32)
+        for at in range(0, len(v), 256):
+            out[at : at + 256] = unit(dense(v[at : at + 256]), idf)
+        return out
+
     langs, centres = [], []
     for lang in sorted(got):
         # Bytes order the rows, so that the fit doesn't depend on the order in which tasks end.
         got[lang].sort(key=lambda pc: (len(pc[0]), pc[0].tobytes(), pc[1].tobytes()))
-        c = cluster(unit(dense(got[lang]), idf), clusters)
+        c = cluster(units(got[lang]), clusters)
         langs += [lang] * len(c)
         centres.append(c.astype(np.float32))
     centres = np.concatenate(centres)
