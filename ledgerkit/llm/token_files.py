@@ -2,7 +2,8 @@
 
 A file set is a Parquet table of segments (``part``, ``seg``, ``n_docs``, ``n_tokens``, ``payload``); the
 payload is the coder's own format (see ``range_coder``). Order: by part, then seg, then within the
-payload. Segments hold whole documents and are closed at ``SEGMENT`` ids.
+payload. Segments hold whole documents and are closed at ``SEGMENT`` ids; at the end
+of a part, a rest of up to half of that joins the segment before it, as few blocks cost nearly as much as many.
 
 Scale: one range shuffle of the texts by doc_id puts neighbours together; every task then codes its part
 alone. Starts come from totals of parts and segments, never from rows. Files are read segment by segment.
@@ -36,9 +37,9 @@ _SEGMENTS = "part int, seg int, n_docs long, n_tokens long, payload binary"
 def _encode(name: str, end_id: int, segment: int):
     def run(batches):
         part, seg = TaskContext.get().partitionId(), 0
-        keys, lengths, ids = [], [], []
+        keys, lengths, ids, waiting = [], [], [], None
 
-        def close():
+        def close(keys, lengths, ids):
             n = np.concatenate(lengths)
             data = encode_segment([k for some in keys for k in some.to_pylist()], n, np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (seg, pa.int32()), (len(n), pa.int64()), (int(n.sum()), pa.int64()), (data, pa.binary()))], names=["part", "seg", "n_docs", "n_tokens", "payload"])
@@ -59,11 +60,16 @@ def _encode(name: str, end_id: int, segment: int):
                 ids.append(coded[starts[at] : starts[end]])
                 size += int(starts[end] - starts[at])
                 at = end
+                if waiting and size > segment // 2:
+                    yield close(*waiting)
+                    waiting, seg = None, seg + 1
                 if size >= segment:
-                    yield close()
-                    keys, lengths, ids, size, seg = [], [], [], 0, seg + 1
+                    waiting = keys, lengths, ids
+                    keys, lengths, ids, size = [], [], [], 0
+        if waiting:
+            keys, lengths, ids = (a + b for a, b in zip(waiting, (keys, lengths, ids)))
         if keys:
-            yield close()
+            yield close(keys, lengths, ids)
 
     return run
 
