@@ -7,21 +7,20 @@ Model of a block. Three predictors give the next id a probability each, and the
 their mixture ``P = l2 P2 + (1 - l2) l1 P1 + (1 - l2) (1 - l1) P0``:
 
 * order 2, P2: the id that last followed the same two ids; order 1, P1: the one that last followed the same id.
-  Each has a count of how often in a row it was right. The weights l2 and l1 are adaptive probabilities of
-  being right, kept apart by that count.
-* order 0, P0: ids are ranked by how often the segment has them, and ranks are grouped in classes that widen. The
-  probability of a class adapts within the block (its counts enter every ``PERIOD`` ids), that of an id within its class is
-  the segment's. Every block starts from the segment's figures, which stand in its head with a checksum.
+  Each has a state: new, or how often in a row it was right. The weights l2 and l1 are adaptive probabilities of
+  being right, kept apart by that state.
+* order 0, P0: the segment's shares of ids, which stand in its head with a checksum. Ids are ranked by them.
 
 The mixture has running sums in closed form (those of order 0, plus a weight on either side of a guess), so
-an id costs one coding step and no search over ids.
+an id costs one coding step and no search over ids. Its sums are whole numbers below 2**30.
 
-Coder. A carryless range coder of 64 bits that emits 16-bit words. Blocks are coded in step with each
+Coder. The range variant of asymmetric numeral systems: a state of 63 bits and words of 32, coded from a block's last
+id to its first and read the other way, so that reading takes no division. Blocks are coded in step with each
 other: one numpy operation codes one symbol in every block of the segment.
 
 Layout (little-endian): magic, version, block length, documents, ids, blocks, bytes and CRC-32 of the id table; for each
 document id, whether it is null, and its number of ids; the id table (compressed: number of ids, ids by rank, their
-shares of their class, shares of the classes); for each block its number of ids, words and CRC-32; then the words.
+shares); for each block its number of ids, words and CRC-32; then the words.
 """
 
 from __future__ import annotations
@@ -31,208 +30,89 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION, BLOCK = b"LKAC", 2, 2048
+MAGIC, VERSION, BLOCK = b"LKAC", 3, 2048
 _HEAD = struct.Struct("<4sBIQQIII")
 _U = np.uint64
-_TOP, _BOT, _WORD, _HIGH = _U(1 << 48), _U(1 << 40), _U(16), _U(48)
-_ONE, _ZERO, _ALL = _U(1), _U(0), _U((1 << 64) - 1)
-#: Contexts of a predictor in a block: small enough that the tables of a segment stay in the processor's cache.
-_BITS = 8
 _ANY = 1 << 16
 MOST_IDS = _ANY - 1
-#: Growth of the classes' widths, and the sum of the shares within a class: no class has as many ids.
-_WIDER, _SHARE_BITS = 1.4, 15
-#: Classes' counts: their sum at the start, and what an id adds. They enter the probabilities in 4096ths.
-_START, _ADD, _CLASS_BITS = 512, 8, 12
-#: Ids after which a block's counts enter its probabilities.
-PERIOD = 64
-#: Weights are in 4096ths; they move by a sixteenth of the error. First weights by how often in a row a guess was right.
-_UNIT, _RATE = 4096, 4
-_FIRST = np.array([600, 1800, 2800, 3400], np.int32)
-_NEXT, _WHOLE = np.array([1, 2, 3, 3], np.int32), np.int32(_UNIT)
-#: Sum of the mixture's frequencies: weights x classes x shares.
-_TOTAL_BITS = 12 + _CLASS_BITS + _SHARE_BITS
-_SHARE, _PLACES = float(1 << _SHARE_BITS), float(1 << _TOTAL_BITS)
+#: Contexts of a predictor in a block: small enough that the tables of a segment stay in the processor's cache.
+_BITS = 8
+#: States of a context: 0 new, 1 wrong, then right once, twice, ... in a row.
+_STATE_BITS = 3
+_LAST = (1 << _STATE_BITS) - 1
+#: Weights are in 4096ths; they move by a 32nd of the error. First weights of orders 1 and 2 by state.
+_UNIT_BITS, _RATE = 12, 5
+_FIRST = np.array([[150, 220, 1150, 2400, 2900, 3000, 3400, 3950], [150, 120, 1000, 2700, 3300, 3400, 3600, 4000]], np.int32)
+#: Sum of the shares of ids, and of the mixture's frequencies: weights x shares.
+_SHARE_BITS = 18
+_TOTAL_BITS = _UNIT_BITS + _SHARE_BITS
+#: A coder's state lies from here to 2**32 times as much.
+_LEAST, _WORD = _U(1 << 31), _U(32)
 
 
 class _Table:
     """The segment's order-0 figures, by rank."""
 
-    def __init__(self, ids: np.ndarray, shares: np.ndarray, start: np.ndarray):
-        self.ids, self.start = ids, start.astype(np.int32)
-        self.of_rank = _classes(len(ids)).astype(np.int32)
-        first = np.searchsorted(self.of_rank, np.arange(len(start)))
-        before = np.cumsum(shares) - shares
-        # Figures of the mixture are whole numbers below 2**53, so that float64 holds and adds them exactly.
-        self.shares, self.before = shares.astype(np.float64), (before - before[first][self.of_rank]).astype(np.float64)
-        self.rank_at = np.repeat(np.arange(len(ids), dtype=np.uint16), shares)  # by class and place within its shares
+    def __init__(self, ids: np.ndarray, shares: np.ndarray):
+        self.ids, self.shares = ids.astype(np.uint16), shares.astype(np.int32)
+        self.before = (np.cumsum(shares) - shares).astype(np.int32)
+        self.rank_at = np.repeat(np.arange(len(ids), dtype=np.uint16), shares)
 
     @classmethod
     def fitted(cls, ids: np.ndarray) -> "_Table":
         counts = np.bincount(ids)
         there = np.flatnonzero(counts)
         there = there[np.argsort(-counts[there], kind="stable")]
-        n = counts[there]
-        of_rank = _classes(len(there))
-        mass, size = np.bincount(of_rank, n).astype(np.int64), np.bincount(of_rank)
-        shares = 1 + ((1 << _SHARE_BITS) - size)[of_rank] * n // mass[of_rank]
-        first = np.searchsorted(of_rank, np.arange(len(mass)))
-        shares[first] += (1 << _SHARE_BITS) - np.bincount(of_rank, shares).astype(np.int64)
-        return cls(there, shares, 1 + _START * mass // len(ids))
+        shares = 1 + ((1 << _SHARE_BITS) - len(there)) * counts[there] // len(ids)
+        shares[0] += (1 << _SHARE_BITS) - shares.sum()
+        return cls(there, shares)
 
     def pack(self) -> bytes:
-        return zlib.compress(struct.pack("<I", len(self.ids)) + self.ids.astype("<u2").tobytes() + self.shares.astype("<u2").tobytes() + self.start.astype("<u2").tobytes())
+        return zlib.compress(struct.pack("<I", len(self.ids)) + self.ids.astype("<u2").tobytes() + self.shares.astype("<u4").tobytes())
 
     @classmethod
     def unpack(cls, data: bytes) -> "_Table":
         raw = zlib.decompress(data)
         n = struct.unpack_from("<I", raw)[0]
-        every = np.frombuffer(raw, "<u2", -1, 4)
-        return cls(every[:n].astype(np.int64), every[n : 2 * n].astype(np.int64), every[2 * n :])
-
-
-def _classes(n: int) -> np.ndarray:
-    """Class of each of n ranks."""
-    widths, total = [], 0
-    while total < n:
-        widths.append(max(1, int(_WIDER ** len(widths))))
-        total += widths[-1]
-    return np.repeat(np.arange(len(widths)), widths)[:n]
+        return cls(np.frombuffer(raw, "<u2", n, 4), np.frombuffer(raw, "<u4", n, 4 + 2 * n).astype(np.int64))
 
 
 class _Model:
-    """State of all blocks of a segment; a row of each table belongs to a block. Guesses are ranks."""
+    """State of all blocks of a segment. Arrays of two rows are those of orders 1 and 2; guesses are ranks."""
 
     def __init__(self, lanes: int, table: _Table):
-        self.table, self.classes = table, len(table.start)
-        self.t2, self.t1 = np.zeros(lanes << _BITS, np.int32), np.zeros(lanes << _BITS, np.int32)  # 4 * (rank + 1) + times right in a row
-        self.l2, self.l1 = np.tile(_FIRST, lanes), np.tile(_FIRST, lanes)
-        self.counts = np.tile(table.start, (lanes, 1))
-        self.flat = self.counts.reshape(-1)
-        self.sums = np.zeros((lanes, self.classes + 1))
-        self.flat_sums, self.least = self.sums.reshape(-1), np.arange(self.classes + 1.0)
-        lane = np.arange(lanes)
-        self.base, self.row4, self.row_c, self.row_s = lane << _BITS, lane << 2, lane * self.classes, lane * (self.classes + 1)
-        self.prev1, self.mixed = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.last = self.row_s + self.classes - 1
-        self.halves = [1 << i for i in reversed(range((self.classes - 1).bit_length()))]
-        self.step = 0
+        self.table = table
+        row = np.arange(2 * lanes).reshape(2, lanes)
+        self.base, self.row = row << _BITS, row << _STATE_BITS
+        self.entries = np.zeros(2 * lanes << _BITS, np.uint16 if len(table.ids) <= 1 << 16 - _STATE_BITS else np.uint32)  # a context's guess and its state
+        self.weights = np.repeat(_FIRST, lanes, axis=0).reshape(-1)
+        self.hashed, self.mixed = np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self, k: int):
-        """For the first k blocks: weights of orders 0, 1 and 2; those of 1 and 2 in the mixture's frequencies."""
-        if self.step % PERIOD == 0:
-            sums = np.cumsum(self.counts, axis=1, dtype=np.float64)
-            self.sums[:, 1:] = np.floor(sums * (((1 << _CLASS_BITS) - self.classes) / sums[:, -1:])) + self.least[1:]
-        self.step += 1
-        hashed = self.prev1[:k] * np.uint32(2654435769)
-        self.at1 = self.base[:k] + (hashed >> np.uint32(32 - _BITS))
-        self.at2 = self.base[:k] + ((hashed ^ self.mixed[:k]) >> np.uint32(32 - _BITS))
-        self.mixed[:k] = self.prev1[:k] * np.uint32(2246822519)
-        self.e1, self.e2 = self.t1.take(self.at1, mode="clip"), self.t2.take(self.at2, mode="clip")
-        self.often1, self.often2 = self.e1 & 3, self.e2 & 3
-        self.w1, self.w2 = self.row4[:k] + self.often1, self.row4[:k] + self.often2
-        self.g1, self.g2 = (self.e1 >> 2) - 1, (self.e2 >> 2) - 1
-        self.weight1, self.weight2 = self.l1.take(self.w1, mode="clip"), self.l2.take(self.w2, mode="clip")
-        m2 = self.weight2 * (self.e2 > 0)
-        rest = _UNIT - m2
-        m1 = rest * (self.weight1 * ((self.e1 > 0) & (self.g1 != self.g2))) >> 12
-        return (rest - m1).astype(np.float64), m1 * (_PLACES / _UNIT), m2 * (_PLACES / _UNIT)
-
-    def order0(self, blocks, rank: np.ndarray):
-        """(sum before a rank, its share) by order 0, in some blocks."""
-        at = self.row_s[blocks] + self.table.of_rank.take(rank, mode="clip")
-        before = self.flat_sums.take(at, mode="clip")
-        n = self.flat_sums.take(at + 1, mode="clip") - before
-        return before * _SHARE + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
-
-    def find0(self, k: int, place: np.ndarray):
-        """(the rank at a place of order 0's sums, sum before it, its share)."""
-        wanted, row = np.floor(place / _SHARE), self.row_s[:k]
-        at = row
-        for step in self.halves:
-            there = np.minimum(at + step, self.last[:k])
-            at = np.where(self.flat_sums.take(there, mode="clip") <= wanted, there, at)
-        before = self.flat_sums.take(at, mode="clip")
-        n = self.flat_sums.take(at + 1, mode="clip") - before
-        before *= _SHARE
-        within = np.minimum((place - before) / n, _SHARE - 1).astype(np.int64)
-        rank = self.table.rank_at.take((at - row << _SHARE_BITS) + within, mode="clip").astype(np.int32)
-        return rank, before + n * self.table.before.take(rank, mode="clip"), n * self.table.shares.take(rank, mode="clip")
+        """For the first k blocks: guesses; weight of order 0; those of orders 1 and 2 in the mixture's frequencies."""
+        self.at = self.base[:, :k] + (self.hashed[:, :k] >> np.uint32(32 - _BITS))
+        entry = self.entries.take(self.at, mode="clip").astype(np.int32)
+        self.state, self.guess = entry & _LAST, entry >> _STATE_BITS
+        self.which = self.row[:, :k] + self.state
+        self.weight = self.weights.take(self.which, mode="clip")
+        m = self.weight.copy()
+        rest = (1 << _UNIT_BITS) - m[1]
+        m[0] = m[0] * rest >> _UNIT_BITS
+        return self.guess, rest - m[0], m << _SHARE_BITS
+
+    def order0(self, rank: np.ndarray, m0: np.ndarray):
+        """(sum before a rank, its share) by order 0 in the mixture."""
+        return self.table.before.take(rank, mode="clip") * m0, self.table.shares.take(rank, mode="clip") * m0
 
     def learn(self, k: int, rank: np.ndarray):
-        after = rank + 1
-        for table, at, entry, often, guess, weights, weight, w in ((self.t1, self.at1, self.e1, self.often1, self.g1, self.l1, self.weight1, self.w1), (self.t2, self.at2, self.e2, self.often2, self.g2, self.l2, self.weight2, self.w2)):
-            right = guess == rank
-            weights[w] = weight + ((right * _WHOLE - weight >> _RATE) * (entry > 0))
-            table[at] = (after << 2) + right * _NEXT.take(often, mode="clip")
-        self.flat[self.row_c[:k] + self.table.of_rank.take(rank, mode="clip")] += _ADD
-        self.prev1[:k] = after
-
-
-class _Coder:
-    """Interval of each block: 64 bits of low end and of width; ``settle`` passes on words that can't change."""
-
-    def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-
-    def settle(self, k: int):
-        low, rng, at = self.low[:k], self.range[:k], None
-        while True:
-            shift = (low ^ (low + rng)) < _TOP
-            narrow = rng < _BOT
-            narrow &= ~shift
-            if narrow.any():
-                rng[narrow] = (_ZERO - low[narrow]) & (_BOT - _ONE)
-                shift |= narrow
-            some = shift.nonzero()[0]
-            if not len(some):
-                if at is not None:
-                    self.low[at], self.range[at] = low, rng
-                return
-            if at is not None and len(some) < len(at):
-                self.low[at], self.range[at] = low, rng
-            at, low, rng = (some if at is None else at[some]), low[some], rng[some]
-            self.move(at, low)
-            low <<= _WORD
-            rng <<= _WORD
-
-
-class _Writer(_Coder):
-    def __init__(self, lanes: int):
-        super().__init__(lanes)
-        self.lane_type = np.uint16 if lanes <= 1 << 16 else np.uint32
-        self.sent: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def move(self, at, low):
-        self.sent.append((at.astype(self.lane_type), (low >> _HIGH).astype(np.uint16)))
-
-    def code(self, k, start, size):
-        rng = self.range[:k] >> _U(_TOTAL_BITS)
-        self.low[:k] += rng * start.astype(np.uint64)
-        self.range[:k] = rng * size.astype(np.uint64)
-        self.settle(k)
-
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """(words of all blocks, block by block; number of words of each)."""
-        every = np.arange(len(self.low))
-        for i in range(4):
-            self.move(every, self.low << _U(16 * i))
-        lanes, words = (np.concatenate(x) for x in zip(*self.sent))
-        return words[np.argsort(lanes, kind="stable")], np.bincount(lanes, minlength=len(every))
-
-
-class _Reader(_Coder):
-    def __init__(self, words: np.ndarray, starts: np.ndarray):
-        super().__init__(len(starts))
-        self.words, self.at, self.value = words, starts.copy(), np.zeros(len(starts), np.uint64)
-        for _ in range(4):
-            self.value = (self.value << _WORD) | self.words[self.at]
-            self.at += 1
-
-    def move(self, at, low):
-        # Words of a damaged block may run out; what comes then fails the checksum.
-        self.value[at] = (self.value[at] << _WORD) | self.words[np.minimum(self.at[at], len(self.words) - 1)]
-        self.at[at] += 1
+        right = self.guess == rank
+        self.weights[self.which] = self.weight + ((right * np.int32(1 << _UNIT_BITS)) - self.weight >> _RATE)
+        self.entries[self.at] = (rank << _STATE_BITS) + 1 + right * np.minimum(self.state, _LAST - 1)
+        after = rank.astype(np.uint32) + np.uint32(1)
+        hashed = self.hashed[:, :k]
+        np.multiply(after, np.uint32(2654435769), out=hashed[0])
+        np.bitwise_xor(hashed[0], self.mixed[:k], out=hashed[1])
+        np.multiply(after, np.uint32(2246822519), out=self.mixed[:k])
 
 
 def _lengths(n: int, block: int) -> np.ndarray:
@@ -248,54 +128,70 @@ def _encode_blocks(ids: np.ndarray, block: int, table: _Table) -> tuple[np.ndarr
     padded = np.zeros(lanes * steps, np.uint16)
     padded[: len(ids)] = rank_of[ids]
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    model, out = _Model(lanes, table), _Writer(lanes)
+    model = _Model(lanes, table)
+    starts, sizes = np.empty((2, steps, lanes), np.int32)
     for t in range(steps):
         k = lanes if t < lengths[-1] else lanes - 1
         now = grid[t, :k].astype(np.int32)
-        m0, m1, m2 = model.predict(k)
-        before, share = model.order0(slice(k), now)
-        start = m0 * before + m2 * (model.g2 < now) + m1 * (model.g1 < now)
-        size = m0 * share + m2 * (model.g2 == now) + m1 * (model.g1 == now)
-        out.code(k, start, size)
+        guess, m0, m = model.predict(k)
+        before, share = model.order0(now, m0)
+        below, same = m * (guess < now), m * (guess == now)
+        np.add(before + below[0], below[1], out=starts[t, :k])
+        np.add(share + same[0], same[1], out=sizes[t, :k])
         model.learn(k, now)
-    return out.close()
+    state, sent = np.full(lanes, _LEAST), []
+    lane_type = np.uint16 if lanes <= 1 << 16 else np.uint32
+    for t in reversed(range(steps)):
+        k = lanes if t < lengths[-1] else lanes - 1
+        x, size = state[:k], sizes[t, :k].astype(np.uint64)
+        full = (x >> _U(63 - _TOTAL_BITS) >= size).nonzero()[0]
+        now = x[full]
+        sent.append((full.astype(lane_type), now.astype(np.uint32)))
+        x[full] = now >> _WORD
+        times = x // size
+        x += times * (_U(1 << _TOTAL_BITS) - size) + starts[t, :k].astype(np.uint64)
+    every = np.arange(lanes, dtype=lane_type)
+    sent += [(every, state.astype(np.uint32)), (every, (state >> _WORD).astype(np.uint32))]
+    which, words = (np.concatenate(x) for x in zip(*reversed(sent)))
+    return words[np.argsort(which, kind="stable")], np.bincount(which, minlength=lanes)
 
 
 def _decode_blocks(words: np.ndarray, counts: np.ndarray, lengths: np.ndarray, table: _Table) -> np.ndarray:
     lanes, steps = len(lengths), int(lengths[0])
     grid = np.zeros((steps, lanes), np.uint16)
     model = _Model(lanes, table)
-    source = _Reader(words, np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64))
+    at = np.r_[0, np.cumsum(counts)[:-1]].astype(np.int64)
+    state = words.take(at, mode="clip").astype(np.uint64) << _WORD | words.take(at + 1, mode="clip")
+    at += 2
     for t in range(steps):
         k = lanes if t < lengths[-1] else lanes - 1
-        m0, m1, m2 = model.predict(k)
-        low = source.low[:k]
-        r = source.range[:k] >> _U(_TOTAL_BITS)
-        place = np.minimum((source.value[:k] - low) // r, _U((1 << _TOTAL_BITS) - 1)).astype(np.float64)
-        # Most blocks have no guess of order 2: figures are computed where there is one.
-        starts, sizes = [], []
-        for guess, m, other, m_other in ((model.g2, m2, model.g1, m1), (model.g1, m1, model.g2, m2)):
-            at = m.nonzero()[0]
-            some, few = guess[at], m0[at]
-            before, share = model.order0(at, some)
-            start, size = np.full(k, _PLACES * 2), np.zeros(k)
-            start[at] = few * before + m_other[at] * (other[at] < some)
-            size[at] = few * share + m[at]
-            starts.append(start)
-            sizes.append(size)
-        (start2, start1), (size2, size1) = starts, sizes
-        beyond2, beyond1 = place >= start2 + size2, place >= start1 + size1
-        is2, is1 = ~beyond2 & (place >= start2), ~beyond1 & (place >= start1)
+        guess, m0, m = model.predict(k)
+        x = state[:k]
+        place = (x & _U((1 << _TOTAL_BITS) - 1)).astype(np.int32)
+        start, size = model.order0(guess, m0)
+        start += m[::-1] * (guess[::-1] < guess)
+        size += m
+        size[1] += m[0] * (guess[0] == guess[1])
+        beyond = place >= start + size
+        hit = (place >= start) ^ beyond
         # Without the guesses' weights that lie before it, the place is one of order 0.
-        shift = m2 * beyond2 + m1 * beyond1
-        now, before, share = model.find0(k, np.floor((place - shift) / m0))
-        start, size = m0 * before + shift, m0 * share
-        for which, guess, begin, wide in ((is2, model.g2, start2, size2), (is1, model.g1, start1, size1)):
-            at = which.nonzero()[0]
-            now[at], start[at], size[at] = guess[at], begin[at], wide[at]
-        low += r * start.astype(np.uint64)
-        source.range[:k] = r * size.astype(np.uint64)
-        source.settle(k)
+        weights = m * beyond
+        shift = weights[0] + weights[1]
+        now = table.rank_at.take(((place - shift) / m0).astype(np.int64), mode="clip").astype(np.int32)
+        begin, wide = model.order0(now, m0)
+        begin += shift
+        for i in (0, 1):
+            np.copyto(now, guess[i], where=hit[i])
+            np.copyto(begin, start[i], where=hit[i])
+            np.copyto(wide, size[i], where=hit[i])
+        x >>= _U(_TOTAL_BITS)
+        x *= wide.astype(np.uint64)
+        x += (place - begin).astype(np.uint64)
+        few = (x < _LEAST).nonzero()[0]
+        next_ = at[few]
+        # Words of a damaged block may run out; what comes then fails the checksum.
+        x[few] = x[few] << _WORD | words.take(next_, mode="clip")
+        at[few] = next_ + 1
         grid[t, :k] = now
         model.learn(k, now)
     return table.ids[grid.T.reshape(-1)[: int(lengths.sum())]]
@@ -315,7 +211,7 @@ def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarra
     words, counts = _encode_blocks(ids, block, table)
     raw = ids.astype("<u4")
     sums = [zlib.crc32(raw[at : at + block].tobytes()) for at in range(0, len(raw), block)]
-    return b"".join([*head, np.stack([_lengths(len(ids), block), counts, sums], axis=1).astype("<u4").tobytes(), words.astype("<u2").tobytes()])
+    return b"".join([*head, np.stack([_lengths(len(ids), block), counts, sums], axis=1).astype("<u4").tobytes(), words.astype("<u4").tobytes()])
 
 
 def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -336,7 +232,7 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
         raise ValueError("the id table is damaged")
     at += size
     figures = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3).astype(np.int64)
-    words = np.frombuffer(data, "<u2", -1, at + 12 * blocks).astype(np.uint16)
+    words = np.frombuffer(data, "<u4", -1, at + 12 * blocks).astype(np.uint32)
     ids = _decode_blocks(words, figures[:, 1], figures[:, 0], _Table.unpack(packed)).astype("<u4")
     for i, crc in enumerate(figures[:, 2]):
         if zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) != crc:
