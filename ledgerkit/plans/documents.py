@@ -230,7 +230,7 @@ SELECT id, CASE WHEN there THEN id END AS order_id, CASE WHEN kind = 1 THEN id +
 CASE WHEN NOT there THEN 'charge_only' WHEN kind = 2 THEN 'window' ELSE 'exact' END AS method, CASE WHEN there AND kind = 2 THEN 0.8 ELSE 1.0 END AS confidence FROM r WHERE there OR kind = 1""")
 def order_matches(spark, d):
     """Purchases and the orders they paid, by order number, by the merchant's list, or by the order's total."""
-    return matching_orders.match_orders(*_order_tables(spark, d), -1, 5)[0]
+    return matching_orders.match_orders(*_order_tables(spark, d), -1, 5)[0].withColumn("confidence", F.col("confidence").cast("decimal(2,1)"))
 
 
 @query(f"""WITH {_MATCH_SQL} SELECT id, CASE kind WHEN 0 THEN 'not_imported' WHEN 1 THEN 'no_invoice' ELSE 'no_order' END AS reason FROM u WHERE n = 1 AND id % 11 > 0 AND id % 7 = 0""")
