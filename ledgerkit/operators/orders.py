@@ -47,7 +47,7 @@ def match_orders(txns: DataFrame, orders: DataFrame, charges: DataFrame, user: D
     open_ = rest.join(exact.select("id"), "id", "left_anti").filter("type = 'purchase'")
     totals = orders.filter("total > 0").select("id", "day", F.col("total").alias("cents"), "payment")
     near = candidates(open_.select("id", "day", "post_day", "cents", "product"), totals, ["cents"], *FALLBACK_DAYS, same_card(F.col("r_payment"), F.col("l_product")))
-    found = written(first_fit(_filled(near, exact, txns, user), ["l_post_day", "l_id"]), "order-window")
+    found = written(first_fit(_filled(near, exact, txns, user), ["l_post_day", "l_id"], ["step"]), "order-window")
     single, several = found.filter("ties = 1"), found.filter("ties > 1")
     window = single.select(F.col("l_id").alias("id"), F.col("r_id").alias("order_id")).join(listed.select("id", "charge_id"), "id", "left")
 
@@ -95,7 +95,7 @@ def match_receipts(receipts: DataFrame, txns: DataFrame, user: DataFrame, today:
     free = txns.filter("type = 'purchase'").join(user.select("id"), "id", "left_anti")
     # Receipts choose, so they are the left side: the window turns around.
     pairs = candidates(receipts.select("id", "day", F.col("total").alias("cents")), free.select("id", "day", "cents"), ["cents"], -high, -low)
-    found = first_fit(pairs.withColumns({"filled": F.lit(0).cast("long"), "step": F.lit(1).cast("long")}), ["l_day", "l_id"])
+    found = first_fit(pairs.withColumns({"filled": F.lit(0).cast("long"), "step": F.lit(1).cast("long")}), ["l_day", "l_id"], ["l_cents"])
     matches = found.filter("ties = 1").select(F.col("r_id").alias("id"), F.col("l_id").alias("order_id"))
     several = found.filter("ties > 1").select(F.col("r_id").alias("id"), F.lit("several").alias("reason")).distinct()
     missing = free.filter("group = 'warehouse'").join(matches.select("id"), "id", "left_anti").select("id", F.lit("no_receipt").alias("reason"))
