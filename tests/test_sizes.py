@@ -41,3 +41,9 @@ def test_first_fit_of_one_value(spark):
     pairs = matching.candidates(left, right, ["cents"], 0, 149).withColumns({"filled": F.lit(0).cast("long"), "step": F.lit(1).cast("long")})
     got = {(r.l_id, r.r_id, r.days, r.ties) for r in matching.first_fit(pairs, ["l_day", "l_id"], ["l_cents"]).collect()}
     assert got == {(i, i, i, 1) for i in range(150)}
+
+
+def test_order_reviews(spark, tmp_path):
+    began = time.perf_counter()
+    same_rows(spark, tmp_path, "order_reviews", "orders")
+    assert time.perf_counter() - began < 45
