@@ -47,3 +47,9 @@ def test_order_reviews(spark, tmp_path):
     began = time.perf_counter()
     same_rows(spark, tmp_path, "order_reviews", "orders")
     assert time.perf_counter() - began < 45
+
+
+def test_uncharged_orders(spark, tmp_path):
+    began = time.perf_counter()
+    same_rows(spark, tmp_path, "uncharged_orders", "orders")
+    assert time.perf_counter() - began < 45
