@@ -305,8 +305,7 @@ def nearest_with_ties(spark, d):
 
 @query()
 def greedy_matching(spark, d):
-    pairs = matching.candidates(*_both(spark, d), ["cents"], -2, 6)
-    return matching.greedy(pairs, ["l_cents"], same=True).select("l_id", "r_id", "days")
+    return matching.greedy_by_day(*_both(spark, d), ["cents"], -2, 6)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT id, day FROM b WHERE bank_type = 'purchase' AND DATE '2024-02-10' - day > 14 AND id NOT IN (SELECT l_id FROM pairs)")

@@ -53,3 +53,15 @@ def test_uncharged_orders(spark, tmp_path):
     began = time.perf_counter()
     same_rows(spark, tmp_path, "uncharged_orders", "orders")
     assert time.perf_counter() - began < 45
+
+
+def test_greedy_by_day_without_pairs(spark):
+    """One value, thousands of rows a day: hundreds of millions of pairs, which are never made. On a fortieth of the rows the result is that of the walk over pairs."""
+    side = lambda n, first: spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.date_add(F.lit(datetime.date(2024, 1, first)), (F.col("id") % 8).cast("int")).alias("day"), F.lit(5).alias("cents"))
+    began = time.perf_counter()
+    got = matching.greedy_by_day(side(32_000, 1), side(24_000, 2), ["cents"], -2, 6)
+    assert tuple(got.agg(F.count("*"), F.count_distinct("l_id"), F.count_distinct("r_id")).first()) == (24_000,) * 3
+    assert time.perf_counter() - began < 30
+    few = side(800, 1).unionByName(spark.sql("SELECT 9000L AS id, cast(null AS date) AS day, 5 AS cents")), side(600, 2)
+    want = matching.greedy(matching.candidates(*few, ["cents"], -2, 6), ["l_cents"]).select("l_id", "r_id", "days")
+    assert sorted(matching.greedy_by_day(*few, ["cents"], -2, 6).collect()) == sorted(want.collect())
