@@ -295,7 +295,7 @@ def match_candidates(spark, d):
 @query(f"""WITH {PAIRS_SQL} SELECT l_id, r_id, days FROM pairs
 QUALIFY row_number() OVER (PARTITION BY l_id ORDER BY abs(days), r_id) = 1 AND row_number() OVER (PARTITION BY r_id ORDER BY abs(days), l_id) = 1""")
 def mutual_nearest(spark, d):
-    return matching.mutual_nearest(matching.candidates(*_both(spark, d), ["cents"], -2, 6)).select("l_id", "r_id", "days")
+    return matching.nearest_both(*_both(spark, d), ["cents"], -2, 6).select("l_id", "r_id", "days")
 
 
 @query(f"WITH {PAIRS_SQL}, n AS (SELECT * FROM pairs QUALIFY dense_rank() OVER (PARTITION BY l_id ORDER BY abs(days)) = 1) SELECT l_id, r_id, count(*) OVER (PARTITION BY l_id) AS ties FROM n")

@@ -94,3 +94,18 @@ def test_transfers_of_a_dense_ledger(spark):
     got = matching.transfers(frame(1), frame(-1)).collect()
     assert time.perf_counter() - began < 40
     assert len({x.card_id for x in got}) == len(got) and {x.method for x in got} >= {"named", "group"}
+
+
+def _dense(spark, n, first):
+    """n rows of two values within eight days; and rows without a day or cents."""
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("id"), F.date_add(F.lit(datetime.date(2024, 1, first)), (F.col("id") % 8).cast("int")).alias("day"), F.floor(F.col("id") / 8 % 2).alias("cents"))
+    return rows.unionByName(spark.sql(f"SELECT {n}L AS id, cast(null AS date) AS day, 1L AS cents UNION ALL SELECT {n + 1}L, date'2024-01-04', null"))
+
+
+def test_nearest_both_without_pairs(spark):
+    few = _dense(spark, 300, 1), _dense(spark, 200, 4)
+    want = matching.mutual_nearest(matching.candidates(*few, ["cents"], -2, 6)).select("l_id", "r_id", "days")
+    assert sorted(matching.nearest_both(*few, ["cents"], -2, 6).select("l_id", "r_id", "days").collect()) == sorted(want.collect())
+    began = time.perf_counter()
+    assert matching.nearest_both(_dense(spark, 60_000, 1), _dense(spark, 50_000, 4), ["cents"], -2, 6).count() >= 10  # of over a billion pairs
+    assert time.perf_counter() - began < 30
