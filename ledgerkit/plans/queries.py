@@ -300,7 +300,7 @@ def mutual_nearest(spark, d):
 
 @query(f"WITH {PAIRS_SQL}, n AS (SELECT * FROM pairs QUALIFY dense_rank() OVER (PARTITION BY l_id ORDER BY abs(days)) = 1) SELECT l_id, r_id, count(*) OVER (PARTITION BY l_id) AS ties FROM n")
 def nearest_with_ties(spark, d):
-    return matching.unambiguous_nearest(matching.candidates(*_both(spark, d), ["cents"], -2, 6)).select("l_id", "r_id", "ties")
+    return matching.nearest_ties(*_both(spark, d), ["cents"], -2, 6).select("l_id", "r_id", "ties")
 
 
 @query()

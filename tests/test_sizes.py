@@ -109,3 +109,13 @@ def test_nearest_both_without_pairs(spark):
     began = time.perf_counter()
     assert matching.nearest_both(_dense(spark, 60_000, 1), _dense(spark, 50_000, 4), ["cents"], -2, 6).count() >= 10  # of over a billion pairs
     assert time.perf_counter() - began < 30
+
+
+def test_nearest_ties_without_other_pairs(spark):
+    few = _dense(spark, 300, 1), _dense(spark, 200, 4)
+    want = matching.unambiguous_nearest(matching.candidates(*few, ["cents"], -2, 6)).select("l_id", "r_id", "days", "ties")
+    assert sorted(matching.nearest_ties(*few, ["cents"], -2, 6).collect()) == sorted(want.collect())
+    # Of a billion pairs only those of the same or the nearest day are made, and no pair is shuffled.
+    near = matching.nearest_ties(_dense(spark, 300, 1), _dense(spark, 200, 4), ["cents"], -2, 6)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan.split("\n")[1]
