@@ -311,7 +311,7 @@ def greedy_matching(spark, d):
 @query(f"WITH {PAIRS_SQL} SELECT id, day FROM b WHERE bank_type = 'purchase' AND DATE '2024-02-10' - day > 14 AND id NOT IN (SELECT l_id FROM pairs)")
 def unmatched_after_grace(spark, d):
     left, right = _both(spark, d)
-    return matching.unmatched_after(left, matching.candidates(left, right, ["cents"], -2, 6), day("2024-02-10"), 14).select("id", "day")
+    return matching.unmatched_after(left, matching.with_candidates(left, right, ["cents"], -2, 6), day("2024-02-10"), 14).select("id", "day")
 
 
 @query(f"""WITH {BANK_SQL}, b AS (SELECT id, account, day, abs(cents) // 100 AS cents, bank_type FROM bank), p AS (SELECT * FROM b WHERE bank_type = 'signup'),

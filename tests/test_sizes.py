@@ -119,3 +119,13 @@ def test_nearest_ties_without_other_pairs(spark):
     near = matching.nearest_ties(_dense(spark, 300, 1), _dense(spark, 200, 4), ["cents"], -2, 6)
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan.split("\n")[1]
+
+
+def test_with_candidates_without_pairs(spark):
+    few = _dense(spark, 300, 1), _dense(spark, 200, 6)
+    want = {r.l_id for r in matching.candidates(*few, ["cents"], -2, 6).select("l_id").collect()}
+    got = [r.l_id for r in matching.with_candidates(*few, ["cents"], -2, 6).collect()]
+    assert sorted(got) == sorted(want) and 0 < len(got) < 300
+    began = time.perf_counter()
+    assert matching.with_candidates(_dense(spark, 60_000, 1), _dense(spark, 50_000, 1), ["cents"], -2, 6).count() == 60_000  # of over a billion pairs
+    assert time.perf_counter() - began < 30
