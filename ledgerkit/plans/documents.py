@@ -155,8 +155,8 @@ def printed_invoices(spark, d) -> DataFrame:
 @query(f"""WITH {_INVOICE_SQL} SELECT {_INVOICE_ID} AS order_id, line_no, 'Part of a wide assortment ' || part AS title, 'Supplier ' || supp AS seller, quantity, total, unit, found AS sku FROM it""")
 def invoice_items(spark, d):
     """Items of every invoice, with their article numbers from the links."""
-    rows = orders.invoices(printed_invoices(spark, d))
-    return rows.select("order_id", F.explode("items").alias("i")).select("order_id", "i.line_no", "i.title", "i.seller", "i.quantity", "i.total", "i.unit", "i.sku")
+    rows = orders.each(orders.invoices(printed_invoices(spark, d)), "items", "i")
+    return rows.select("order_id", "i.line_no", "i.title", "i.seller", "i.quantity", "i.total", "i.unit", "i.sku")
 
 
 @query(f"""WITH {_INVOICE_SQL}, s AS (SELECT k, CAST(sum(total) AS BIGINT) AS subtotal, count(*) AS n FROM it GROUP BY k)

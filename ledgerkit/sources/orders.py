@@ -65,32 +65,63 @@ def _long_day(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("MMMM d, yyyy")).cast("date")
 
 
+def _let(x: Column, of) -> Column:
+    """``of(x)`` with x worked out once: inside lambdas equal expressions aren't shared, and a fold would repeat them for every mention."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
+def _found_once(text: Column, pattern: str, group: int = 1) -> Column:
+    return _let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
+
+
+def _price(line: Column) -> Column:
+    """Cents of a line that is ``_MONEY`` and nothing else."""
+    digits = F.translate(line, "$,.", "")
+    return F.when(F.length(line) <= 18, digits.cast("long")).otherwise(to_cents(line))
+
+
+def each(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """A row as ``name`` for each of the structs in ``column``, as explode gives them.
+
+    The optimizer puts a filter of explode's empty arrays below it, which works the whole column out twice more; explode_outer has no such filter.
+    """
+    return rows.withColumn(name, F.explode_outer(column)).filter(F.col(name).isNotNull())
+
+
 def item_lines(lines: Column) -> Column:
     """Items of an invoice's lines: titles run over lines up to the seller, a price ends an item, and a bare number right below it multiplies.
 
-    A title may begin with its quantity, which the price then covers. Lines of status and footer are skipped.
+    A title may begin with its quantity, which the price then covers. Lines of status and footer are skipped. The fold only tells what a line
+    is, cheap tests first; the last item waits in the state for its number, and quantities are read once for each item.
     """
+    found = "struct<title:string,seller:string,total:bigint,times:int>"
+    quantity = lambda title: F.coalesce(_found_once(title, _QUANTITY), _found_once(title, _QUANTITY, 2)).cast("int")
+    alone = lambda title: F.coalesce(quantity(title), F.lit(1)) == 1
+    done = lambda s: F.when(s.last.isNull(), s["items"]).otherwise(F.concat(s["items"], F.array(s.last)))
 
     def step(s: Column, line: Column) -> Column:
-        state = lambda items, title, seller, waits: F.struct(items.alias("items"), title.alias("title"), seller.alias("seller"), waits.alias("waits"))
+        state = lambda items, last, title, seller, waits: F.struct(items.alias("items"), last.alias("last"), title.alias("title"), seller.alias("seller"), waits.alias("waits"))
         no, nobody = F.lit(False), F.lit(None).cast("string")
-        seller, title = _found(line, _SELLER), F.array_join(s.title, " ")
-        quantity = F.coalesce(_found(title, _QUANTITY), _found(title, _QUANTITY, 2)).cast("int")
-        total = to_cents(line)
-        unit = F.when(total % F.nullif(quantity, F.lit(0)) == 0, F.try_divide(total, quantity).cast("long"))
-        item = F.struct(F.trim(F.regexp_replace(title, _QUANTITY, "")).alias("title"), s.seller.alias("seller"), F.coalesce(quantity, F.lit(1)).alias("quantity"), total.alias("total"), F.coalesce(unit, total).alias("unit")).cast(_ITEM)
-        times = line.cast("int")
-        more = F.transform(s["items"], lambda x, i: F.when(i == F.size(s["items"]) - 1, F.struct(x.title.alias("title"), x.seller.alias("seller"), times.alias("quantity"), (x.total * times).alias("total"), x.total.alias("unit")).cast(_ITEM)).otherwise(x))
+        item = lambda title, seller, total, times: F.struct(title.alias("title"), seller.alias("seller"), total.alias("total"), times.alias("times"))
+        price = (line.startswith("$") | line.startswith("-$")) & (s.title != "") & line.rlike(f"^{_MONEY}$")
+        footer = line.startswith("Conditions of Use") | line.startswith("©")
         return (
-            F.when(s.waits & line.rlike(r"^\d{1,3}$"), state(more, s.title, s.seller, no))
-            .when(seller.isNotNull(), state(s["items"], s.title, F.trim(seller), no))
-            .when(line.rlike(f"^{_MONEY}$") & (F.size(s.title) > 0), state(F.concat(s["items"], F.array(item)), F.array().cast("array<string>"), nobody, F.coalesce(quantity, F.lit(1)) == 1))
-            .when(line.rlike(_STATUS) | line.rlike(_FOOTER) | s.seller.isNotNull(), state(s["items"], s.title, s.seller, no))
-            .otherwise(state(s["items"], F.concat(s.title, F.array(line)), s.seller, no))
+            F.when(s.waits & line.rlike(r"^\d{1,3}$") & alone(s.last.title), state(s["items"], item(s.last.title, s.last.seller, s.last.total, line.cast("int")), s.title, s.seller, no))
+            .when(line.startswith("Sold by:") & _found(line, _SELLER).isNotNull(), state(s["items"], s.last, s.title, F.trim(_found(line, _SELLER)), no))
+            .when(price, state(done(s), item(s.title, s.seller, _price(line), F.lit(None).cast("int")), F.lit(""), nobody, F.lit(True)))
+            .when(s.seller.isNotNull() | footer | line.rlike(_STATUS), state(s["items"], s.last, s.title, s.seller, no))
+            .otherwise(state(s["items"], s.last, F.when(s.title == "", line).otherwise(F.concat(s.title, F.lit(" "), line)), s.seller, no))
         )
 
-    start = F.expr(f"named_struct('items', cast(array() as array<{_ITEM}>), 'title', cast(array() as array<string>), 'seller', cast(null as string), 'waits', false)")
-    return F.aggregate(lines, start, step, lambda s: s["items"])
+    def read(x: Column, n: Column) -> Column:
+        each = F.when(x.total % F.nullif(n, F.lit(0)) == 0, F.try_divide(x.total, n).cast("long"))
+        return F.struct(
+            F.trim(F.regexp_replace(x.title, _QUANTITY, "")).alias("title"), x.seller.alias("seller"), F.coalesce(x.times, n, F.lit(1)).alias("quantity"),
+            F.when(x.times.isNotNull(), x.total * x.times).otherwise(x.total).alias("total"), F.when(x.times.isNotNull(), x.total).otherwise(F.coalesce(each, x.total)).alias("unit"),
+        ).cast(_ITEM)
+
+    start = F.expr(f"named_struct('items', cast(array() as array<{found}>), 'last', cast(null as {found}), 'title', '', 'seller', cast(null as string), 'waits', false)")
+    return F.transform(F.aggregate(lines, start, step, done), lambda x: _let(quantity(x.title), lambda n: read(x, n)))
 
 
 def invoices(files: DataFrame) -> DataFrame:
@@ -108,17 +139,17 @@ def invoices(files: DataFrame) -> DataFrame:
     amount = {k: F.abs(to_cents(_found(F.col("body"), rf"{label}\s*({_MONEY})"))) for k, label in AMOUNTS.items()}
     rows = rows.select("file", "body", "links", *[v.alias(k) for k, v in amount.items()], item_lines(F.slice("lines", begins, F.greatest(F.size("lines"), F.lit(1)))).alias("found"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
-    at = F.transform("links", lambda u: F.struct(_found(u, _LINK_AT).alias("sku"), _found(u, _LINK_AT, 2).cast("int").alias("at")))
-    each = F.array_distinct(F.array_compact(F.transform("links", lambda u: _found(u, _LINK))))
+    at = F.transform("links", lambda u: F.struct(_found_once(u, _LINK_AT).alias("sku"), _found_once(u, _LINK_AT, 2).cast("int").alias("at")))
+    each = F.array_distinct(F.array_compact(F.transform("links", lambda u: _found_once(u, _LINK))))
     rows = rows.select(
         "file", "subtotal", "grand_total", zero("shipping").alias("shipping"), zero("tax").alias("tax"), zero("gift_card").alias("gift_card"), zero("rewards").alias("rewards"),
         F.coalesce(F.col("subtotal") + zero("shipping") - F.col("total_before_tax"), zero("promotions")).alias("promotions"),
         _found(F.col("body"), _ORDER, 2).alias("order_id"), _long_day(_found(F.col("body"), _ORDER)).alias("order_date"),
         _squeeze(_found(F.col("body"), _PAYMENT)).alias("payment_method"), _found(F.col("body"), _PAYMENT, 2).alias("card_ending"), "found", at.alias("placed"), each.alias("each"),
     )
-    own = lambda i: F.get(F.filter("placed", lambda p: p["at"] == i), 0).sku
-    sku = lambda i: F.coalesce(own(i), F.when(F.size("each") == F.size("found"), F.get("each", i)))
-    items = F.transform("found", lambda x, i: F.struct((i + 1).alias("line_no"), x.title.alias("title"), x.seller.alias("seller"), x.quantity.alias("quantity"), x.total.alias("total"), x.unit.alias("unit"), sku(i).alias("sku")))
+    own = lambda t, i: F.get(F.filter(t.placed, lambda p: p["at"] == i), 0).sku
+    sku = lambda t, i: F.coalesce(own(t, i), F.when(F.size(t.each) == F.size(t.found), F.get(t.each, i)))
+    items = _let(F.struct("found", "placed", "each"), lambda t: F.transform(t.found, lambda x, i: F.struct((i + 1).alias("line_no"), x.title.alias("title"), x.seller.alias("seller"), x.quantity.alias("quantity"), x.total.alias("total"), x.unit.alias("unit"), sku(t, i).alias("sku"))))
     rows = rows.withColumn("items", items)
     together = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x.total)
     due = F.expr("subtotal + shipping + tax - promotions - gift_card - rewards")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerkit.operators import matching
 from ledgerkit.plans.queries import ORACLE, QUERIES
+from ledgerkit.sources import orders
 
 SF = "/root/testdata/sf0.1"
 
@@ -129,3 +130,26 @@ def test_with_candidates_without_pairs(spark):
     began = time.perf_counter()
     assert matching.with_candidates(_dense(spark, 60_000, 1), _dense(spark, 50_000, 1), ["cents"], -2, 6).count() == 60_000  # of over a billion pairs
     assert time.perf_counter() - began < 30
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_invoices_are_folded_once(spark):
+    """A filter of empty arrays below explode once folded each invoice's lines three times."""
+    plan = _optimized(QUERIES["invoice_items"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("aggregate(slice(") == 1 and plan.count("Generate explode") == 1
+
+
+def test_item_lines_by_hand(spark):
+    """Numbers below a price count once, right below it and only for a single article; a price without a title is a title; commas and signs."""
+    head = "Order placed May 3, 2026 Order # 114-1234567-7654321\nGrand Total: $1.00\n"
+    body = ["$1.00", "Pen", "Sold by:", "Sold by: A", "noise", "-$1,234.50", "2", "3", "Cup", "$,.50", "Delivered", "4", "0 of Box", "$2.00", "5", "QTY: 1 Mug", "$999,999,999,999,999.99", "2"]
+    (r,) = orders.invoices(spark.createDataFrame([("f", head + "\n".join(body))], "file string, text string")).collect()
+    assert [tuple(x)[1:6] for x in r["items"]] == [
+        ("$1.00 Pen Sold by:", "A", 2, -246900, -123450),
+        ("3 Cup", None, 1, 50, 50),
+        ("4 0 of Box", None, 5, 1000, 200),
+        ("Mug", None, 2, 199999999999999998, 99999999999999999),
+    ]
