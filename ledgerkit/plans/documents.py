@@ -196,16 +196,18 @@ CAST(whole AS BIGINT) AS order_discount, 'Visa' AS card_type FROM o""")
 def receipt_items(spark, d):
     """Orders as receipt transcripts: savings of even lines name their item, those of odd ones don't. Every fifth total is wrong."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").cast("string").alias("number"), cents("l_extendedprice").alias("c"), cents("l_discount").alias("off"))
-    plain = lambda c: (c.cast("decimal(24,2)") / 100).cast("decimal(24,2)").cast("string")
+    plain = lambda c: F.concat(F.when(c < 0, "-").otherwise(""), F.call_function("div", F.abs(c), F.lit(100)), F.lit("."), F.lpad((F.abs(c) % 100).cast("string"), 2, "0"))
     field = lambda number, text, amount, instant, to: F.struct(number.alias("item_number"), text.alias("description"), amount.alias("amount"), F.lit(True).alias("taxable"), instant.alias("is_instant_savings"), to.alias("applies_to_item_number"))
     nothing, no = F.lit(None).cast("string"), F.lit(False)
-    item = field(F.col("number"), F.lit("THING"), plain(F.col("c")), no, nothing)
-    saved = F.when(F.expr("off > 0 and n % 2 = 0"), field(nothing, F.lit("TPD"), plain(-F.col("off")), no, F.col("number"))).when(F.expr("off > 0"), field(nothing, F.lit("SAVINGS"), plain(F.col("off")), F.lit(True), nothing))
-    rows = li.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "number", "c", "off", item.alias("item"), saved.alias("saved")))).alias("rows"), F.sum(F.col("c") - F.col("off")).alias("subtotal"))
-    items = F.array_compact(F.flatten(F.transform("rows", lambda r: F.array(r["item"], r["saved"]))))
+    # The amounts are printed before the shuffle, the rest of a line after it.
+    li = li.withColumns({"price": plain(F.col("c")), "less": plain(F.when(F.col("n") % 2 == 0, -F.col("off")).otherwise(F.col("off")))})
+    rows = li.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "number", "c", "off", "price", "less"))).alias("rows"), F.sum(F.col("c") - F.col("off")).alias("subtotal"))
+    item = lambda r: field(r.number, F.lit("THING"), r.price, no, nothing)
+    saved = lambda r: F.when((r.off > 0) & (r.n % 2 == 0), field(nothing, F.lit("TPD"), r.less, no, r.number)).when(r.off > 0, field(nothing, F.lit("SAVINGS"), r.less, F.lit(True), nothing))
+    items = F.array_compact(F.flatten(F.transform("rows", lambda r: F.array(item(r), saved(r)))))
     doc = F.struct(F.lit("2026-10-05").alias("date"), F.lit("SOME  WHERE").alias("warehouse"), items.alias("items"), plain(F.col("subtotal")).alias("subtotal"), F.lit("1.00").alias("tax"), plain(F.col("subtotal") + 100 + (F.col("k") % 5 == 0).cast("int")).alias("total"), F.struct(F.lit("vi").alias("card_type"), F.lit("0000").alias("card_ending")).alias("tender"))
     read = orders.receipts(rows.select(F.col("k").cast("string").alias("file"), F.to_json(doc).alias("text")))
-    return read.select("file", "state", "order_discount", "card_type", F.explode("items").alias("i")).select("file", "state", "order_discount", "card_type", "i.line_no", "i.item_number", "i.cents", "i.discount")
+    return orders.each(read, "items", "i").select("file", "state", "order_discount", "card_type", "i.line_no", "i.item_number", "i.cents", "i.discount")
 
 
 # Orders and their charges: each purchase by one kind of evidence, none of them ambiguous here.

@@ -74,6 +74,11 @@ def _found_once(text: Column, pattern: str, group: int = 1) -> Column:
     return _let(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
+def _amount(text: Column) -> Column:
+    """``to_cents``, with a short way for plain amounts of two decimals."""
+    return F.when(text.rlike(r"^-?\d{1,14}\.\d\d$"), F.translate(text, ".", "").cast("long")).otherwise(to_cents(text))
+
+
 def _price(line: Column) -> Column:
     """Cents of a line that is ``_MONEY`` and nothing else."""
     digits = F.translate(line, "$,.", "")
@@ -188,12 +193,13 @@ def receipts(files: DataFrame) -> DataFrame:
     bad (no JSON of this shape) or off (the sums don't add up, so nothing is to be stored).
     """
     rows = files.select("file", F.from_json("text", RECEIPT).alias("r")).select("file", "r.*")
-    cents = lambda x: to_cents(x.amount)
-    saves = lambda x: F.coalesce(x.is_instant_savings, F.lit(False)) | (cents(x) < 0)
-    whole = F.coalesce(F.size("items") > 0, F.lit(False)) & F.coalesce(F.forall("items", lambda x: cents(x).isNotNull() & x.description.isNotNull() & x.taxable.isNotNull()), F.lit(False))
-    figures = [to_cents(F.col(c)).alias(c) for c in ("subtotal", "tax", "total")]
-    bought = F.transform(F.filter("items", lambda x: ~saves(x)), lambda x: F.struct(x.item_number.alias("item_number"), x.description.alias("description"), cents(x).alias("cents"), x.taxable.alias("taxable")))
-    savings = F.transform(F.filter("items", saves), lambda x: F.struct(x.applies_to_item_number.alias("number"), F.abs(cents(x)).alias("cents")))
+    # What a line is and its cents are worked out once for each line.
+    judged = lambda x, cents: F.struct(x.alias("x"), cents.alias("cents"), (F.coalesce(x.is_instant_savings, F.lit(False)) | (cents < 0)).alias("saves"))
+    rows = rows.withColumn("items", F.transform("items", lambda x: _let(_amount(x.amount), lambda cents: judged(x, cents))))
+    whole = F.coalesce(F.size("items") > 0, F.lit(False)) & F.coalesce(F.forall("items", lambda i: i.cents.isNotNull() & i.x.description.isNotNull() & i.x.taxable.isNotNull()), F.lit(False))
+    figures = [_amount(F.col(c)).alias(c) for c in ("subtotal", "tax", "total")]
+    bought = F.transform(F.filter("items", lambda i: ~i.saves), lambda i: F.struct(i.x.item_number.alias("item_number"), i.x.description.alias("description"), i.cents.alias("cents"), i.x.taxable.alias("taxable")))
+    savings = F.transform(F.filter("items", lambda i: i.saves), lambda i: F.struct(i.x.applies_to_item_number.alias("number"), F.abs(i.cents).alias("cents")))
     rows = rows.select("file", F.try_to_timestamp(F.col("date"), F.lit("yyyy-MM-dd")).cast("date").alias("date"), _squeeze(F.col("warehouse")).alias("warehouse"), F.coalesce(whole, F.lit(False)).alias("whole"), bought.alias("bought"), savings.alias("savings"), *figures, "tender")
     total = lambda column, keep: F.aggregate(F.filter(column, keep), F.lit(0).cast("long"), lambda a, x: a + x.cents)
     numbers = F.transform("bought", lambda x: x.item_number)
