@@ -10,7 +10,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from ledgerkit.functions import money
-from ledgerkit.operators import matching
+from ledgerkit.operators import matching, terms
 from ledgerkit.plans.queries import ORACLE, QUERIES
 from ledgerkit.sources import orders
 
@@ -172,3 +172,20 @@ def test_odd_amounts_of_receipts(spark):
     want = {str(i): r.c for i, r in enumerate(spark.createDataFrame([(i, a) for i, a in enumerate(amounts)], "i int, a string").orderBy("i").select(money.to_cents(F.col("a")).alias("c")).collect())}
     assert {r.file: r.total for r in rows} == want
     assert {r.file: r.cents for r in rows} == {k: v if v is not None and v >= 0 else None for k, v in want.items()}
+
+
+def test_scan_shuffles_what_it_finds(spark):
+    """Every run of every document once went through the shuffle; few terms are looked for where they begin, in one pass over the words."""
+    plan = _optimized(QUERIES["term_scan"](spark, "/root/testdata/sf0.001"))
+    above, below = plan[: plan.index("Generate")], plan[plan.index("Generate") : plan.index("Relation [doc_id")]
+    assert above.index("Aggregate") < above.index("Join") and below.count("regexp_extract_all(lower(text") == 1 and "Filter" not in below
+
+
+def test_scan_of_few_and_many_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a b c"), (2, "The end, the END"), (3, ""), (4, None), (5, "b"), (6, "c a")], "doc_id int, text string")
+    known = spark.createDataFrame([(t,) for t in ("a b", "a b c", "A-B", "the", "end the end", "b", "c d", "!", "a b", None)], "term string")
+    want = [(1, "A-B", 2, 0), (1, "a b", 2, 0), (1, "a b c", 1, 2), (1, "b", 2, 1), (2, "end the end", 1, 1), (2, "the", 2, 0), (5, "b", 1, 0)]
+    for most in (10_000, 5, 2, 0):  # as many words that begin terms as are looked for one by one, and terms that are broadcast
+        monkeypatch.setattr(terms, "CONFIG_ROWS", most)
+        assert sorted(map(tuple, terms.scan(docs, known).collect())) == want
+    assert terms.scan(docs, known.limit(0)).count() == 0
